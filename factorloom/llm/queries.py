@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, mixing, packing, quality_model, quality_rules
+from . import fingerprint, lang_id, mixing, packing, quality_model, quality_rules
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -77,6 +81,7 @@ FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN c ON d.source IS NO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_fingerprints": op3_fingerprints,
     "op5_quality_rules": op5_quality_rules,
     "op6_source_mix": op6_source_mix,
     "op8_quality_classifier": op8_quality_classifier,
