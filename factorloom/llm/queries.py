@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_text, lang_id, mixing, near_dup, packing, quality_model, quality_rules
+from . import fingerprint, html_text, lang_id, mixing, near_dup, packing, quality_model, quality_rules, span_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -89,6 +93,7 @@ FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN c ON d.source IS NO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_span_dedup": op2_span_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op5_quality_rules": op5_quality_rules,
     "op6_source_mix": op6_source_mix,
