@@ -168,7 +168,7 @@ def draw(labels: DataFrame, max_rows: int) -> tuple[DataFrame, dict[int, int]]:
     return labels.filter(unit < most), n
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int = 400, rate: float = 0.01, decay: float = 1e-4) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int = 400, rate: float = 0.01, decay: float = 5e-3) -> Model | float:
     """docs (doc_id, text), labels (doc_id, label 0/1, without the held-out rows) -> the model, or a constant score."""
     labels = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     few, n = draw(labels, max_rows)
