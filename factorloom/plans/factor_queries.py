@@ -48,7 +48,7 @@ GENOMES = {
 }
 
 _ALL = {
-    "ts_basic": tree_query(TS, places=4),
+    "ts_basic": tree_query(TS, places=9),
     "ts_moments": tree_query(MOMENTS),
     "ts_rank_slope_drawdown": tree_query(RANKS),
     "ts_ewm": tree_query(EMAS, places=4),
