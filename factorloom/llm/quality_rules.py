@@ -52,7 +52,7 @@ def repeated_words(hashes: Column) -> Column:
 
 def repeated_lines(lines: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    full = F.filter(lines, lambda x: F.length(F.trim(F.lit(" \t\n\x0b\x0c\r"), x)) > 0)
+    full = F.filter(lines, lambda x: F.length(F.trim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     return let(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
