@@ -147,21 +147,30 @@ NOW = "2001-08-01 00:00:00"
 ENTRIES = "e AS (SELECT o_orderpriority AS ns, o_custkey AS key, o_totalprice AS value, o_orderdate AS ts FROM orders)"
 
 
+def bought(s, d):
+    """Customers that ordered: c_custkey, note, score."""
+    return table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("note"), F.max("o_totalprice").alias("score"))
+
+
+def customers(s, d):
+    return table(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("note"), F.col("c_acctbal").alias("score"))
+
+
+BOUGHT = "b AS (SELECT o_custkey AS c_custkey, max(o_orderpriority) AS note, max(o_totalprice) AS score FROM orders GROUP BY 1)"
+
+
 def snapshots(s, d):
-    docs = table(s, d, "documents")
-    before = docs.filter(F.col("doc_id") % 3 != 0).select("doc_id", F.md5("text").alias("digest"))
-    after = docs.filter(F.col("doc_id") % 5 != 0).select("doc_id", F.md5(F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text"))).alias("digest"))
-    return before, after
+    """All customers, and those that ordered: what a second crawl finds changed."""
+    key = lambda df: df.select("c_custkey", F.md5("note").alias("digest"))
+    return key(customers(s, d)), key(bought(s, d))
 
 
-DIFF = """WITH b AS (SELECT doc_id, md5(text) AS old FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END) AS new FROM documents WHERE doc_id % 5 <> 0)
-SELECT doc_id, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a USING (doc_id) WHERE old IS DISTINCT FROM new"""
+DIFF = f"""WITH {BOUGHT} SELECT c_custkey, CASE WHEN c_mktsegment IS NULL THEN 'added' WHEN note IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM customer FULL JOIN b USING (c_custkey) WHERE c_mktsegment IS DISTINCT FROM note"""
 
 
 def upserted(s, d):
-    c = table(s, d, "customer")
-    base = c.select("c_custkey", F.col("c_mktsegment").alias("note"), F.col("c_acctbal").alias("score"))
-    return store.upsert(base, c.filter(F.col("c_custkey") % 4 == 0).select("c_custkey", F.lit("fresh").alias("note"), (F.col("c_acctbal") + 1).alias("score")), "c_custkey")
+    return store.upsert(customers(s, d), bought(s, d), "c_custkey")
 
 
 def runs(s, d):
@@ -174,8 +183,14 @@ def records(s, d):
 
 
 def tiers(s, d):
-    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
-    return store.tiered([c.filter("id % 6 = 0").withColumn("label", F.lit("user")), c.filter("id % 2 = 0").withColumn("label", F.lit("generated")), c], "id")
+    label = lambda df, name: df.select("c_custkey", F.lit(name).alias("label"))
+    rich = bought(s, d).filter("score > 300000")
+    return store.tiered([label(rich, "user"), label(bought(s, d), "generated"), label(customers(s, d), "static")], "c_custkey")
+
+
+def filled(s, d):
+    """Scores from orders, or else from the customer table."""
+    return store.coalesced("c_custkey", "score", bought(s, d), customers(s, d))
 
 
 def conformed(s, d):
@@ -231,8 +246,8 @@ _ALL = {
         lambda s, d: store.sessions(table(s, d, "conversations")),
         "SELECT conv_id, count(*) AS messages, sum((role = 'user')::INT)::BIGINT AS from_user, sum(length(text))::BIGINT AS characters, substr(arg_min(text, (turn, role, text)), 1, 40) AS title FROM conversations GROUP BY conv_id",
     ),
-    "upsert_by_key": (upserted, "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'fresh' ELSE c_mktsegment END AS note, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS score FROM customer"),
-    "snapshot_diff": (lambda s, d: store.diff(*snapshots(s, d), "doc_id"), DIFF),
+    "upsert_by_key": (upserted, f"WITH {BOUGHT} SELECT c_custkey, coalesce(note, c_mktsegment) AS note, coalesce(score, c_acctbal) AS score FROM customer FULL JOIN b USING (c_custkey)"),
+    "snapshot_diff": (lambda s, d: store.diff(*snapshots(s, d), "c_custkey"), DIFF),
     "experiment_best": (
         lambda s, d: store.best_runs(runs(s, d), "metric"),
         "SELECT o_orderpriority AS experiment, 'run' || o_orderkey AS name, o_totalprice AS metric FROM orders WHERE o_orderstatus <> 'F' QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, 'run' || o_orderkey DESC) = 1",
@@ -241,7 +256,8 @@ _ALL = {
         lambda s, d: rounded(store.decay_trend(records(s, d)), 8),
         f"WITH {BARS}, r AS (SELECT symbol AS factor_name, ret, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i FROM bars WHERE ret IS NOT NULL) SELECT factor_name, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN regr_slope(ret, i) END, 8) + 0 AS slope FROM r GROUP BY factor_name",
     ),
-    "tiered_lookup": (tiers, "SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'user' WHEN c_custkey % 2 = 0 THEN 'generated' ELSE c_name END AS label FROM customer"),
+    "tiered_lookup": (tiers, f"WITH {BOUGHT} SELECT c_custkey, CASE WHEN score > 300000 THEN 'user' WHEN score IS NOT NULL THEN 'generated' ELSE 'static' END AS label FROM customer FULL JOIN b USING (c_custkey)"),
+    "coalesced_sources": (filled, f"WITH {BOUGHT} SELECT c_custkey, coalesce(score, c_acctbal) AS score FROM customer FULL JOIN b USING (c_custkey)"),
 }
 QUERIES = {k: v[0] for k, v in _ALL.items()}
 ORACLE_SQL = {k: v[1] for k, v in _ALL.items() if v[1] is not None}
