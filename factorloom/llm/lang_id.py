@@ -43,7 +43,8 @@ def presence(text: str | None) -> np.ndarray | None:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     c = np.where(letter, c, np.uint32(32))[keep]
-    c = np.concatenate([np.array([32], np.uint32), c, np.array([32], np.uint32)])
+    end = np.array([32], np.uint32)
+    c = np.concatenate([end, c, end if letter[-1] else end[:0]])
     out = []
     for n in ORDERS:
         if len(c) >= n:
