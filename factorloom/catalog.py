@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.plans import combine_queries, eval_queries, factor_queries, misc_queries, system_queries
+from factorloom.plans import align_queries, combine_queries, eval_queries, factor_queries, misc_queries, system_queries
 
-_MODULES = (factor_queries, eval_queries, combine_queries, misc_queries, system_queries)
+_MODULES = (factor_queries, align_queries, eval_queries, combine_queries, misc_queries, system_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
 FLAGSHIP = "ic_series"
