@@ -155,7 +155,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     made = common.materialize(made)
     rows = made.select("none", "doc", "part", F.posexplode("spans").alias("position", "span")).filter("span != 0")
     place = F.struct("none", "doc", "part", "position")
-    seen = rows.groupBy("span").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("span", "first")
+    # written out, so that the join below reads both sides from exchanges and a very common span can be split
+    seen = common.materialize(rows.groupBy("span").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("span", "first"))
     again = rows.join(seen, "span").filter(~place.eqNullSafe(F.col("first")))
     return again.groupBy("doc", "part").agg(F.collect_set("position").alias("positions"))
 
