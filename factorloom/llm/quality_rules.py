@@ -99,8 +99,8 @@ def default_rules() -> list[Rule]:
 def order_rules(docs: DataFrame, names: Sequence[str], rules: Sequence[Rule], sample_rows: int = 2000) -> list[Rule]:
     """rules by falling rejection per second, both measured over a hash sample of about sample_rows rows."""
     part = min(1_000_000, 1_000_000 * sample_rows // max(1, docs.count()) + 1)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < part).withColumn("measures", measures(F.col("text")))
-    held = common.materialize(sample.select("doc_id", "text", *[F.col(f"measures.{x}").alias(x) for x in names]))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < part).withColumn("__measures", measures(F.col("text")))
+    held = common.materialize(sample.select("doc_id", "text", *[F.col(f"__measures.{x}").alias(x) for x in names]))
     sample = held.coalesce(1)
     rate = {}
     empty = sample.agg(F.count(F.lit(1)).alias("n"))
@@ -132,10 +132,10 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int
     """
     rules = default_rules() if rules is None else list(rules)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = docs.drop(*names, "base_failed", "rejected_by", "kept").withColumn("measures", measures(F.col("text")))
+    rows = docs.drop(*names, "base_failed", "rejected_by", "kept").withColumn("__measures", measures(F.col("text")))
     if len(rules) > 1:
         rules = order_rules(docs.select("doc_id", "text"), names, rules, sample_rows)
-    out = rows.withColumns({x: F.col(f"measures.{x}") for x in names}).drop("measures")
+    out = rows.withColumns({x: F.col(f"__measures.{x}") for x in names}).drop("__measures")
     out = out.withColumn("base_failed", (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words")))
     out = out.withColumn("rejected_by", F.when(~F.col("base_failed"), cascade(rules)))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())

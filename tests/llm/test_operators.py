@@ -352,3 +352,36 @@ def test_components(spark):
     assert {got[f"{i:03d}"] for i in range(21)} == {"000"} and {got[f"{i:03d}"] for i in range(21, 41)} == {"021"}
     chain = spark.createDataFrame([(f"{i}", f"{i + 1}") for i in range(20)], "node string, parent string")
     assert {r.label for r in near_dup.forest(chain).collect()} == {"20"}
+
+
+# columns that are called as the operators' own
+
+
+CLASHING = ["score", "predicted", "held_out", "keys", "digest", "label", "position", "size", "bin", "row", "measures", "kept_digest", "weight", "spans", "doc", "part", "none", "copies", "target", "key", "node", "ids", "at", "first"]
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    df = docs.drop("extra").filter("doc_id IS NOT NULL AND doc_id NOT IN (3, 5)")
+    return df.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+
+
+def unchanged(df, but=()):
+    for r in df.select("doc_id", *[c for c in CLASHING if c not in but]).collect():
+        assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHING if c not in but)
+
+
+def test_clashing_names(spark, clashing, rows):
+    unchanged(near_dup.deduplicate(clashing))
+    unchanged(span_dedup.remove_repeats(clashing))
+    unchanged(mixing.apply_mix(clashing))
+    unchanged(quality_rules.judge(clashing))
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(50)], "doc_id long, quality int, label int")
+    unchanged(quality_model.classify(clashing, labels, epochs=5), ("score", "predicted", "held_out"))
+    n = clashing.count()
+    assert lang_id.identify(clashing).count() == n
+    assert fingerprint.compare(clashing).count() == n
+    assert suffix_dedup.remove_repeats(clashing).count() == n
+    assert mixing.mix(clashing).count() == n
+    assert packing.pack(clashing).select("doc_id").distinct().count() == n
+    assert near_dup.near_duplicates(clashing).count() == n
