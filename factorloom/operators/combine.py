@@ -171,6 +171,74 @@ def lasso_path(g: np.ndarray, xy: np.ndarray, strength: float, rounds: int = 200
     return b
 
 
+def lasso_screen(wide: DataFrame, names: list[str], target: str, folds: int = 5, strengths: int = 20) -> list[tuple[str, float, bool]]:
+    """(name, coefficient, keep): lasso on standardised factors, its strength chosen by cross-validation.
+
+    One aggregation by fold gathers every fold's X'X and X'y; all fits are on the driver. Under three factors pass through;
+    with under 50 rows the correlation screen decides.
+    """
+    if len(names) < 3:
+        return [(n, 1.0, True) for n in names]
+    cols = [*names, target]
+    rows = wide.na.drop(subset=[target]).select(F.pmod(F.xxhash64("symbol", "date"), F.lit(folds)).alias("fold"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols])
+    cells = [F.sum(F.col(a) * F.col(b)).alias(f"g_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    parts = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(cols)], *cells).collect()
+    k = len(cols)
+
+    def moments(used) -> tuple[np.ndarray, np.ndarray, float]:
+        n = float(sum(r["n"] for r in used))
+        s = np.array([sum(r[f"s_{i}"] for r in used) for i in range(k)]) / n
+        g = np.array([[sum(r[f"g_{min(i, j)}_{max(i, j)}"] for r in used) for j in range(k)] for i in range(k)]) / n
+        return g - np.outer(s, s), s, n
+
+    whole, _, n = moments(parts) if parts else (None, None, 0)
+    if n < 50:
+        return [(r["name"], r["score"], r["keep"]) for r in screen_by_return(wide, names, target).collect()]
+    scale = np.sqrt(np.maximum(np.diag(whole), 1e-300))
+
+    def scaled(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        z = c / np.outer(scale, scale)
+        return z[:-1, :-1], z[:-1, -1], float(z[-1, -1])
+
+    top = float(np.abs(scaled(whole)[1]).max())
+    tries = top * np.logspace(0, -3, strengths)
+    loss = np.zeros(strengths)
+    for out in parts:
+        g, xy, _ = scaled(moments([r for r in parts if r is not out])[0])
+        held, hxy, yy = scaled(moments([out])[0])
+        for i, s in enumerate(tries):
+            b = lasso_path(g, xy, s)
+            loss[i] += (yy - 2 * b @ hxy + b @ held @ b) * out["n"]
+    g, xy, _ = scaled(whole)
+    b = lasso_path(g, xy, tries[int(np.argmin(loss))])
+    return [(n, float(v), bool(abs(v) > 1e-6)) for n, v in zip(names, b, strict=True)]
+
+
+def orthogonalize_in_turn(wide: DataFrame, names: list[str], least: int = 5) -> DataFrame:
+    """Each factor's residual, within the date, on all before it with intercept; null with fewer than `least` complete rows.
+
+    Several regressors have no window form, so each date is one small group in Python.
+    """
+    schema = "symbol string, date date, " + ", ".join(f"`{n}_orth` double" for n in names)
+
+    def run(pdf):
+        out = pdf[["symbol", "date"]].copy()
+        m = pdf[names].to_numpy(float)
+        for i, n in enumerate(names):
+            r = m[:, i].copy()
+            if i:
+                ok = ~np.isnan(m[:, : i + 1]).any(axis=1)
+                r[:] = np.nan
+                if ok.sum() >= least:
+                    a = np.column_stack([np.ones(ok.sum()), m[ok, :i]])
+                    r[ok] = m[ok, i] - a @ np.linalg.lstsq(a, m[ok, i], rcond=None)[0]
+            out[f"{n}_orth"] = r
+        return out
+
+    made = wide.select("symbol", "date", *names).groupBy("date").applyInPandas(run, schema)
+    return made.select("symbol", "date", *[F.when(~F.isnan(f"{n}_orth"), F.col(f"{n}_orth")).alias(f"{n}_orth") for n in names])
+
+
 def truncate(scores: DataFrame, ratio: float = 0.1, least: int = 5) -> DataFrame:
     """The best max(least, ceil(n * ratio)) rows by score."""
     at = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "name"))

@@ -81,3 +81,8 @@ def coalesced(key: str, value: str, *sources: DataFrame) -> DataFrame:
         more = s.select(F.col(key), F.col(value).alias("_more"))
         out = out.join(more, key, "full_outer").select(key, F.coalesce(value, "_more").alias(value))
     return out
+
+
+def learned_monitor(records: DataFrame, weak: float = 0.02) -> DataFrame:
+    """n, mean |ic| and number of weak factors of each category."""
+    return records.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("ic")).alias("mean_abs_ic"), F.sum((F.abs("ic") < weak).cast("int")).alias("weak"))

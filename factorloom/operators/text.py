@@ -119,3 +119,39 @@ def table_rows(markdown: Column) -> Column:
     lines = F.filter(F.split(markdown, "\n"), lambda x: F.trim(x).startswith("|"))
     body = F.filter(lines, lambda x, i: (i >= 1) & ~x.rlike(r"^[\s|:\-]+$"))
     return F.transform(body, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
+
+
+def atom_entries(xml: Column) -> Column:
+    """array of (title, author, published) of an Atom feed."""
+    at = lambda path: F.xpath(xml, F.lit(path))
+    return F.arrays_zip(at("//entry/title/text()").alias("title"), at("//entry/author[1]/name/text()").alias("author"), at("//entry/published/text()").alias("published"))
+
+
+def parsed_date(text: Column) -> Column:
+    """The date in any of the usual forms; null if none fits."""
+    forms = ("yyyy-MM-dd", "yyyyMMdd", "yyyy/MM/dd", "yyyy.MM.dd")
+    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in forms]).cast("date")
+
+
+def quote(line: Column) -> Column:
+    """struct(code, name, price, change, percent) of a quote line: fields are name, open, previous close, price."""
+    f = quote_fields(line)
+    number = lambda i: F.get(f, i).try_cast("double")
+    change = number(3) - number(2)
+    return F.struct(F.regexp_extract(line, r"hq_str_(\w+)=", 1).alias("code"), F.get(f, 0).alias("name"), number(3).alias("price"), change.alias("change"), (F.try_divide(change, number(2)) * 100).alias("percent"))
+
+
+def key_points(code: Column, points: dict[str, str]) -> Column:
+    """Labels of the tokens that a piece of code has, in the given order."""
+    return F.filter(F.array(*[F.when(F.contains(code, F.lit(k)), F.lit(v)) for k, v in points.items()]), lambda x: x.isNotNull())
+
+
+def instructions(records: DataFrame) -> DataFrame:
+    """instruction, input, output of the records that have code, for fine-tuning."""
+    rows = records.filter(F.coalesce(F.trim("code"), F.lit("")) != "")
+    return rows.select(F.concat(F.lit("Write the factor "), F.col("title")).alias("instruction"), F.coalesce("description", F.lit("")).alias("input"), F.col("code").alias("output"))
+
+
+def daily_sentiment(news: DataFrame, positive: list[str], negative: list[str]) -> DataFrame:
+    """Mean sentiment of the texts of each (symbol, date)."""
+    return news.groupBy("symbol", "date").agg(F.avg(sentiment_counts(F.col("text"), positive, negative)).alias("sentiment"), F.count(F.lit(1)).alias("n"))

@@ -60,6 +60,9 @@ _ALL = {
     "factor_templates": tree_query(factors.TEMPLATES),
     "factor_zoo": tree_query(factors.ZOO),
     "factor_pool": tree_query(factors.POOL),
+    "factor_demo": tree_query(factors.DEMO),
+    "factor_mixed": tree_query(factors.MIXED, places=8),
+    "factor_parameter_grid": tree_query({f"reversal_{n}_of_{m}": x.lag(-x.total(factors.P, n) / (x.std(factors.R, m) + factors.EPS)) for n in (1, 3, 5) for m in (10, 20)}),
     "features_28": tree_query(factors.FEATURES),
     "gp_expressions": tree_query({k: x.fill(x.lag(t), 0) for k, t in GENOMES.items()}),
 }

@@ -112,3 +112,51 @@ def test_chunks_keep_all_words(spark):
 def test_upsert_and_ttl(spark):
     a, b = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, store.upsert(a, b, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_lint():
+    from factorloom.operators import udf
+
+    body = "def f(df):\n    return df.close.{}\n"
+    assert udf.lint(body.format("shift(0)")) and udf.lint(body.format("shift(-1)")) and udf.lint("def f(df):\n    return df['fwd_ret']\n")
+    assert not udf.lint(body.format("shift(1)"))
+
+
+def test_user_factor_is_refused(bars):
+    from factorloom.operators import udf
+
+    def peek(pdf):
+        return pdf.close.shift(-1)
+
+    with pytest.raises(ValueError):
+        udf.over_time(bars, peek)
+
+
+def test_lasso_keeps_what_predicts(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(600, 4))
+    pdf = pd.DataFrame(m, columns=list("abcd"))
+    pdf["ret"] = 0.8 * pdf.a - 0.5 * pdf.c + rng.normal(0, 0.1, 600)
+    pdf["symbol"], pdf["date"] = [str(i % 20) for i in range(600)], [datetime.date(2020, 1, 1) + datetime.timedelta(i // 20) for i in range(600)]
+    got = {n: (b, k) for n, b, k in combine.lasso_screen(spark.createDataFrame(pdf), list("abcd"), "ret")}
+    assert got["a"][1] and got["c"][1] and got["a"][0] > 0.5 and got["c"][0] < -0.3 and abs(got["b"][0]) < 0.05
+
+
+def test_orthogonal_in_turn(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(60, 3))
+    m[:, 2] += m[:, 0] - 2 * m[:, 1]
+    pdf = pd.DataFrame(m, columns=list("abc"))
+    pdf["symbol"], pdf["date"] = [str(i) for i in range(60)], datetime.date(2020, 1, 1)
+    out = combine.orthogonalize_in_turn(spark.createDataFrame(pdf), list("abc")).toPandas()
+    c = np.corrcoef(out[["a_orth", "b_orth", "c_orth"]].to_numpy().T)
+    np.testing.assert_allclose(c, np.eye(3), atol=1e-9)
+
+
+def test_as_of(spark):
+    from factorloom.operators import align
+
+    left = spark.createDataFrame([("k", 5, 1.0), ("k", 1, 2.0), ("z", 9, 3.0)], "key string, at int, x double")
+    right = spark.createDataFrame([("k", 2, 7), ("k", 5, 8), ("k", 9, 9)], "key string, at int, v int")
+    got = {(r.key, r["at"]): r.v for r in align.as_of(left, right, "key", "at", ["v"]).collect()}
+    assert got == {("k", 5): 8, ("k", 1): None, ("z", 9): None}
