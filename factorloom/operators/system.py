@@ -69,5 +69,38 @@ def forecasts(bars: DataFrame, look_back: int = 20, horizon: int = 5) -> DataFra
 def graded(sharpe, ret, turnover):
     """Fitness sharpe * sqrt(|ret| / max(turnover, 0.125)) and its grade."""
     fit = sharpe * F.sqrt(F.abs(ret) / F.greatest(turnover, F.lit(0.125)))
-    grade = F.when(fit >= 3, "spectacular").when(fit >= 2, "excellent").when(fit >= 1.5, "good").when(fit >= 1, "average").otherwise("needs improvement")
+    grade = F.when(fit > 2.5, "spectacular").when(fit >= 2, "excellent").when(fit >= 1.5, "good").when(fit >= 1, "average").otherwise("needs improvement")
     return fit, grade
+
+
+def dictionary_portfolio(bars: DataFrame, factor: DataFrame, sign: float = 1.0, limit: float = 9.5) -> DataFrame:
+    """date, ret, turnover of the long-only portfolio weighted by the factor's excess over the date's mean.
+
+    Weights are max(0, (factor - mean) * sign) over their sum; a symbol at its price limit on the date has weight 0, and the rest stay
+    as they are. Turnover is half the summed change of weights.
+    """
+    by = W.partitionBy("symbol").orderBy("date")
+    day = W.partitionBy("date")
+    rows = bars.select("symbol", "date", "pct_chg", F.lead("ret").over(by).alias("fwd_ret")).join(factor.select("symbol", "date", "factor"), ["symbol", "date"]).na.drop(subset=["factor"])
+    rows = rows.withColumn("raw", F.greatest(F.lit(0.0), (F.col("factor") - F.avg("factor").over(day)) * sign))
+    rows = rows.withColumn("w", F.coalesce(F.try_divide(F.col("raw"), F.sum("raw").over(day)), F.lit(0.0)))
+    rows = rows.withColumn("w", F.when(F.abs("pct_chg") >= limit, 0.0).otherwise(F.col("w")))
+    rows = rows.withColumn("d", F.abs(F.col("w") - F.coalesce(F.lag("w").over(by), F.lit(0.0))))
+    return rows.groupBy("date").agg(F.sum(F.col("w") * F.coalesce("fwd_ret", F.lit(0.0))).alias("ret"), (F.sum("d") / 2).alias("turnover"))
+
+
+def statistical_quality(series: DataFrame, key: str, value: str) -> DataFrame:
+    """key, quality: 0.4 / (sd + 1) + 0.3 (1 - min(|skew|, 5) / 5) + 0.3 |autocorrelation|, within 0 and 1; 0.3 under ten values."""
+    from factorloom.functions.cross import safe_corr
+
+    by = W.partitionBy(key).orderBy("date")
+    rows = series.select(key, "date", F.col(value).alias("v")).filter("v IS NOT NULL").withColumn("before", F.lag("v").over(by))
+    rows = rows.withColumn("z", (F.col("v") - F.avg("v").over(W.partitionBy(key))) / (F.stddev_pop("v").over(W.partitionBy(key)) + 1e-8))
+    got = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("v").alias("sd"), F.abs(F.avg(F.col("z") * F.col("z") * F.col("z"))).alias("skew"), F.abs(F.coalesce(safe_corr(F.col("before"), F.col("v")), F.lit(0.0))).alias("auto"))
+    quality = 0.4 / (F.col("sd") + 1) + 0.3 * (1 - F.least(F.col("skew"), F.lit(5.0)) / 5) + 0.3 * F.col("auto")
+    return got.select(key, F.when(F.col("n") < 10, 0.3).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality))).alias("quality"))
+
+
+def member_scores(members: DataFrame) -> DataFrame:
+    """name, score: 0.40 attention + 0.35 quality + 0.25 diversity."""
+    return members.select("name", (0.4 * F.col("attention") + 0.35 * F.col("quality") + 0.25 * F.col("diversity")).alias("score"))

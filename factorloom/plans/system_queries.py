@@ -12,6 +12,7 @@ from factorloom.sources import bars as source
 from factorloom.streaming import bars as stream
 
 from .base import bars_sql, rounded
+from .eval_queries import FACTOR, inputs
 
 BARS = bars_sql()
 NAMES = ["amihud_illiquidity_20d", "bollinger_pct_20d", "momentum_5d", "realized_vol_5d", "turnover_5d"]
@@ -81,7 +82,22 @@ _ALL = {
     "planted_recovery": (recovery, None),
     "fitness_grades": (
         fit_grades,
-        f"SELECT c_custkey, round({FIT}, 6) + 0 AS fitness, CASE WHEN {FIT} >= 3 THEN 'spectacular' WHEN {FIT} >= 2 THEN 'excellent' WHEN {FIT} >= 1.5 THEN 'good' WHEN {FIT} >= 1 THEN 'average' ELSE 'needs improvement' END AS grade FROM customer",
+        f"SELECT c_custkey, round({FIT}, 6) + 0 AS fitness, CASE WHEN {FIT} > 2.5 THEN 'spectacular' WHEN {FIT} >= 2 THEN 'excellent' WHEN {FIT} >= 1.5 THEN 'good' WHEN {FIT} >= 1 THEN 'average' ELSE 'needs improvement' END AS grade FROM customer",
+    ),
+    "dictionary_portfolio": (
+        lambda s, d: rounded(system.dictionary_portfolio(*inputs(s, d)), 8),
+        f"""WITH {BARS}, {FACTOR}, r AS (SELECT symbol, date, pct_chg, lead(ret) OVER (PARTITION BY symbol ORDER BY date) AS fwd FROM bars),
+j AS (SELECT *, greatest(0, factor - avg(factor) OVER (PARTITION BY date)) AS raw FROM r JOIN f USING (symbol, date) WHERE factor IS NOT NULL),
+w AS (SELECT *, CASE WHEN abs(pct_chg) >= 9.5 THEN 0 ELSE coalesce(raw / nullif(sum(raw) OVER (PARTITION BY date), 0), 0) END AS w FROM j),
+m AS (SELECT *, abs(w - coalesce(lag(w) OVER (PARTITION BY symbol ORDER BY date), 0)) AS d FROM w)
+SELECT date, round(sum(w * coalesce(fwd, 0)), 8) + 0 AS ret, round(sum(d) / 2, 8) AS turnover FROM m GROUP BY date""",
+    ),
+    "statistical_quality": (
+        lambda s, d: rounded(system.statistical_quality(source.bars(s, d), "symbol", "ret")),
+        f"""WITH {BARS}, v AS (SELECT symbol, date, ret AS v, lag(ret) OVER (PARTITION BY symbol ORDER BY date) AS before FROM bars WHERE ret IS NOT NULL),
+z AS (SELECT *, (v - avg(v) OVER (PARTITION BY symbol)) / (stddev_pop(v) OVER (PARTITION BY symbol) + 1e-8) AS z FROM v),
+g AS (SELECT symbol, count(*) AS n, stddev_pop(v) AS sd, abs(avg(z * z * z)) AS sk, abs(coalesce(corr(before, v), 0)) AS au FROM z GROUP BY symbol)
+SELECT symbol, round(CASE WHEN n < 10 THEN 0.3 ELSE greatest(0, least(1, 0.4 / (sd + 1) + 0.3 * (1 - least(sk, 5) / 5) + 0.3 * au)) END, 6) AS quality FROM g""",
     ),
     "forecast_stub": (
         lambda s, d: rounded(system.forecasts(source.bars(s, d))),

@@ -73,17 +73,19 @@ def latest(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return out.select(*keys, *[F.col(f"kept.{c}").alias(c) for c in kept])
 
 
-#: Standard bar column -> names it may have, first present wins (fixed values).
+#: Standard column -> names it may have, first present wins (fixed values).
 ALIASES = {
-    "date": ("date", "trade_date", "日期", "交易日期"),
-    "symbol": ("symbol", "code", "ts_code", "股票代码", "代码"),
-    "open": ("open", "开盘"),
-    "high": ("high", "最高"),
-    "low": ("low", "最低"),
-    "close": ("close", "收盘"),
-    "volume": ("volume", "vol", "成交量"),
-    "amount": ("amount", "成交额"),
-    "pct_chg": ("pct_chg", "涨跌幅"),
+    "date": ("date", "trade_date", "trading_day", "time", "datetime", "timestamp", "日期", "交易日"),
+    "symbol": ("symbol", "code", "ticker", "stock_code", "股票", "代码", "标的"),
+    "close": ("close", "price", "收盘价", "收盘", "最新价"),
+    "open": ("open", "开盘价", "开盘"),
+    "high": ("high", "最高价", "最高"),
+    "low": ("low", "最低价", "最低"),
+    "volume": ("volume", "vol", "成交量", "量"),
+    "amount": ("amount", "turnover", "成交额", "金额"),
+    "pct_chg": ("pct_chg", "pct_change", "ret", "chg", "涨跌幅", "收益率"),
+    "text": ("text", "content", "新闻", "公告", "研报", "body", "article", "description"),
+    "factor": ("factor", "alpha", "signal", "score", "value", "因子", "信号", "评分"),
 }
 
 
