@@ -1,6 +1,6 @@
 """Document fingerprints: a Merkle tree over leaves, paragraphs and sections.
 
-Leaves are runs of LEAF code points within a paragraph, paragraphs are lines, sections are SECTION
+Leaves are runs of LEAF code points within a paragraph (of fewer in short texts), paragraphs are lines, sections are SECTION
 paragraphs in a row. A paragraph's digest is of its text, a section's of its paragraphs' digests, the root's of
 the sections'. Equal roots mean equal texts; where roots differ, only sections whose digests differ need
 looking into, and their differing paragraphs locate the edits.
@@ -24,6 +24,8 @@ from . import common
 from .common import let
 
 LEAF = 8
+#: Texts of under SHORT code points have leaves of SHORT_LEAF.
+SHORT, SHORT_LEAF = 64, 2
 SECTION = 8
 SKETCH = 64
 
@@ -48,7 +50,8 @@ def tree(text: Column) -> Column:
 
 def leaf_hashes(text: Column) -> Column:
     """Distinct 32-bit hashes of the leaves, ascending. Leaves don't cross paragraphs: the pattern's dot stops at line ends."""
-    leaves = F.regexp_extract_all(text, F.lit("(?d).{1,%d}" % LEAF), F.lit(0))
+    cut = lambda n: F.regexp_extract_all(text, F.lit("(?d).{1,%d}" % n), F.lit(0))
+    leaves = F.when(F.length(text) < SHORT, cut(SHORT_LEAF)).otherwise(cut(LEAF))
     return F.sort_array(F.array_distinct(F.transform(leaves, lambda x: F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)))))
 
 
