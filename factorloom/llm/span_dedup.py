@@ -137,36 +137,43 @@ def without(text: str, repeated: np.ndarray) -> tuple[str, int, int]:
     return kept, len(starts), int(gone.sum())
 
 
-def key_columns():
-    """A document's place: nulls last, then doc_id, then a hash of its text."""
-    return F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("part")
+#: Stands for a null doc_id, so that those documents come last.
+NONE = (1 << 63) - 1
+
+
+def place(text, doc_id):
+    """A document's place in the order: doc (nulls last), then part, a hash of its text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NONE)).alias("doc"), F.xxhash64(text).alias("part")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc, part, positions: the first sentences of every span that occurs earlier."""
+    """(doc_id, text) -> doc, part, positions: the first sentences of every span that occurs earlier; written out."""
 
     def run(batches):
         for b in batches:
             made = [span_hashes(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("none"), b.column("doc"), b.column("part"), pa.array(made, pa.list_(pa.int64()))], ["none", "doc", "part", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("part"), pa.array(made, pa.list_(pa.int64()))], ["doc", "part", "spans"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    made = docs.select("text", *key_columns()).mapInArrow(run, f"none boolean, doc {kind}, part long, spans array<long>")
+    made = docs.select("text", *place(F.col("text"), F.col("doc_id"))).mapInArrow(run, "doc long, part long, spans array<long>")
     made = common.materialize(made)
-    rows = made.select("none", "doc", "part", F.posexplode("spans").alias("position", "span")).filter("span != 0")
-    place = F.struct("none", "doc", "part", "position")
+    rows = made.select("doc", "part", F.posexplode("spans").alias("position", "span")).filter("span != 0")
+    at = F.struct("doc", "part", "position")
     # written out, so that the join below reads both sides from exchanges and a very common span can be split
-    seen = common.materialize(rows.groupBy("span").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("span", "first"))
-    again = rows.join(seen, "span").filter(~place.eqNullSafe(F.col("first")))
-    return again.groupBy("doc", "part").agg(F.collect_set("position").alias("positions"))
+    seen = common.materialize(rows.groupBy("span").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("span", "first"))
+    again = rows.join(seen, "span").filter(at != F.col("first"))
+    out = common.materialize(again.groupBy("doc", "part").agg(F.collect_set("position").alias("positions")))
+    common.release(made)
+    common.release(seen)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with text shortened, and sentences and removed_sentences counted; columns of those names are replaced."""
     docs = docs.drop("sentences", "removed_sentences")
-    hit = common.materialize(repeated_spans(docs.select("doc_id", "text")))
+    hit = repeated_spans(docs.select("doc_id", "text"))
     hit = hit.select(F.col("doc").alias("__doc"), F.col("part").alias("__part"), F.col("positions").alias("__positions"))
-    rows = docs.join(hit, docs.doc_id.eqNullSafe(hit["__doc"]) & (F.xxhash64(docs.text) == hit["__part"]), "left")
+    doc, part = place(docs.text, docs.doc_id)
+    rows = docs.join(hit, (doc == hit["__doc"]) & (part == hit["__part"]), "left")
     names = docs.columns
     rows = rows.select(*[F.col(f"`{c}`") for c in names], "__positions")
     at = names.index("text")
