@@ -106,7 +106,8 @@ def cost_grid(steps: DataFrame, commissions=(0.0001, 0.0003, 0.0005), stamp_tax:
 
 def filled(bars: DataFrame) -> DataFrame:
     """symbol, date, close over all dates of any symbol; gaps take the last close before."""
-    grid = bars.select("date").distinct().crossJoin(F.broadcast(bars.select("symbol").distinct()))
+    # the calendar has one row a date; only it is sent to all
+    grid = bars.select("symbol").distinct().crossJoin(F.broadcast(bars.select("date").distinct()))
     rows = grid.join(bars.select("symbol", "date", "close"), ["symbol", "date"], "left")
     return rows.withColumn("close", F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(W.unboundedPreceding, 0)))
 
@@ -118,7 +119,7 @@ def index_returns(bars: DataFrame, weights: DataFrame | None = None) -> DataFram
         n = bars.agg(F.countDistinct("symbol").alias("n"))
         return rows.groupBy("date").agg(F.sum("r").alias("s")).crossJoin(F.broadcast(n)).select("date", (F.col("s") / F.col("n")).alias("ret"))
     scaled = weights.withColumn("weight", F.col("weight") / F.sum("weight").over(W.partitionBy(F.lit(0))))
-    return rows.join(F.broadcast(scaled), "symbol").groupBy("date").agg(F.sum(F.col("r") * F.col("weight")).alias("ret"))
+    return rows.join(scaled, "symbol").groupBy("date").agg(F.sum(F.col("r") * F.col("weight")).alias("ret"))
 
 
 def index_levels(returns: DataFrame, base: float = 1000.0) -> DataFrame:

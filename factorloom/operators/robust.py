@@ -75,7 +75,7 @@ def style_exposure(bars: DataFrame, factor: DataFrame, caps: DataFrame, window:
 
 def industry_exposure(factor: DataFrame, dims: DataFrame) -> DataFrame:
     """industry, mean_rank, and over all industries max_bias and neutral."""
-    rows = factor.withColumn("r", rank_pct(F.col("factor"), "date")).join(F.broadcast(dims.select("symbol", "industry")), "symbol")
+    rows = factor.withColumn("r", rank_pct(F.col("factor"), "date")).join(dims.select("symbol", "industry"), "symbol")
     by = rows.groupBy("industry").agg(F.avg("r").alias("mean_rank"))
     bias = F.max("mean_rank").over(W.partitionBy(F.lit(0))) - F.min("mean_rank").over(W.partitionBy(F.lit(0)))  # one row an industry
     return by.withColumn("max_bias", bias).withColumn("neutral", F.col("max_bias") <= 0.1)

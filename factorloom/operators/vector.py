@@ -68,4 +68,4 @@ def centroid_similarity(vectors: DataFrame, key: str, value: str) -> DataFrame:
     """Each row's cosine with the mean vector of its group, as guidance towards diversity."""
     flat = vectors.select(key, F.posexplode(value).alias("i", "v")).groupBy(key, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
     mean = flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("mean"))
-    return vectors.join(F.broadcast(mean), key).withColumn("similarity", cosine(F.col(value), F.col("mean")))
+    return vectors.join(mean, key).withColumn("similarity", cosine(F.col(value), F.col("mean")))

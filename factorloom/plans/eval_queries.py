@@ -70,7 +70,7 @@ def long_short_query(mode):
 def cross_section(s, d):
     b = source.bars(s, d)
     f = x.columns(b, {"factor": TREE, "other": OTHER})
-    return f.join(F.broadcast(source.dimensions(s, d)), "symbol")
+    return f.join(source.dimensions(s, d), "symbol")
 
 
 CROSS = f"{BARS}, {DIMS_SQL}, f0 AS (WITH {factor_sql(factor=TREE, other=OTHER)}), f AS (SELECT f0.*, industry, mkt_cap FROM f0 JOIN dims USING (symbol))"
@@ -122,7 +122,7 @@ SELECT symbol, date, round(CASE WHEN n < 10 THEN factor ELSE y END, 6) + 0 AS by
 
 
 def market(s, d):
-    df = source.bars(s, d).join(F.broadcast(source.dimensions(s, d)), "symbol").filter("ret IS NOT NULL")
+    df = source.bars(s, d).join(source.dimensions(s, d), "symbol").filter("ret IS NOT NULL")
     w = cross.on("date")
     cap = F.greatest(F.col("mkt_cap"), F.lit(0.0))
     vw = F.try_divide(F.sum(F.col("ret") * cap).over(w), F.sum(cap).over(w))
