@@ -29,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables that this session wrote to the shared folder; call it once results have been saved."""
+    while _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -36,6 +46,7 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._factorloom_path = path
+    _WRITTEN.append(path)
     return out
 
 
@@ -46,6 +57,8 @@ def release(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
 
 
 def let(value: Column, body) -> Column:

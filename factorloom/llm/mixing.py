@@ -26,8 +26,8 @@ from . import common
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BINS = 1024
-#: Sources up to which the table of sources is broadcast: one row of under 200 bytes each, so 1.6 MB at most.
-BROADCAST_SOURCES = 8192
+#: Sources up to which the table of sources is broadcast: a row holds BINS numbers of 8 bytes, so 8.4 MB at most.
+BROADCAST_SOURCES = 1024
 
 
 def size_of(text: Column) -> Column:
