@@ -27,6 +27,8 @@ LONGEST = 12
 CUT = 6
 #: Words after which a piece ends if no word's hash ends it.
 MOST = 24
+#: Bits of the map that tells spans which may be repeated.
+MARK_BITS = 25
 ENDS = np.array([ord(c) for c in ".!?\n\r…。！？"], np.uint32)
 
 
@@ -146,6 +148,32 @@ def place(text, doc_id):
     return F.coalesce(doc_id.cast("long"), F.lit(NONE)).alias("doc"), F.xxhash64(text).alias("part")
 
 
+def marked(made: DataFrame, seen: DataFrame) -> DataFrame:
+    """doc, part, position, span of the spans in `seen` and of few others, so that few rows go to the join.
+
+    What is broadcast is a bitmap of 2 ** MARK_BITS bits, whatever the number of spans.
+    """
+    bit = F.col("span").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    words = seen.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(span & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    held = made.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def run(batches):
+        for b in batches:
+            spans = b.column("spans")
+            flat = spans.flatten().to_numpy(zero_copy_only=False)
+            sizes = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            low = flat & ((1 << MARK_BITS) - 1)
+            hit = np.flatnonzero(((held.value[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1)).astype(bool) & (flat != 0))
+            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            position = hit - (np.cumsum(sizes) - sizes)[row]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(at), b.column("part").take(at), pa.array(position.astype(np.int32)), pa.array(flat[hit])], ["doc", "part", "position", "span"])
+
+    return made.mapInArrow(run, "doc long, part long, position int, span long")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc, part, positions: the first sentences of every span that occurs earlier; written out."""
 
@@ -160,7 +188,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     at = F.struct("doc", "part", "position")
     # written out, so that the join below reads both sides from exchanges and a very common span can be split
     seen = common.materialize(rows.groupBy("span").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("span", "first"))
-    again = rows.join(seen, "span").filter(at != F.col("first"))
+    again = marked(made, seen).join(seen, "span").filter(at != F.col("first"))
     out = common.materialize(again.groupBy("doc", "part").agg(F.collect_set("position").alias("positions")))
     common.release(made)
     common.release(seen)
