@@ -45,6 +45,8 @@ AROUND = frozenset(
     cookie cookies consent gdpr notice notices alert popup modal overlay lightbox newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond reply replies
     pager pagination skip widget widgets copyright legal contentinfo complementary search hidden""".split()
 )
+#: Those words that an article element of its own may have.
+REMARKS = frozenset("comment comments respond reply replies related recommended recommendations sponsored advert advertisement".split())
 SHARE = 0.3
 MOST = 0.9
 
@@ -73,8 +75,11 @@ def surrounds(tag: str, attrs: str, within: bool) -> bool:
                 return True
         elif name in ("class", "id", "role"):
             words = {w.lower() for w in PART.findall(value)}
-            if words & AROUND or ("header" in words and not within):
-                return tag not in ARTICLE
+            if tag in ARTICLE:
+                if words & REMARKS:
+                    return True
+            elif words & AROUND or ("header" in words and not within):
+                return True
     return False
 
 

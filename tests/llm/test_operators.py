@@ -243,6 +243,8 @@ def test_html(spark):
     assert html_text.main_text(page) == "A title\n\nFirst paragraph & more, same block.\n\nSecond é one, bold text here.\n\nitem one\n\nitem two"
     plain = "<body><div class='menu'><a>x</a></div><div id=main><h2>Head</h2><p>Some words, and more. Yes.</p><p>Other words, too.</p></div></body>"
     assert html_text.main_text(plain) == "Head\n\nSome words, and more. Yes.\n\nOther words, too."
+    remarks = "<main class='page-sidebar-left'><article class='post'><p>The text, at length. It goes on.</p></article><section><article class='comment'><p>A remark, at length. It also goes on and on.</p></article></section></main>"
+    assert html_text.main_text(remarks) == "The text, at length. It goes on."
     for odd in (None, "", "<", "<a href='x", "</p></p>", "<script>never ends", "<!-- open", "&#xZZ; &bogus;", "<p>" * 3000 + "deep"):
         html_text.main_text(odd)
     df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None)], "page_id long, url string, html string")
