@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,20 +70,69 @@ def chunks(text: Column, most: int = 320) -> Column:
     return state
 
 
-def term_weights(docs: DataFrame, key: str) -> DataFrame:
-    """key, token, w: frequency of each lower-case token of over one character, scaled to length 1."""
-    rows = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).alias("token")).filter(F.length("token") > 1)
-    tf = rows.groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    norm = tf.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return tf.join(norm, key).select(key, "token", (F.col("tf") / F.col("norm")).alias("w"))
+#: Queries sent to executors at once.
+BLOCK = 1024
+#: A run of letters, digits and characters beyond ASCII.
+TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def term_weights(text: str | None) -> dict[str, float]:
+    """Frequency of each lower-case token of over one character, scaled to length 1."""
+    counts = Counter(t for t in TOKEN.findall((text or "").lower()) if len(t) > 1)
+    norm = math.sqrt(sum(n * n for n in counts.values()))
+    return {t: n / norm for t, n in counts.items()}
 
 
 def lexical_top(docs: DataFrame, queries: DataFrame, k: int = 5, places: int = 8) -> DataFrame:
-    """item_id, doc_id, score, rank: the k documents of highest cosine over term frequencies for each query, ties by doc_id."""
-    d, q = term_weights(docs, "doc_id"), term_weights(queries, "item_id")
-    scores = d.join(q.withColumnRenamed("w", "wq"), "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("wq")), places).alias("score"))
+    """item_id, doc_id, score, rank: the k documents of highest cosine over term frequencies for each query, ties by doc_id.
+
+    A block of queries meets every document once, through an index from token to the queries that have it; a task keeps its own k
+    best for each query, so that documents aren't shuffled. Documents without a common token have no row.
+    """
+    spark = docs.sparkSession
+    blocks = -(-queries.count() // BLOCK)
+    out = None
+    for b in range(blocks):
+        # about BLOCK rows, whatever the number of queries
+        rows = queries.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").orderBy("item_id").collect()
+        if not rows:
+            continue
+        index: dict[str, tuple[list[int], list[float]]] = {}
+        for i, r in enumerate(rows):
+            for t, w in term_weights(r["text"]).items():
+                at = index.setdefault(t, ([], []))
+                at[0].append(i)
+                at[1].append(w)
+        held = spark.sparkContext.broadcast(([r["item_id"] for r in rows], {t: (np.array(i), np.array(w)) for t, (i, w) in index.items()}))
+
+        def run(it, held=held):
+            names, index = held.value
+            best = [(np.empty(0), np.empty(0, np.int64))] * len(names)
+            for pdf in it:
+                score = np.zeros((len(names), len(pdf)))
+                for j, text in enumerate(pdf.text):
+                    for t, w in term_weights(text).items():
+                        at = index.get(t)
+                        if at is not None:
+                            score[at[0], j] += at[1] * w
+                score = np.round(score, places)
+                ids = pdf.doc_id.to_numpy()
+                for i in range(len(names)):
+                    some = np.flatnonzero(score[i] > 0)
+                    if len(some) > k:
+                        some = some[score[i][some] >= np.partition(score[i][some], -k)[-k]]
+                    v, d = np.concatenate([best[i][0], score[i][some]]), np.concatenate([best[i][1], ids[some]])
+                    keep = np.lexsort((d, -v))[:k]
+                    best[i] = (v[keep], d[keep])
+            for i, name in enumerate(names):
+                yield pd.DataFrame({"item_id": np.full(len(best[i][0]), name, np.int64), "doc_id": best[i][1], "score": best[i][0]})
+
+        one = docs.select("doc_id", "text").mapInPandas(run, "item_id long, doc_id long, score double")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return spark.createDataFrame([], "item_id long, doc_id long, score double, rank int")
     at = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return scores.filter("score > 0").withColumn("rank", at).filter(F.col("rank") <= k)
+    return out.withColumn("rank", at).filter(F.col("rank") <= k)
 
 
 def cn_number(text: Column) -> Column:
