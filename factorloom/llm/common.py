@@ -61,6 +61,19 @@ def release(df: DataFrame) -> None:
             _WRITTEN.remove(path)
 
 
+#: Rows in a batch that goes to Python: ten thousand texts at once would take a worker and its executor hundreds of MB.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with batches of BATCH_ROWS rows at most for what Python maps from here on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once; a lambda variable, unlike a column, is never inlined."""
     return F.element_at(F.transform(F.array(value), body), 1)

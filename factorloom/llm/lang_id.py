@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import codes
+from . import codes, common
 
 DIM_BITS = 16
 DIM = 1 << DIM_BITS
@@ -141,7 +141,7 @@ def fit(train: DataFrame, per_lang: int = 500, landmarks: int = 256, ridge: floa
             made = [bits(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("unit"), pa.array(made, pa.binary())], ["lang", "unit", "bits"])
 
-    got = few.mapInArrow(encode, "lang string, unit long, bits binary").filter("bits IS NOT NULL").collect()
+    got = few.transform(common.small_batches).mapInArrow(encode, "lang string, unit long, bits binary").filter("bits IS NOT NULL").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["unit"], r["lang"], r["bits"]))
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text", "held_out").transform(common.small_batches).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 5, held_fold: int = 0, **params) -> DataFrame:

@@ -147,7 +147,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
             keys = hilbert(np.stack(cells)) if cells else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "key", "digest", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, digest long, ids binary")
+    return docs.select("doc_id", "text").transform(common.small_batches).mapInArrow(run, f"doc_id {kind}, key long, digest long, ids binary")
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -176,4 +176,4 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
                 [b.column("doc_id").take(pa.array(rows["at"], pa.int64())), *[pa.array(rows[k], pa.int64()) for k in list(rows)[1:]]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             )
 
-    return ordered.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ordered.select("doc_id", "ids").transform(common.small_batches).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int =
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(made, pa.binary())], ["doc_id", "label", "tokens"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = rows.mapInArrow(encode, f"doc_id {kind}, label int, tokens binary").collect()
+    got = rows.transform(common.small_batches).mapInArrow(encode, f"doc_id {kind}, label int, tokens binary").collect()
     common.release(ids)
     got.sort(key=lambda r: (r["doc_id"], bytes(r["tokens"])))
     if len({r["label"] for r in got}) < 2:
@@ -216,7 +216,7 @@ def score(rows: DataFrame, model: Model | float) -> DataFrame:
                 s = sigmoid(logits(m, x) / m.temperature)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())], names=[*b.schema.names, "score", "predicted"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(common.small_batches).mapInArrow(run, schema)
 
 
 def held_out(doc_id, folds: int = 4, fold: int = 2):

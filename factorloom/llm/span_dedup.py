@@ -171,7 +171,7 @@ def marked(made: DataFrame, seen: DataFrame) -> DataFrame:
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column("doc").take(at), b.column("part").take(at), pa.array(position.astype(np.int32)), pa.array(flat[hit])], ["doc", "part", "position", "span"])
 
-    return made.mapInArrow(run, "doc long, part long, position int, span long")
+    return made.transform(common.small_batches).mapInArrow(run, "doc long, part long, position int, span long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             made = [span_hashes(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("part"), pa.array(made, pa.list_(pa.int64()))], ["doc", "part", "spans"])
 
-    made = docs.select("text", *place(F.col("text"), F.col("doc_id"))).mapInArrow(run, "doc long, part long, spans array<long>")
+    made = docs.select("text", *place(F.col("text"), F.col("doc_id"))).transform(common.small_batches).mapInArrow(run, "doc long, part long, spans array<long>")
     made = common.materialize(made)
     rows = made.select("doc", "part", F.posexplode("spans").alias("position", "span")).filter("span != 0")
     at = F.struct("doc", "part", "position")
@@ -226,4 +226,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("sentences", T.LongType()), T.StructField("removed_sentences", T.LongType())])
-    return rows.mapInArrow(run, schema)
+    return rows.transform(common.small_batches).mapInArrow(run, schema)

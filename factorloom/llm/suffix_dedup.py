@@ -74,7 +74,7 @@ def find_stretches(docs: DataFrame, length: int) -> DataFrame:
             columns = [b.column("doc").take(at), b.column("part").take(at), pa.array(signed(h)), pa.array(signed(s)), *[pa.array(x.astype(np.int32)) for x in (first, last, place)]]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "part", "anchor", "stretch", "first", "last", "at"])
 
-    return docs.select("doc", "part", "text").mapInArrow(run, f"doc {kind}, part long, anchor long, stretch long, first int, last int, at int")
+    return docs.select("doc", "part", "text").transform(common.small_batches).mapInArrow(run, f"doc {kind}, part long, anchor long, stretch long, first int, last int, at int")
 
 
 def pieces(rows: DataFrame, length: int, shards: int) -> DataFrame:
@@ -97,7 +97,7 @@ def pieces(rows: DataFrame, length: int, shards: int) -> DataFrame:
                             out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
 
-    return rows.select("text", "wanted").mapInArrow(run, "shard long, piece int, anchor long, stretch long, low int, high int, data binary")
+    return rows.select("text", "wanted").transform(common.small_batches).mapInArrow(run, "shard long, piece int, anchor long, stretch long, low int, high int, data binary")
 
 
 class Shard:
@@ -233,7 +233,7 @@ def sort_shards(sorted_pieces: DataFrame, length: int) -> DataFrame:
         if shard is not None:
             yield from emit(shard)
 
-    return sorted_pieces.mapInArrow(run, "anchor long, stretch long, runs array<int>")
+    return sorted_pieces.transform(common.small_batches).mapInArrow(run, "anchor long, stretch long, runs array<int>")
 
 
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
@@ -293,7 +293,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     spans.append(0)
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.transform(common.small_batches).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(kept: DataFrame) -> DataFrame:
