@@ -9,8 +9,11 @@ of diagonals matches m of a and b shingles with m / (a + b - m) >= 0.8.
 Equal texts are one node from the start, known by the digest of the text. In a bucket (texts with an equal tuple) not all
 pairs are compared: every text is compared with the most typical one that it shares a bucket with, the one with the
 largest buckets, which of a family of copies is the text they were made from; the links found are a forest. In further
-rounds, texts of buckets that still hold several classes are compared with drawn texts of other classes, until a round
-finds no link. Candidates that agree on fewer than AGREE tuples are not aligned. Classes are the components of all links.
+rounds, texts of buckets that still hold several classes are compared with drawn texts of other classes, as long as that
+finds links for a fair part of the pairs. What is left is settled exactly: in a bucket with few pairs across classes all
+of them are aligned; the texts of others are dealt anew by their rarest shingles, of which two texts of SIMILARITY must
+share one. So any two candidates end in one class, or were aligned, or can't align. Candidates that agree on fewer than
+AGREE tuples are not aligned. Classes are the components of all links.
 
 Defined results: a null text counts as empty; texts of under five words have one shingle of all their words;
 texts with no word are copies only of equal texts; rows that repeat doc_id and text are one document; a null
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import OrderedDict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,10 @@ LEAST = 2
 #: Tuples that a pair must agree on before its texts are aligned: at similarity 0.8 a pair agrees on 7.7 of 12 on average, and on
 #: fewer than 2 once in ten thousand.
 AGREE = 2
+#: Drawing goes on while one in so many pairs is a link.
+PAYS = 8
+#: Pairs across classes up to which a bucket is aligned as it is, without a look at its rarest shingles.
+FEW_PAIRS = 1024
 WORDS = re.compile(r"\w+")
 SEEDS = codes.mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -199,7 +207,67 @@ def alike(a: str, b: str):
     return F.size(F.array_intersect(a, b)) >= F.least(F.lit(AGREE), F.size(a), F.size(b))
 
 
-def labelled(docs: DataFrame, sketched: DataFrame, max_rounds: int = 4) -> DataFrame:
+def place(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with the label of each; a text without a link is a class of its own."""
+    return common.materialize(members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "weight", "keys", F.coalesce("label", "digest").alias("label")))
+
+
+def linked(placed: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """Aligns pairs (a, b, label_a, label_b): the labels of placed with the classes of links joined, the number of pairs, the number of links."""
+    tried = pairs.count()
+    found = common.materialize(verify(pairs.select("a", "b"), texts)) if tried else None
+    links = found.count() if tried else 0
+    if not links:
+        return placed.select(F.col("digest").alias("node"), "label"), tried, 0
+    joined = components(found.join(pairs, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    labels = placed.select("digest", "label").join(joined.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left")
+    return common.materialize(labels.select(F.col("digest").alias("node"), F.coalesce("joined", "label").alias("label"))), tried, links
+
+
+def rarest(texts: DataFrame) -> DataFrame:
+    """(digest, text) -> digest, n (shingles), key: the shingles of which any two of these texts that align must share one.
+
+    With all shingles in one order, texts that share a part s of each's shingles share one of the first n - ceil(s n) + 1.
+    The order is by the number of these texts that hold a shingle, so that a passage in many of them comes last;
+    shingles that only one text holds take their places, but are not returned.
+    """
+
+    def run(batches):
+        for b in batches:
+            made = [shingles(t.as_py()).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(made, pa.list_(pa.int64()))], ["digest", "marks"])
+
+    held = common.materialize(texts.select("digest", "text").transform(common.small_batches).mapInArrow(run, "digest string, marks array<long>"))
+    marks = held.select("digest", F.size("marks").alias("n"), F.explode("marks").alias("key"))
+    counts = common.materialize(marks.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    shared = marks.join(counts, "key").groupBy("digest").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "key"))).alias("shared"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY) - F.lit(1e-6)) + 1
+    left = F.greatest(F.lit(0), first - (F.col("n") - F.size("shared"))).cast("int")
+    return shared.select("digest", "n", F.explode(F.slice("shared", F.lit(1), left)).alias("at")).select("digest", "n", F.col("at.key").alias("key"))
+
+
+def unsettled(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest, keys, label) -> a, b, label_a, label_b: all candidates of different classes, but for those that can't align."""
+    rows = placed.select("digest", "label", "keys", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    many = F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))
+    mixed = common.materialize(sizes.groupBy("key").agg((many / 2).alias("pairs")).filter("pairs > 0"))
+    near = rows.join(mixed.filter(F.col("pairs") <= FEW_PAIRS), "key", "left_semi").select("key", "digest", "label", "keys", F.lit(None).cast("int").alias("n"))
+    hot = rows.join(mixed.filter(F.col("pairs") > FEW_PAIRS), "key", "left_semi").select("digest").distinct()
+    marks = rarest(texts.join(hot, "digest", "left_semi"))
+    far = marks.join(placed, "digest").select("key", "digest", "label", "keys", "n")
+    rows = common.materialize(near.unionByName(far))
+    # by pairs of classes, so that texts of one class never meet
+    kinds = common.materialize(rows.select("key", "label").distinct())
+    apart = kinds.withColumnRenamed("label", "label_a").join(kinds.withColumnRenamed("label", "label_b"), "key").filter("label_a < label_b")
+    left = rows.select("key", F.col("digest").alias("a"), F.col("label").alias("label_a"), F.col("keys").alias("keys_a"), F.col("n").alias("n_a"))
+    right = rows.select("key", F.col("digest").alias("b"), F.col("label").alias("label_b"), F.col("keys").alias("keys_b"), F.col("n").alias("n_b"))
+    pairs = common.materialize(apart).join(left, ["key", "label_a"]).join(right, ["key", "label_b"])
+    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(SIMILARITY) - F.lit(1e-6)
+    return pairs.filter(alike("keys_a", "keys_b") & F.coalesce(fits, F.lit(True))).select("a", "b", "label_a", "label_b").distinct()
+
+
+def labelled(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """node, label for every text (digest) that has a near copy; texts of one class have one label."""
     nodes = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
     buckets = nodes.select("digest", "doc_id", F.explode("keys").alias("key"))
@@ -217,8 +285,8 @@ def labelled(docs: DataFrame, sketched: DataFrame, max_rounds: int = 4) -> DataF
     best = rows.join(centres, "key").filter("digest != centre.digest").groupBy("digest").agg(F.first("keys").alias("keys"), F.max("centre").alias("centre"))
     pairs = best.filter(alike("keys", "centre.keys")).select(F.col("digest").alias("a"), F.col("centre.digest").alias("b"))
     labels = forest(verify(pairs, texts).select(F.col("a").alias("node"), F.col("b").alias("parent")))
-    for k in range(1, max_rounds):
-        placed = common.materialize(members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "weight", "keys", F.coalesce("label", "digest").alias("label")))
+    for k in count(1):
+        placed = place(members, labels)
         rows = placed.select("digest", "label", "keys", F.explode("keys").alias("key"), "weight")
         # a bucket with several classes: every text is compared with drawn texts of classes not its own
         one = F.struct("digest", "label", "keys")
@@ -228,17 +296,11 @@ def labelled(docs: DataFrame, sketched: DataFrame, max_rounds: int = 4) -> DataF
         drawn = common.materialize(drawn.filter("low != high").select("key", F.explode(F.array_distinct(F.array("first", "second"))).alias("centre")))
         pairs = rows.join(drawn, "key").filter((F.col("label") != F.col("centre.label")) & alike("keys", "centre.keys"))
         pairs = pairs.select(F.col("digest").alias("a"), F.col("centre.digest").alias("b"), F.col("label").alias("label_a"), F.col("centre.label").alias("label_b")).distinct()
-        pairs = common.materialize(pairs)
-        if pairs.isEmpty():
+        labels, tried, found = linked(placed, common.materialize(pairs), texts)
+        if found * PAYS <= tried:
             break
-        found = common.materialize(verify(pairs.select("a", "b"), texts))
-        if found.isEmpty():
-            break
-        joined = components(found.join(pairs, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-        labels = common.materialize(
-            placed.select("digest", "label").join(joined.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left").select(F.col("digest").alias("node"), F.coalesce("joined", "label").alias("label"))
-        )
-    return labels
+    placed = place(members, labels)
+    return linked(placed, common.materialize(unsettled(placed, texts)), texts)[0]
 
 
 def classes(docs: DataFrame) -> DataFrame:

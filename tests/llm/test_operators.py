@@ -341,6 +341,21 @@ def test_near_duplicates(spark, docs, rows, no_docs):
     assert kept.columns == docs.columns and kept.count() == len(want)
 
 
+@pytest.mark.parametrize("few", [0, 1024])
+def test_near_copies_that_share_a_passage_with_all_others(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dup, "FEW_PAIRS", few, raising=False)
+    words = lambda name, n: [f"{name}x{i}" for i in range(n)]
+    passage, rows = words("license", 150), []
+    for i in range(80):
+        own = words(f"own{i}", 29)
+        rows += [(2 * i + j, " ".join(passage + own + words(f"end{i}of{j}", 20))) for j in (0, 1)]
+    s = [near_dup.shingles(t) for _, t in rows[:3]]
+    assert near_dup.aligned(s[0], s[1]) >= 0.8 > 0.7 > near_dup.aligned(s[1], s[2])
+    alike = [len(set(near_dup.tuples(near_dup.shingles(a))) & set(near_dup.tuples(near_dup.shingles(b)))) >= near_dup.AGREE for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 if alike[d // 2] else d for d, _ in rows}
+
+
 def test_alignment_needs_order():
     a = near_dup.shingles(" ".join(f"w{i}" for i in range(200)))
     assert near_dup.aligned(a, a) == 1
