@@ -2,10 +2,11 @@
 
 A page is read into blocks of text, each with the path of tags from the root to it. Per distinct path, in
 order of first appearance, the text length and the punctuation of its blocks are averaged, smoothed over
-neighbouring paths and fused; paths over a threshold are content. The innermost element that holds nearly
-all content is the article, and its blocks are the text, but for those that are mostly links and whose path is
-not content. Elements that never hold content (menus, forms, scripts and so on, by tag or by a word of class,
-id or role) are left out before.
+neighbouring paths and fused; paths over a threshold are content. The innermost element that holds all content,
+headings next to it included, is the article, and its blocks are the text, but for those that are mostly links and whose path is
+not content. Elements that never hold content (menus, forms, scripts and so on, by tag or by a whole name in class,
+id or role) are left out before; one that would be left out by name alone stays if no article element lies outside of
+such elements and it holds one, or most of the page's text.
 
 Defined results: null, empty or textless html gives the empty text; unclosed or stray tags and references are
 read as browsers do in the simple cases and never fail; white space within a block, no-break spaces included,
@@ -47,23 +48,26 @@ AROUND = frozenset(
     cookie cookies consent gdpr notice notices alert popup modal overlay lightbox newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond reply replies
     pager pagination skip widget widgets copyright legal contentinfo complementary search hidden""".split()
 )
+#: Words that may stand beside them in one name.
+BESIDE = frozenset("site left right top bottom main primary secondary global container wrapper box bar list item items body links inner block post posts article entry section".split())
 #: Those words that an article element of its own may have.
 REMARKS = frozenset("comment comments respond reply replies related recommended recommendations sponsored advert advertisement".split())
 SHARE = 0.3
 MOST = 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
-    __slots__ = ("around", "depth", "parent", "path", "tag")
+    __slots__ = ("around", "depth", "named", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, around: bool):
-        self.tag, self.parent, self.around = tag, parent, around
+    def __init__(self, tag: str, parent: Element | None, around: bool, named: str = ""):
+        self.tag, self.parent, self.around, self.named = tag, parent, around, named
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}" if parent else tag
 
 
 def surrounds(tag: str, attrs: str, within: bool) -> bool:
-    """Whether an element, by its tag or attributes, is no part of an article; within: it lies in an article element."""
+    """Whether an element, by its tag or by being hidden, is no part of an article; within: it lies in an article element."""
     if tag in OUTSIDE or (tag == "header" and not within):
         return True
     if tag in ("html", "body") or not attrs:
@@ -72,19 +76,59 @@ def surrounds(tag: str, attrs: str, within: bool) -> bool:
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name == "style":
-            if "display:none" in value.replace(" ", "").lower():
-                return True
-        elif name in ("class", "id", "role"):
-            words = {w.lower() for w in PART.findall(value)}
-            if tag in ARTICLE:
-                if words & REMARKS:
-                    return True
-            elif words & AROUND or ("header" in words and not within):
-                return True
+        if name == "style" and "display:none" in value.replace(" ", "").lower():
+            return True
     return False
 
 
+def named(tag: str, attrs: str, within: bool) -> str:
+    """'remarks' or 'around' if a whole name in class, id or role says that the element surrounds an article, else ''.
+
+    A name says so if each of its words is one of AROUND or BESIDE and one of them of AROUND: 'cookie-notice' does, 'has-sidebar' doesn't.
+    """
+    if tag in ("html", "body") or not attrs:
+        return ""
+    found = ""
+    for name, *values in ATTR.findall(attrs):
+        if name.lower() in ("class", "id", "role"):
+            for token in next((v for v in values if v), "").split():
+                words = {w.lower() for w in PART.findall(token)}
+                told = words & AROUND or ("header" in words and not within)
+                if told and words <= AROUND | BESIDE | {"header"}:
+                    if words & REMARKS:
+                        return "remarks"
+                    found = "around" if tag not in ARTICLE else ""
+    return found
+
+
+def up(e: Element | None):
+    """e and all that it lies in."""
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def unnamed(found: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+    """The blocks without those in elements that surround the article by name, but for elements that hold it.
+
+    Where no article element lies outside of all named ones, these are the ones that hold one or most of the text. All blocks, if none is left.
+    """
+    chars: dict[Element, int] = {}
+    holds, free = set(), False
+    for e, text, _ in found:
+        inside = told = False
+        for x in up(e):
+            chars[x] = chars.get(x, 0) + len(text)
+            inside |= x.tag in ARTICLE and not x.named
+            told |= bool(x.named)
+            if inside:
+                holds.add(x)
+        free |= inside and not told
+    half = sum(len(t) for _, t, _ in found) / 2
+    spared = {x for x, n in chars.items() if x.named == "around" and not free and (n > half or x in holds)}
+    return [b for b in found if all(not x.named or x in spared for x in up(b[0]))] or found
+
+
 def blocks_of(page: str) -> list[tuple[Element, str, int]]:
     """(element, text, characters in links) of every block outside what surrounds articles, in page order."""
     root = Element("#", None, False)
@@ -145,7 +189,7 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
                     elif stack[i].tag in FENCE and stack[i].tag not in ("tr", "tbody"):
                         break
             parent = stack[-1]
-            e = Element(tag, parent, parent.around or surrounds(tag, attrs, within > 0))
+            e = Element(tag, parent, parent.around or surrounds(tag, attrs, within > 0), named(tag, attrs, within > 0))
             if not attrs.rstrip().endswith("/") or tag in BLOCK:
                 stack.append(e)
                 links += tag == "a"
@@ -180,7 +224,7 @@ def fused_ratios(lengths: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks_of(page) if page else []
+    found = unnamed(blocks_of(page)) if page else []
     if not found:
         return ""
     order: dict[str, list[int]] = {}
@@ -192,30 +236,30 @@ def main_text(page: str | None) -> str:
     top = score.max()
     content = {p for p, s in zip(order, score, strict=True) if s >= SHARE * top}
     kept = [i for i, (e, _, _) in enumerate(found) if e.path in content]
-    # the innermost element with nearly all content
     held: dict[Element, float] = {}
     for i in kept:
-        e = found[i][0]
-        while e is not None:
+        for e in up(found[i][0]):
             held[e] = held.get(e, 0.0) + len(found[i][1])
-            e = e.parent
     whole = sum(len(found[i][1]) for i in kept)
-    article = max((e for e, n in held.items() if n >= MOST * whole), key=lambda e: e.depth)
+    # an article element with nearly all content, or else the innermost element with all of it
+    innermost = max((e for e, n in held.items() if n >= MOST * whole), key=lambda e: e.depth)
+    own_element = next((e for e in up(innermost) if e.tag in ARTICLE), None)
+    article = own_element or max((e for e, n in held.items() if n >= whole), key=lambda e: e.depth)
     # a block of text that is an element of its own has its parent as article
-    named = article
-    while named is not None and named.tag not in ARTICLE:
-        named = named.parent
-    if named is not None:
-        article = named
-    elif article.tag not in ("div", "section", "td", "body", "#") and article.parent is not None:
+    if own_element is None and article.tag not in ("div", "section", "td", "body", "#") and article.parent is not None:
         article = article.parent
-    out = []
-    for e, text, linked in found:
-        up = e
-        while up is not None and up is not article:
-            up = up.parent
-        if up is article and (e.path in content or linked < len(text) / 2):
-            out.append(text)
+    inside = [article in up(e) for e, _, _ in found]
+    if own_element is None:
+        # headings next to it, and what stands between
+        first = start = inside.index(True)
+        for i in range(first - 1, -1, -1):
+            e, text, linked = found[i]
+            if linked >= len(text) / 2 or article.parent not in up(e):
+                break
+            if any(x.tag in HEADINGS for x in up(e)):
+                start = i
+        inside[start:first] = [True] * (first - start)
+    out = [text for (e, text, linked), x in zip(found, inside, strict=True) if x and (e.path in content or linked < len(text) / 2)]
     return "\n\n".join(out)
 
 

@@ -252,6 +252,23 @@ def test_html(spark):
     assert len(got) == 3 and {r.text for r in got if r.page_id == 2} == {""} and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_names_and_headings():
+    body = "<article><h1>Head</h1><p>The text, at length. It goes on.</p></article>"
+    for wrap in ("<div class='content has-sidebar'>%s</div>", "<div id='main' class='page-sidebar-left'>%s</div>", "<div class='sidebar'>%s</div>"):
+        assert html_text.main_text("<body>" + wrap % body + "<div class='site-footer'>All rights, all of them.</div></body>") == "Head\n\nThe text, at length. It goes on."
+    assert html_text.main_text("<body><div class='widget'><p>All the text, at length. It goes on.</p></div></body>") == "All the text, at length. It goes on."
+    teaser = "<div class='sidebar widget'><article><p>Short, so.</p></article></div>"
+    assert html_text.main_text("<body>" + body + teaser + "</body>") == "Head\n\nThe text, at length. It goes on."
+    text = "A long sentence, with commas, and so on. Another one, at length. " * 20
+    page = f"<body><div class='nav'><a>x</a></div><div><h1>Head</h1><p>A lead</p><div class=body><p>{text}</p><p>{text}</p></div></div><div><a>more</a></div></body>"
+    assert html_text.main_text(page) == "\n\n".join(["Head", "A lead", text.strip(), text.strip()])
+    short = text[:300].strip()
+    uneven = "<body><div><section>" + f"<p>{short}</p>" * 15 + f"</section><div><ul><li>{short}</li></ul></div></div></body>"
+    assert html_text.main_text(uneven) == "\n\n".join([short] * 16)
+    teaser = "<div class='ad'>" + text + "</div>"
+    assert html_text.main_text("<body>" + teaser + body + "</body>") == "Head\n\nThe text, at length. It goes on."
+
+
 # 8
 
 
