@@ -43,7 +43,9 @@ AGREE = 2
 #: Drawing goes on while one in so many pairs is a link.
 PAYS = 8
 #: Pairs across classes up to which a bucket is aligned as it is, without a look at its rarest shingles.
-FEW_PAIRS = 1024
+FEW_PAIRS = 16
+#: Sizes of texts that meet by rarest shingles are dealt in bands of this ratio.
+BAND = 1.04
 WORDS = re.compile(r"\w+")
 SEEDS = codes.mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -225,7 +227,7 @@ def linked(placed: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataF
 
 
 def rarest(texts: DataFrame) -> DataFrame:
-    """(digest, text) -> digest, n (shingles), key: the shingles of which any two of these texts that align must share one.
+    """(digest, text) -> digest, n (shingles), key, at: the shingles of which any two of these texts that align must share one, and their places.
 
     With all shingles in one order, texts that share a part s of each's shingles share one of the first n - ceil(s n) + 1.
     The order is by the number of these texts that hold a shingle, so that a passage in many of them comes last;
@@ -243,7 +245,24 @@ def rarest(texts: DataFrame) -> DataFrame:
     shared = marks.join(counts, "key").groupBy("digest").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "key"))).alias("shared"))
     first = F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY) - F.lit(1e-6)) + 1
     left = F.greatest(F.lit(0), first - (F.col("n") - F.size("shared"))).cast("int")
-    return shared.select("digest", "n", F.explode(F.slice("shared", F.lit(1), left)).alias("at")).select("digest", "n", F.col("at.key").alias("key"))
+    return shared.select("digest", "n", (F.col("n") - F.size("shared")).alias("alone"), F.posexplode(F.slice("shared", F.lit(1), left)).alias("i", "mark")).select("digest", "n", F.col("mark.key").alias("key"), (F.col("alone") + F.col("i")).alias("at"))
+
+
+def by_size(marks: DataFrame) -> DataFrame:
+    """Rows of `rarest` -> with large (whether the text is the larger one of a pair) and key also of the bands of both sizes.
+
+    With the first common shingle at place `at` of n, at most n - at are common, which bounds the size of the other text.
+    """
+    n, step = F.col("n"), float(np.log(BAND))
+    band = lambda x: F.floor(F.log(x.cast("double")) / F.lit(step)).cast("int")
+    most = F.floor((n - F.col("at")) * F.lit((1 + SIMILARITY) / SIMILARITY) - n + F.lit(1e-6))
+    least = F.greatest(F.lit(1), F.ceil(n * F.lit(SIMILARITY) - F.lit(1e-6)))
+    over = F.least(most, F.floor(n / F.lit(SIMILARITY) + F.lit(1e-6)))
+    none = F.array().cast("array<int>")
+    rows = marks.withColumns({"as_small": F.when(most >= n, F.sequence(band(n), band(over))).otherwise(none), "as_large": F.when(most >= least, F.sequence(band(least), band(F.least(most, n)))).otherwise(none)})
+    small = rows.withColumn("other", F.explode("as_small")).withColumn("large", F.lit(False)).withColumn("key", F.xxhash64("key", band(n), "other"))
+    large = rows.withColumn("other", F.explode("as_large")).withColumn("large", F.lit(True)).withColumn("key", F.xxhash64("key", "other", band(n)))
+    return small.unionByName(large).select("key", "digest", "large", "n", "at")
 
 
 def unsettled(placed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,19 +271,23 @@ def unsettled(placed: DataFrame, texts: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     many = F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))
     mixed = common.materialize(sizes.groupBy("key").agg((many / 2).alias("pairs")).filter("pairs > 0"))
-    near = rows.join(mixed.filter(F.col("pairs") <= FEW_PAIRS), "key", "left_semi").select("key", "digest", "label", "keys", F.lit(None).cast("int").alias("n"))
+    near = rows.join(mixed.filter(F.col("pairs") <= FEW_PAIRS), "key", "left_semi")
+    near = near.select("key", "digest", "label", "keys", F.explode(F.array(F.lit(False), F.lit(True))).alias("large"), F.lit(0).alias("n"), F.lit(0).alias("at"))
     hot = rows.join(mixed.filter(F.col("pairs") > FEW_PAIRS), "key", "left_semi").select("digest").distinct()
-    marks = rarest(texts.join(hot, "digest", "left_semi"))
-    far = marks.join(placed, "digest").select("key", "digest", "label", "keys", "n")
+    marks = by_size(rarest(texts.join(hot, "digest", "left_semi")))
+    far = marks.join(placed, "digest").select("key", "digest", "label", "keys", "large", "n", "at")
     rows = common.materialize(near.unionByName(far))
     # by pairs of classes, so that texts of one class never meet
-    kinds = common.materialize(rows.select("key", "label").distinct())
-    apart = kinds.withColumnRenamed("label", "label_a").join(kinds.withColumnRenamed("label", "label_b"), "key").filter("label_a < label_b")
-    left = rows.select("key", F.col("digest").alias("a"), F.col("label").alias("label_a"), F.col("keys").alias("keys_a"), F.col("n").alias("n_a"))
-    right = rows.select("key", F.col("digest").alias("b"), F.col("label").alias("label_b"), F.col("keys").alias("keys_b"), F.col("n").alias("n_b"))
+    kinds = common.materialize(rows.select("key", "label", "large").distinct())
+    apart = kinds.filter("NOT large").select("key", F.col("label").alias("label_a")).join(kinds.filter("large").select("key", F.col("label").alias("label_b")), "key").filter("label_a != label_b")
+    left, right = (
+        rows.filter(side).select("key", F.col("digest").alias(x), F.col("label").alias(f"label_{x}"), F.col("keys").alias(f"keys_{x}"), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")) for x, side in (("a", "NOT large"), ("b", "large"))
+    )
+    common_most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = common_most >= (F.col("n_a") + F.col("n_b")) * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-6)
+    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     pairs = common.materialize(apart).join(left, ["key", "label_a"]).join(right, ["key", "label_b"])
-    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(SIMILARITY) - F.lit(1e-6)
-    return pairs.filter(alike("keys_a", "keys_b") & F.coalesce(fits, F.lit(True))).select("a", "b", "label_a", "label_b").distinct()
+    return pairs.filter(once & fits & alike("keys_a", "keys_b")).select("a", "b", "label_a", "label_b").distinct()
 
 
 def labelled(docs: DataFrame, sketched: DataFrame) -> DataFrame:
