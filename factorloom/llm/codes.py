@@ -9,15 +9,14 @@ import numpy as np
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
 
+def kind(ch: str) -> int:
+    return SPACE if ch.isspace() else LETTER if ch.isalpha() else DIGIT if ch.isdigit() else OTHER
+
+
 @functools.cache
 def classes() -> np.ndarray:
-    """Class of every code point of the basic plane; those beyond count as letters."""
-    out = np.full(0x10001, OTHER, np.uint8)
-    for c in range(0x10000):
-        ch = chr(c)
-        out[c] = SPACE if ch.isspace() else LETTER if ch.isalpha() else DIGIT if ch.isdigit() else OTHER
-    out[0x10000] = LETTER
-    return out
+    """Class of every code point of the basic plane."""
+    return np.array([kind(chr(c)) for c in range(0x10000)], np.uint8)
 
 
 def points(text: str) -> np.ndarray:
@@ -25,7 +24,13 @@ def points(text: str) -> np.ndarray:
 
 
 def class_of(c: np.ndarray) -> np.ndarray:
-    return classes()[np.minimum(c, 0x10000)]
+    beyond = c > 0xFFFF
+    if not beyond.any():
+        return classes()[c]
+    out = classes()[np.where(beyond, 0, c)]
+    found, back = np.unique(c[beyond], return_inverse=True)
+    out[beyond] = np.array([kind(chr(x)) for x in found.tolist()], np.uint8)[back]
+    return out
 
 
 def mix32(h: np.ndarray) -> np.ndarray:
@@ -58,6 +63,13 @@ def powers(n: int) -> np.ndarray:
     return out
 
 
+def block_factors(n: int) -> np.ndarray:
+    """An odd factor for each of n blocks; the first is 1."""
+    out = mix64(np.arange(n, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+    out[0] = 1
+    return out
+
+
 def run_hashes(c: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64-bit hash of each run c[start : start + length]; runs are in order and don't overlap."""
     if not len(starts):
@@ -67,5 +79,8 @@ def run_hashes(c: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     inside = np.arange(total) - np.repeat(first, lengths)
     values = c[inside + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
     values *= powers(1 << 12)[inside & 0xFFF]
-    values += (inside >> 12).astype(np.uint64)
+    if int(lengths.max()) > 1 << 12:
+        # in longer runs, each block of 4,096 has a factor of its own
+        block = inside >> 12
+        values *= block_factors(int(block.max()) + 1)[block]
     return mix64(np.add.reduceat(values, first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

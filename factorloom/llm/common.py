@@ -17,13 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="factorloom-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -61,16 +63,21 @@ def release(df: DataFrame) -> None:
             _WRITTEN.remove(path)
 
 
-#: Rows in a batch that goes to Python: ten thousand texts at once would take a worker and its executor hundreds of MB.
-BATCH_ROWS = 512
+#: Bounds of a batch that goes to Python: rows, and bytes, so that very long texts come a few at a time.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with batches of BATCH_ROWS rows at most for what Python maps from here on."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """df, with batches of BATCH_ROWS rows and about BATCH_BYTES bytes at most for what Python maps from here on.
+
+    Spark reads these bounds from the session when a plan is executed, so they are lowered there and stay; bounds that are
+    already lower are kept, and no result depends on them.
+    """
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = conf.get(name)
+        if not (held.isdigit() and 0 < int(held) <= most):
+            conf.set(name, str(most))
     return df
 
 

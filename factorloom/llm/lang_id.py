@@ -5,12 +5,13 @@ over the square root of the numbers in each; n-grams are hashed to DIM bits. Nys
 the training rows, and one-versus-rest kernel ridge regression gives a score a language. Texts are scored in
 batches: presence rows times landmark rows is the kernel, kernel times coefficients the scores.
 
-The model is fitted on at most about `per_lang` rows of each language, drawn by hash (documented bound);
-prediction covers every whole text.
+The model is fitted on about `max_rows` rows, as many of each language, drawn by hash, and on LEAST_ROWS of a language where there are
+very many (documented bound; no language is left out). `landmarks` of them, or two a language if that is more, are gathered; tasks compute the
+kernel of the drawn rows with them, and the driver solves for the coefficients. Prediction covers every whole text.
 
-Defined results: a null text, or one with no letter, is `und` with score 0; equal scores go to the language
-that sorts first; repeated rows are predicted alike; with no row to learn from, all is `und`; a null doc_id
-is held out; other columns are ignored.
+Defined results: a null text, or one with no letter (of any plane; digits, signs and emoji are none), is `und` with score 0; equal scores go
+to the language that sorts first; rows that repeat doc_id and text are predicted alike; with no row to learn from, all is `und`; a null
+doc_id is held out; very long texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import codes, common
@@ -30,6 +32,8 @@ ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 #: Temperature of the softmax that turns ridge scores into a confidence.
 TEMPERATURE = 0.2
+#: Rows of a language that are drawn at least, on average.
+LEAST_ROWS = 8
 
 
 def presence(text: str | None) -> np.ndarray | None:
@@ -73,35 +77,23 @@ class Model(NamedTuple):
     coef: np.ndarray
 
 
-def fit_rows(langs: list[str], rows: list[bytes], landmarks: int, ridge: float) -> Model:
-    """Kernel ridge regression on `landmarks` of the given rows; rows come in the order of a hash."""
-    names = sorted(set(langs))
-    x = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1)
-    y = np.array([names.index(v) for v in langs])
-    turn = np.zeros(len(y), int)
-    for k in range(len(names)):
-        turn[y == k] = np.arange((y == k).sum())
-    chosen = np.sort(np.lexsort((y, turn))[:landmarks])
-    active = np.flatnonzero(x[chosen].any(axis=0))
-    size = np.sqrt(x.sum(axis=1, dtype=np.float64))
-    z = x[:, active].astype(np.float32)
-    k_nm = (z @ z[chosen].T) / size[:, None] / size[chosen][None, :]
-    k_mm = k_nm[chosen]
-    t = np.where(y[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
-    weight = 1.0 / np.bincount(y, minlength=len(names))[y]
-    left = (k_nm * weight[:, None]).T @ k_nm + ridge * k_mm + 1e-8 * np.eye(len(chosen))
-    coef = np.linalg.lstsq(left, (k_nm * weight[:, None]).T @ t, rcond=None)[0]
-    return Model(names, active, np.packbits(x[chosen][:, active], axis=1).tobytes(), size[chosen], coef.astype(np.float32))
-
-
-def scorer(model: Model, batch: int = 64):
-    """texts -> (languages, scores)."""
-    p = np.unpackbits(np.frombuffer(model.landmarks, np.uint8).reshape(len(model.sizes), -1), axis=1)[:, : len(model.active)].astype(np.float32)
-    p = np.ascontiguousarray((p / model.sizes[:, None].astype(np.float32)).T)
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1)
+
+
+def choose(langs: list[str], rows: list[bytes]) -> Model:
+    """The model without coefficients: landmark rows and the n-grams that they hold."""
+    x = unpacked(rows)
+    active = np.flatnonzero(x.any(axis=0))
+    return Model(sorted(set(langs)), active, np.packbits(x[:, active], axis=1).tobytes(), np.sqrt(x.sum(axis=1, dtype=np.float64)), np.zeros((len(rows), 0), np.float32))
+
+
+def kernel(model: Model, batch: int = 64):
+    """texts -> (numbers of the texts that have a letter, their kernel with the landmarks)."""
+    p = unpacked_landmarks(model)
     x = np.zeros((batch, DIM), np.bool_)
 
-    def score(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def of(texts: list[str | None]):
         for start in range(0, len(texts), batch):
             rows = []
             for i, t in enumerate(texts[start : start + batch]):
@@ -110,12 +102,38 @@ def scorer(model: Model, batch: int = 64):
                     x[len(rows)] = False
                     x[len(rows), grams] = True
                     rows.append(start + i)
-            if not rows:
-                continue
-            held = x[: len(rows)]
-            kernel = held[:, model.active].astype(np.float32) @ p
-            kernel /= np.sqrt(np.count_nonzero(held, axis=1).astype(np.float32))[:, None]
-            s = (kernel @ model.coef).astype(np.float64) / TEMPERATURE
+            if rows:
+                held = x[: len(rows)]
+                k = held[:, model.active].astype(np.float32) @ p
+                k /= np.sqrt(np.count_nonzero(held, axis=1).astype(np.float32))[:, None]
+                yield rows, k
+
+    return of
+
+
+def unpacked_landmarks(model: Model) -> np.ndarray:
+    p = np.unpackbits(np.frombuffer(model.landmarks, np.uint8).reshape(len(model.sizes), -1), axis=1)[:, : len(model.active)].astype(np.float32)
+    return np.ascontiguousarray((p / model.sizes[:, None].astype(np.float32)).T)
+
+
+def solve(model: Model, langs: list[str], k_nm: np.ndarray, ridge: float) -> Model:
+    """Kernel ridge regression, one language against the rest, on the landmarks; every language weighs the same."""
+    y = np.array([model.langs.index(v) for v in langs])
+    k_mm = (unpacked_landmarks(model).T @ unpacked_landmarks(model)).astype(np.float64)
+    t = np.where(y[:, None] == np.arange(len(model.langs))[None, :], 1.0, -1.0)
+    weighted = k_nm * (1.0 / np.bincount(y, minlength=len(model.langs))[y])[:, None]
+    left = weighted.T @ k_nm + ridge * k_mm + 1e-8 * np.eye(len(k_mm))
+    return model._replace(coef=np.linalg.lstsq(left, weighted.T @ t, rcond=None)[0].astype(np.float32))
+
+
+def scorer(model: Model):
+    """texts -> (languages, scores)."""
+    of = kernel(model)
+
+    def score(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        for rows, k in of(texts):
+            s = (k @ model.coef).astype(np.float64) / TEMPERATURE
             s = np.exp(s - s.max(axis=1, keepdims=True))
             s /= s.sum(axis=1, keepdims=True)
             best = s.argmax(axis=1)
@@ -126,26 +144,44 @@ def scorer(model: Model, batch: int = 64):
     return score
 
 
-def fit(train: DataFrame, per_lang: int = 500, landmarks: int = 256, ridge: float = 1e-3, max_langs: int = 256) -> Model | None:
-    """Fits on rows (text, lang, key): about per_lang rows a language, with the least hashes of key; up to max_langs languages, commonest first."""
+def fit(train: DataFrame, max_rows: int = 2000, landmarks: int = 256, ridge: float = 1e-3) -> Model | None:
+    """Fits on about max_rows of the rows (text, lang, key), drawn by hashes of key."""
     rows = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in train.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    # one row a language
+    counts = {r["lang"]: r["n"] for r in train.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
+    each = max(LEAST_ROWS, max_rows // len(counts))
     unit = F.pmod(F.xxhash64("key", F.lit("landmarks")), F.lit(1 << 30))
-    rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1 << 30, int((1 << 30) * per_lang / n) + 1))])
-    few = rows.select("lang", "text", unit.alias("unit")).filter(F.col("unit") < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(-1)))
+    rate = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1 << 30, int((1 << 30) * each / n) + 1))])
+    few = rows.select("lang", "text", unit.alias("unit")).filter(F.col("unit") < F.try_element_at(rate, F.col("lang")))
 
     def encode(batches):
         for b in batches:
             made = [bits(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("unit"), pa.array(made, pa.binary())], ["lang", "unit", "bits"])
-
-    got = few.transform(common.small_batches).mapInArrow(encode, "lang string, unit long, bits binary").filter("bits IS NOT NULL").collect()
-    if not got:
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("unit"), b.column("text"), pa.array(made, pa.binary())], ["lang", "unit", "text", "bits"])
+
+    drawn = common.materialize(few.transform(common.small_batches).mapInArrow(encode, "lang string, unit long, text string, bits binary").filter("bits IS NOT NULL"))
+    turn = W.partitionBy("lang").orderBy("unit", "bits")
+    share = -(-max(landmarks, 2 * len(counts)) // len(counts))
+    chosen = drawn.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= share).select("lang", "bits").orderBy("lang", "turn").collect()
+    if not chosen:
+        common.release(drawn)
         return None
-    got.sort(key=lambda r: (r["unit"], r["lang"], r["bits"]))
-    return fit_rows([r["lang"] for r in got], [bytes(r["bits"]) for r in got], landmarks, ridge)
+    model = choose([r["lang"] for r in chosen], [bytes(r["bits"]) for r in chosen])
+    held = drawn.sparkSession.sparkContext.broadcast(model)
+
+    def rows_of_kernel(batches):
+        of = kernel(held.value)
+        for b in batches:
+            for at, k in of(b.column("text").to_pylist()):
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("lang").take(take), b.column("unit").take(take), pa.array([x.tobytes() for x in k], pa.binary())], ["lang", "unit", "kernel"])
+
+    got = drawn.transform(common.small_batches).mapInArrow(rows_of_kernel, "lang string, unit long, kernel binary").collect()
+    common.release(drawn)
+    got.sort(key=lambda r: (r["unit"], r["lang"], r["kernel"]))
+    return solve(model, [r["lang"] for r in got], np.stack([np.frombuffer(r["kernel"], np.float32) for r in got]).astype(np.float64), ridge)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
