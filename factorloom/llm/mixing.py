@@ -6,7 +6,8 @@ reaches c, so inverting the demand gives its training position, and documents ar
 
 Rows are placed on their source's stream by an md5 of doc_id, in `bins` equal slices of the hash range. Only
 sums per (source, slice) are gathered, so a source with a third of all rows costs no more than any other, no
-row moves before the final sort, and reruns agree.
+row moves before the final sort, and reruns agree. Within a slice a document stands where the rest of its hash puts it, so that each
+has a position of its own at any size of the corpus; whole slices decide on extra copies.
 
 Defined results: a null text has size 0, takes 0 and has position null; a null source is a source of its own,
 ordered last; rows with equal doc_id fall in one slice and are taken alike; an empty table gives an empty
@@ -34,9 +35,11 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
-def slice_of(doc_id: Column, bins: int) -> Column:
+def along(doc_id: Column, bins: int) -> Column:
+    """struct(bin, within): slice of the source's stream, and the place in it, 0 to 1."""
     digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * F.lit(bins) / F.lit(1 << 32)).cast("int")
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * F.lit(bins) / F.lit(1 << 32)
+    return F.struct(place.cast("int").alias("bin"), (place - F.floor(place)).alias("within"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -87,22 +90,26 @@ def due(share: Column, slope: Column) -> Column:
 
 
 def with_plan(rows: DataFrame, plan: DataFrame, slopes: Sequence[float]) -> DataFrame:
-    """Adds source_size, target, copies, taken and position (of the first copy, null if none) to rows of (source, bin, size)."""
+    """Adds source_size, target, copies, taken and position (of the first copy, null if none) to rows of (source, bin, within, size)."""
     plan = plan.withColumnRenamed("source", "plan_source").withColumn("slope", F.element_at(F.array(*[F.lit(float(x)) for x in slopes]), (F.col("ordinal") % len(slopes) + 1).cast("int")))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")
     out = out.withColumn("copies", F.col("whole") + (F.col("bin") < F.col("cut")).cast("int"))
-    at = F.element_at("begins", F.col("bin") + 1) / F.col("target")
-    return out.withColumn("taken", F.col("copies") * F.col("size")).withColumn("position", F.when(F.col("taken") > 0, due(at, F.col("slope")))).withColumn("lap", F.col("source_size") / F.col("target"))
+    start, end = F.element_at("begins", F.col("bin") + 1), F.element_at("begins", F.col("bin") + 2)
+    out = out.withColumn("share", (start + F.col("within") * (end - start)) / F.col("target"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).withColumn("position", F.when(F.col("taken") > 0, due(F.col("share"), F.col("slope")))).withColumn("lap", F.col("source_size") / F.col("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, slopes: Sequence[float] = (-0.5, 0.0, 0.5), bins: int = BINS) -> DataFrame:
     """(doc_id, source, text) -> doc_id, size, source_size, target, taken, copies, position; range-sorted by position."""
-    sized = common.materialize(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), slice_of(F.col("doc_id"), bins).alias("bin")))
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), along(F.col("doc_id"), bins).alias("along"))
+    sized = common.materialize(sized.select("doc_id", "source", "size", "along.*"))
     plan = common.materialize(plan_mix(sized, weights, max_repeat, bins))
     out = with_plan(sized, plan, slopes).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
     out = common.materialize(out)
+    common.release(sized)
+    common.release(plan)
     return out.repartitionByRange(common.partitions(docs.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
@@ -113,10 +120,10 @@ def apply_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int
     """
     kept = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    row = row.select("row", F.col("row.source").alias("source"), size_of(F.col("row.text")).alias("size"), slice_of(F.col("row.doc_id"), bins).alias("bin"))
+    row = row.select("row", F.col("row.source").alias("source"), size_of(F.col("row.text")).alias("size"), along(F.col("row.doc_id"), bins).alias("along")).select("row", "source", "size", "along.*")
     plan = common.materialize(plan_mix(row.select("source", "bin", "size"), weights, max_repeat, bins))
     out = with_plan(row, plan, slopes).filter(F.col("taken") > 0)
-    laps = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: due(F.element_at("begins", F.col("bin") + 1) / F.col("target") + k * F.col("lap"), F.col("slope")))
+    laps = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: due(F.col("share") + k * F.col("lap"), F.col("slope")))
     out = out.select("row", F.explode(laps).alias("position"))
     out = out.repartitionByRange(common.partitions(docs.sparkSession), "position", "row.doc_id").sortWithinPartitions("position", "row.doc_id")
     return out.select("row.*")

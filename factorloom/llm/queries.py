@@ -32,7 +32,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,21 +78,26 @@ FROM b
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT * 1024) // 4294967296)::INT AS bin FROM documents),
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT * 1024)::DOUBLE / 4294967296.0::DOUBLE AS place FROM documents),
+b AS (SELECT source, floor(place)::INT AS bin, sum(size)::BIGINT AS n FROM d GROUP BY ALL),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ordinal FROM s),
-w AS (SELECT *, CASE ordinal % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS most FROM o),
+w AS (SELECT *, CASE ordinal % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS most, CASE ordinal % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0.0 ELSE 0.5 END::DOUBLE AS slope FROM o),
 f AS (SELECT *, row_number() OVER x AS rank, (sum(source_size) OVER () - coalesce(sum(most) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
              / (sum(weight) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
       FROM w WINDOW x AS (ORDER BY most::DOUBLE / weight, source NULLS LAST)),
 k AS (SELECT min(rank) AS first FROM f WHERE level * weight <= most),
-t AS (SELECT f.source, source_size, CASE WHEN first IS NULL OR rank < first THEN most::DOUBLE ELSE (SELECT level FROM f AS g WHERE g.rank = k.first) * weight END AS target FROM f, k),
+t AS (SELECT f.source, source_size, slope, CASE WHEN first IS NULL OR rank < first THEN most::DOUBLE ELSE (SELECT level FROM f AS g WHERE g.rank = k.first) * weight END AS target FROM f, k),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
-e AS (SELECT u.source, target - whole * source_size AS rest, b AS bin, (SELECT coalesce(sum(size), 0) FROM d WHERE d.source IS NOT DISTINCT FROM u.source AND d.bin < b) AS begins
-      FROM u, generate_series(0, 1024) AS g(b)),
-c AS (SELECT source, arg_min(bin, (abs(begins - rest), bin)) AS cut FROM e GROUP BY source)
-SELECT doc_id, size, source_size, target, (size * (whole + (d.bin < c.cut)::INT))::BIGINT AS taken
-FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN c ON d.source IS NOT DISTINCT FROM c.source
+e AS (SELECT u.source, target - whole * source_size AS rest, g.i AS bin,
+             (sum(coalesce(b.n, 0)) OVER (PARTITION BY u.source ORDER BY g.i) - coalesce(b.n, 0))::BIGINT AS begins, coalesce(b.n, 0) AS held
+      FROM u CROSS JOIN generate_series(0, 1024) AS g(i) LEFT JOIN b ON b.source IS NOT DISTINCT FROM u.source AND b.bin = g.i),
+c AS (SELECT source, arg_min(bin, (abs(begins - rest), bin)) AS cut FROM e GROUP BY source),
+r AS (SELECT doc_id, size, source_size, target, slope, (size * (whole + (e.bin < c.cut)::INT))::BIGINT AS taken, least(1.0, (begins + (place - floor(place)) * held) / target) AS share
+      FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN c ON d.source IS NOT DISTINCT FROM c.source JOIN e ON d.source IS NOT DISTINCT FROM e.source AND floor(d.place)::INT = e.bin)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END END AS position
+FROM r
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
