@@ -10,13 +10,15 @@ such elements and it holds one, or most of the page's text.
 
 Defined results: null, empty or textless html gives the empty text; unclosed or stray tags and references are
 read as browsers do in the simple cases and never fail; white space within a block, no-break spaces included,
-becomes one space; repeated rows are extracted alike; other columns are ignored.
+becomes one space; pages that repeat are extracted alike; a null page_id or url is kept; pages of any length and depth are read whole, in time
+and memory in proportion to them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -58,12 +60,17 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
-    __slots__ = ("around", "depth", "named", "parent", "path", "tag")
+    """An open or closed element; path numbers its distinct path of tags, block is the innermost block element at or above it."""
 
-    def __init__(self, tag: str, parent: Element | None, around: bool, named: str = ""):
-        self.tag, self.parent, self.around, self.named = tag, parent, around, named
+    __slots__ = ("around", "block", "depth", "named", "number", "parent", "path", "tag")
+
+    def __init__(self, number: int, tag: str, parent: Element | None, path: int, around: bool, named: str = ""):
+        self.number, self.tag, self.parent, self.path, self.around, self.named = number, tag, parent, path, around, named
         self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        self.block = self if tag in BLOCK or parent is None else parent.block
+
+
+Block = tuple[Element, str, int]
 
 
 def surrounds(tag: str, attrs: str, within: bool) -> bool:
@@ -101,37 +108,48 @@ def named(tag: str, attrs: str, within: bool) -> str:
     return found
 
 
-def up(e: Element | None):
-    """e and all that it lies in."""
-    while e is not None:
-        yield e
-        e = e.parent
+def sums(elements: list[Element], blocks: list[Block]) -> list[int]:
+    """Characters of the blocks in each element. An element's number is greater than its parent's."""
+    out = [0] * len(elements)
+    for e, text, _ in blocks:
+        out[e.number] += len(text)
+    for e in reversed(elements[1:]):
+        out[e.parent.number] += out[e.number]
+    return out
+
+
+def inside(elements: list[Element], told) -> list[bool]:
+    """For each element, whether told(e) holds for it or for one that it lies in."""
+    out: list[bool] = []
+    for e in elements:
+        out.append(told(e) or (e.parent is not None and out[e.parent.number]))
+    return out
 
 
-def unnamed(found: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+def unnamed(elements: list[Element], found: list[Block]) -> list[Block]:
     """The blocks without those in elements that surround the article by name, but for elements that hold it.
 
     Where no article element lies outside of all named ones, these are the ones that hold one or most of the text. All blocks, if none is left.
     """
-    chars: dict[Element, int] = {}
-    holds, free = set(), False
-    for e, text, _ in found:
-        inside = told = False
-        for x in up(e):
-            chars[x] = chars.get(x, 0) + len(text)
-            inside |= x.tag in ARTICLE and not x.named
-            told |= bool(x.named)
-            if inside:
-                holds.add(x)
-        free |= inside and not told
-    half = sum(len(t) for _, t, _ in found) / 2
-    spared = {x for x, n in chars.items() if x.named == "around" and not free and (n > half or x in holds)}
-    return [b for b in found if all(not x.named or x in spared for x in up(b[0]))] or found
-
-
-def blocks_of(page: str) -> list[tuple[Element, str, int]]:
-    """(element, text, characters in links) of every block outside what surrounds articles, in page order."""
-    root = Element("#", None, False)
+    if not any(e.named for e in elements):
+        return found
+    chars = sums(elements, found)
+    own = lambda e: e.tag in ARTICLE and not e.named
+    holds = [own(e) and chars[e.number] > 0 for e in elements]
+    for e in reversed(elements[1:]):
+        holds[e.parent.number] |= holds[e.number]
+    within, told = inside(elements, own), inside(elements, lambda e: bool(e.named))
+    free = any(within[e.number] and not told[e.number] for e, _, _ in found)
+    half = chars[0] / 2
+    gone = inside(elements, lambda e: bool(e.named) and not (e.named == "around" and not free and (chars[e.number] > half or holds[e.number])))
+    return [b for b in found if not gone[b[0].number]] or found
+
+
+def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
+    """All elements, and (element, text, characters in links) of every block outside what surrounds articles, in page order."""
+    root = Element(0, "#", None, 0, False)
+    paths: dict[tuple[int, str], int] = {}
+    elements, open_tags = [root], Counter()
     stack, out, buffer = [root], [], []
     links, within, linked = 0, 0, 0
     at = root
@@ -148,6 +166,7 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
     def pop() -> None:
         nonlocal links, within
         e = stack.pop()
+        open_tags[e.tag] -= 1
         links -= e.tag == "a"
         within -= e.tag in ARTICLE
 
@@ -160,7 +179,7 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
             if stack[-1].around:
                 continue
             if not buffer:
-                at = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
+                at = stack[-1].block
             piece = html.unescape(m[kind]) if kind == "text" and "&" in m[kind] else m[kind]
             buffer.append(piece)
             linked += len(piece) if links > 0 else 0
@@ -181,17 +200,22 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
                 ends = ("p",)
             elif tag == "a":
                 ends = ("a",)
-            if ends:
+            if any(open_tags[x] for x in ends):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in ends:
                         while len(stack) > i:
                             pop()
+                        if not any(open_tags[x] for x in ends):
+                            break
                     elif stack[i].tag in FENCE and stack[i].tag not in ("tr", "tbody"):
                         break
             parent = stack[-1]
-            e = Element(tag, parent, parent.around or surrounds(tag, attrs, within > 0), named(tag, attrs, within > 0))
+            path = paths.setdefault((parent.path, tag), len(paths) + 1)
+            e = Element(len(elements), tag, parent, path, parent.around or surrounds(tag, attrs, within > 0), named(tag, attrs, within > 0))
             if not attrs.rstrip().endswith("/") or tag in BLOCK:
+                elements.append(e)
                 stack.append(e)
+                open_tags[tag] += 1
                 links += tag == "a"
                 within += tag in ARTICLE
             if tag in RAW:
@@ -202,7 +226,7 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
             tag = m["close"].lower()
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[i].tag == tag:
                     while len(stack) > i:
                         pop()
@@ -210,7 +234,7 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
                 if stack[i].tag in FENCE and tag not in BLOCK:
                     break
     flush()
-    return out
+    return elements, out
 
 
 def fused_ratios(lengths: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -224,10 +248,11 @@ def fused_ratios(lengths: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def main_text(page: str | None) -> str:
-    found = unnamed(blocks_of(page)) if page else []
+    elements, found = blocks_of(page or "")
+    found = unnamed(elements, found)
     if not found:
         return ""
-    order: dict[str, list[int]] = {}
+    order: dict[int, list[int]] = {}
     for i, (e, _, _) in enumerate(found):
         order.setdefault(e.path, []).append(i)
     own = np.array([len(t) - min(n, len(t)) for _, t, n in found], float)
@@ -235,31 +260,31 @@ def main_text(page: str | None) -> str:
     score = fused_ratios(np.array([own[v].mean() for v in order.values()]), np.array([marks[v].mean() for v in order.values()]))
     top = score.max()
     content = {p for p, s in zip(order, score, strict=True) if s >= SHARE * top}
-    kept = [i for i, (e, _, _) in enumerate(found) if e.path in content]
-    held: dict[Element, float] = {}
-    for i in kept:
-        for e in up(found[i][0]):
-            held[e] = held.get(e, 0.0) + len(found[i][1])
-    whole = sum(len(found[i][1]) for i in kept)
+    held = sums(elements, [b for b in found if b[0].path in content])
+    whole = held[0]
     # an article element with nearly all content, or else the innermost element with all of it
-    innermost = max((e for e, n in held.items() if n >= MOST * whole), key=lambda e: e.depth)
-    own_element = next((e for e in up(innermost) if e.tag in ARTICLE), None)
-    article = own_element or max((e for e, n in held.items() if n >= whole), key=lambda e: e.depth)
+    innermost = max((e for e in elements if held[e.number] >= MOST * whole), key=lambda e: e.depth)
+    own_element = innermost
+    while own_element is not None and own_element.tag not in ARTICLE:
+        own_element = own_element.parent
+    article = own_element or max((e for e in elements if held[e.number] >= whole), key=lambda e: e.depth)
     # a block of text that is an element of its own has its parent as article
     if own_element is None and article.tag not in ("div", "section", "td", "body", "#") and article.parent is not None:
         article = article.parent
-    inside = [article in up(e) for e, _, _ in found]
+    in_article = inside(elements, lambda e: e is article)
+    chosen = [in_article[e.number] for e, _, _ in found]
     if own_element is None:
         # headings next to it, and what stands between
-        first = start = inside.index(True)
+        beside, heading = inside(elements, lambda e: e is article.parent), inside(elements, lambda e: e.tag in HEADINGS)
+        first = start = chosen.index(True)
         for i in range(first - 1, -1, -1):
             e, text, linked = found[i]
-            if linked >= len(text) / 2 or article.parent not in up(e):
+            if linked >= len(text) / 2 or not beside[e.number]:
                 break
-            if any(x.tag in HEADINGS for x in up(e)):
+            if heading[e.number]:
                 start = i
-        inside[start:first] = [True] * (first - start)
-    out = [text for (e, text, linked), x in zip(found, inside, strict=True) if x and (e.path in content or linked < len(text) / 2)]
+        chosen[start:first] = [True] * (first - start)
+    out = [text for (e, text, linked), x in zip(found, chosen, strict=True) if x and (e.path in content or linked < len(text) / 2)]
     return "\n\n".join(out)
 
 
