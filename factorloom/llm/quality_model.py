@@ -9,7 +9,8 @@ Tokens are runs of letters (lower-cased), of digits, or of other characters, plu
 word and one for a word that equals the one before.
 
 The model is fitted on at most about `max_rows` labelled rows, drawn by hash, in halves for the two classes
-where there are enough (documented bound); scoring covers every whole text.
+where there are enough (documented bound). Tasks sum the neighbours' vectors of those rows' tokens and pool their documents; the driver
+adds up the PARTS tables of sums and trains the small network. Scoring covers every whole text.
 
 Defined results: a null or empty text is pooled as zeros and scored; repeated rows score alike; repeated
 labels of a document count once, as the greatest; with fewer than two classes to learn from, every score is
@@ -32,6 +33,8 @@ DIM = 32
 TABLE_BITS = 16
 TABLE = 1 << TABLE_BITS
 NONZERO = 4
+#: Tables of sums that reach the driver, of TABLE x DIM numbers of 4 bytes (8 MB) at most.
+PARTS = 8
 WINDOW = 2
 HIDDEN = 32
 THRESHOLD = 0.7
@@ -54,7 +57,7 @@ def tokens(text: str | None) -> np.ndarray:
     starts, lengths = starts[full], lengths[full]
     if not len(starts):
         return np.empty(0, np.int64)
-    h = codes.run_hashes(c, starts, np.minimum(lengths, 1 << 12))
+    h = codes.run_hashes(c, starts, lengths)
     ids = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
     word = kind[starts] == codes.LETTER
     upper = np.add.reduceat((raw != c).astype(np.int64), starts)[word] if word.any() else np.empty(0, np.int64)
@@ -85,20 +88,26 @@ def index_table() -> np.ndarray:
     return np.bincount(flat, signs.ravel(), TABLE * DIM).reshape(TABLE, DIM).astype(np.float32)
 
 
-def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
-    """Sum of the neighbours' index vectors for every token, scaled to length 1; zero for tokens not seen."""
+def neighbour_sums(texts: list[np.ndarray], chunk: int = 1 << 18) -> np.ndarray:
+    """TABLE x DIM: for every token, the sum of the index vectors of its neighbours within WINDOW."""
     places, signs = index_vectors()
-    out = np.zeros(TABLE * DIM)
-    for t in texts:
-        for k in range(1, WINDOW + 1):
-            if len(t) > k:
-                for a, b in ((t[:-k], t[k:]), (t[k:], t[:-k])):
-                    out += np.bincount((a[:, None] * DIM + places[b]).ravel(), signs[b].ravel(), TABLE * DIM) if len(t) > 4096 else 0
-                    if len(t) <= 4096:
-                        np.add.at(out, (a[:, None] * DIM + places[b]).ravel(), signs[b].ravel())
-    out = out.reshape(TABLE, DIM)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+    # texts follow one another, apart by WINDOW tokens of a number that has no index vector
+    places, signs = np.vstack([places, places[:1]]), np.vstack([signs, np.zeros((1, NONZERO))])
+    gap = np.full(WINDOW, TABLE, np.int64)
+    t = np.concatenate([x for text in texts for x in (text, gap)]) if texts else gap
+    out = np.zeros((TABLE + 1) * DIM)
+    for k in range(1, WINDOW + 1):
+        for i in range(0, len(t) - k, chunk):
+            a, b = t[i : min(i + chunk, len(t) - k)], t[i + k : i + k + chunk]
+            for x, y in ((a, b), (b, a)):
+                out += np.bincount((x[:, None] * DIM + places[y]).ravel(), signs[y].ravel(), len(out))
+    return out.reshape(-1, DIM)[:TABLE]
+
+
+def scaled(sums: np.ndarray) -> np.ndarray:
+    """Word vectors: sums scaled to length 1; zero for tokens not seen."""
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    return (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
 def pool(t: np.ndarray, vectors: np.ndarray, index: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
@@ -179,20 +188,42 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int =
 
     def encode(batches):
         for b in batches:
-            made = [tokens(t).astype(np.uint16).tobytes() for t in b.column("text").to_pylist()]
+            made = [tokens(t.as_py()).astype(np.uint16).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(made, pa.binary())], ["doc_id", "label", "tokens"])
 
+    def read(b):
+        return [np.frombuffer(t.as_buffer(), np.uint16).astype(np.int64) for t in b.column("tokens")]
+
+    def sums(batches):
+        total = np.zeros((TABLE, DIM))
+        for b in batches:
+            total += neighbour_sums(read(b))
+        seen = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([x.tobytes() for x in total[seen].astype(np.int32)], pa.binary())], ["token", "sums"])
+
+    def pooled(batches):
+        index = index_table()
+        for b in batches:
+            made = [pool(t, held.value, index).tobytes() for t in read(b)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(made, pa.binary())], ["doc_id", "label", "pooled"])
+
     kind = dict(docs.dtypes)["doc_id"]
-    got = rows.transform(common.small_batches).mapInArrow(encode, f"doc_id {kind}, label int, tokens binary").collect()
+    coded = rows.transform(common.small_batches).mapInArrow(encode, f"doc_id {kind}, label int, tokens binary")
+    coded = common.materialize(coded.repartition(PARTS, "doc_id"))
     common.release(ids)
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["tokens"])))
+    total = np.zeros((TABLE, DIM))
+    table = coded.transform(common.small_batches).mapInArrow(sums, "token int, sums binary").toArrow()
+    np.add.at(total, table.column("token").to_numpy(), np.frombuffer(b"".join(table.column("sums").to_pylist()), np.int32).reshape(-1, DIM))
+    vectors = scaled(total)
+    held = docs.sparkSession.sparkContext.broadcast(vectors)
+    got = coded.transform(common.small_batches).mapInArrow(pooled, f"doc_id {kind}, label int, pooled binary").collect()
+    common.release(coded)
     if len({r["label"] for r in got}) < 2:
         return float(got[0]["label"]) if got else 1.0
+    got.sort(key=lambda r: (r["doc_id"], bytes(r["pooled"])))
     order = np.random.default_rng(11).permutation(len(got))
-    texts = [np.frombuffer(bytes(got[i]["tokens"]), np.uint16).astype(np.int64) for i in order]
     y = np.array([got[i]["label"] for i in order], float)
-    vectors, index = word_vectors(texts), index_table()
-    x = np.stack([pool(t, vectors, index) for t in texts])
+    x = np.stack([np.frombuffer(got[i]["pooled"], np.float64) for i in order])
     # rows weigh as the classes do among all labels, but no class less than a third
     share = min(2 / 3, max(1 / 3, n[1] / (n[0] + n[1])))
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
