@@ -2,8 +2,9 @@
 
 A document's token ids are hashed to fixed random vectors whose mean, in three dimensions, places it in a
 cube; the cube's Hilbert curve orders documents so that neighbours are alike. Documents are range-sorted by
-curve key and packed one after another, cut wherever a sequence is full. Only the last sequence of a partition
-is not full.
+curve key and packed one after another, cut wherever a sequence is full. Each knows where its partition's tokens before it end;
+with the sums of the partitions before, a table of one row a partition, sequences run over partition
+borders, and only the very last one is not full, however many partitions there are.
 
 Token ids travel as 16-bit numbers (32-bit where the vocabulary is larger), so texts are tokenized once.
 
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import codes, common
@@ -130,7 +132,7 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) -> doc_id, key, digest, ids (little-endian, end id included)."""
+    """(doc_id, text) -> doc_id, key, digest, size, ids (little-endian, end id included)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -138,16 +140,33 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         table = directions(size)
         width = np.uint16 if size <= 1 << 16 else np.uint32
         for b in batches:
-            packed, cells, digests = [], [], []
+            packed, cells, digests, sizes = [], [], [], []
             for t in b.column("text"):
                 ids = np.array([*encode(t.as_py() or ""), END], width)
                 cells.append(place(ids[:-1], table))
+                sizes.append(len(ids))
                 packed.append(ids.tobytes())
                 digests.append(zlib.crc32(packed[-1]))
             keys = hilbert(np.stack(cells)) if cells else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "key", "digest", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "key", "digest", "size", "ids"])
 
-    return docs.select("doc_id", "text").transform(common.small_batches).mapInArrow(run, f"doc_id {kind}, key long, digest long, ids binary")
+    return docs.select("doc_id", "text").transform(common.small_batches).mapInArrow(run, f"doc_id {kind}, key long, digest long, size long, ids binary")
+
+
+def lay_out(made: DataFrame) -> DataFrame:
+    """Rows of `tokenize` in curve order -> doc_id, ids, part (partition), begin (the partition's tokens before the document), n (its tokens)."""
+    ordered = made.repartitionByRange(common.partitions(made.sparkSession), "key", "doc_id", "digest").sortWithinPartitions("key", "doc_id", "digest")
+    kind = dict(made.dtypes)["doc_id"]
+
+    def run(batches):
+        part, begin = TaskContext.get().partitionId(), 0
+        for b in batches:
+            sizes = np.array(b.column("size").to_pylist(), np.int64)
+            begins = begin + np.cumsum(sizes) - sizes
+            begin += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(np.full(len(sizes), part), pa.int32()), pa.array(begins), pa.array(sizes)], ["doc_id", "ids", "part", "begin", "n"])
+
+    return ordered.select("doc_id", "ids", "size").transform(common.small_batches).mapInArrow(run, f"doc_id {kind}, ids binary, part int, begin long, n long")
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -155,25 +174,28 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     path = path or default_tokenizer()
     kind = dict(docs.dtypes)["doc_id"]
     made = common.materialize(tokenize(docs, path))
-    ordered = made.repartitionByRange(common.partitions(docs.sparkSession), "key", "doc_id", "digest").sortWithinPartitions("key", "doc_id", "digest")
+    laid = common.materialize(lay_out(made))
+    common.release(made)
+    # one row a partition
+    before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    ends = laid.groupBy("part").agg(F.sum("n").alias("held")).select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    placed = laid.join(F.broadcast(ends), "part").select("doc_id", "ids", (F.col("before") + F.col("begin")).alias("at"))
 
     def run(batches):
         width = np.uint16 if vocabulary(path) <= 1 << 16 else np.uint32
-        sequence, filled = TaskContext.get().partitionId() << 40, 0
         for b in batches:
-            rows = {k: [] for k in ("at", "start", "length", "crc", "tokens", "sequence", "offset")}
-            for i, raw in enumerate(b.column("ids")):
+            rows = {k: [] for k in ("row", "start", "length", "crc", "tokens", "sequence", "offset")}
+            for i, (raw, at) in enumerate(zip(b.column("ids"), b.column("at").to_pylist(), strict=True)):
                 ids = np.frombuffer(raw.as_buffer(), width).astype("<u4")
                 start = 0
                 while start < len(ids):
-                    n = min(length - filled, len(ids) - start)
-                    for k, v in zip(rows, (i, start, n, zlib.crc32(ids[start : start + n]), len(ids), sequence, filled), strict=True):
+                    sequence, offset = divmod(at + start, length)
+                    n = min(length - offset, len(ids) - start)
+                    for k, v in zip(rows, (i, start, n, zlib.crc32(ids[start : start + n]), len(ids), sequence, offset), strict=True):
                         rows[k].append(v)
-                    start, filled = start + n, filled + n
-                    if filled == length:
-                        sequence, filled = sequence + 1, 0
+                    start += n
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(rows["at"], pa.int64())), *[pa.array(rows[k], pa.int64()) for k in list(rows)[1:]]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                [b.column("doc_id").take(pa.array(rows["row"], pa.int64())), *[pa.array(rows[k], pa.int64()) for k in list(rows)[1:]]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             )
 
-    return ordered.select("doc_id", "ids").transform(common.small_batches).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.transform(common.small_batches).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
