@@ -198,9 +198,14 @@ def safe_corr(a: Column, b: Column, over=None) -> Column:
 
 def rank_pct(x: Column, *by: str) -> Column:
     """Average-tie rank of x within `by` over its number of values; null for null."""
-    ties = F.count(F.lit(1)).over(W.partitionBy(*by, x))
-    at = F.rank().over(W.partitionBy(*by).orderBy(x.asc_nulls_last())) + (ties - 1) / 2
-    return F.when(x.isNotNull(), at / F.count(x).over(W.partitionBy(*by)))
+    return F.when(x.isNotNull(), average_rank(x, *by) / F.count(x).over(W.partitionBy(*by)))
+
+
+def average_rank(x: Column, *by: str) -> Column:
+    """Rank of x within `by`, from 1, equal values sharing the mean of theirs; one sort and one exchange give rank and ties."""
+    order = W.partitionBy(*by).orderBy(x.asc_nulls_last())
+    ties = F.count(F.lit(1)).over(order.rangeBetween(W.currentRow, W.currentRow))
+    return F.rank().over(order) + (ties - 1) / 2
 
 
 def scalar(x: E, inner) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.functions.cross import rank_pct, safe_corr, zscore
+from factorloom.functions.cross import panel_ranks, rank_pct, safe_corr, zscore
 
 
 def positive_weights(metric: dict[str, float]) -> dict[str, float]:
@@ -85,6 +85,11 @@ def linear(names: list[str], weights: np.ndarray) -> Column:
     return sum((F.col(n) * float(w) for n, w in zip(names, weights, strict=True)), F.lit(0.0))
 
 
+def linear_filled(names: list[str], weights: np.ndarray) -> Column:
+    """`linear` with missing values as 0."""
+    return sum((F.coalesce(n, F.lit(0.0)) * float(w) for n, w in zip(names, weights, strict=True)), F.lit(0.0))
+
+
 def blend(wide: DataFrame, names: list[str], weights: np.ndarray, orthogonal: bool = True) -> DataFrame:
     """Composite of factors, missing as 0, orthogonalised over the whole panel, ranked within the date."""
     rows = wide.select("symbol", "date", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
@@ -262,12 +267,10 @@ def fuse(frames: dict[str, DataFrame], method: str = "ranked", weights: dict[str
         value = mean([F.col(n) for n in names])
     elif method == "ranked":
         if not by_date:
-            # ranks over a whole panel by counting values below, without one window over all rows
             total = out.count()
             for n in names:
-                counts = out.groupBy(n).agg(F.count(F.lit(1)).alias("c"))
-                at = counts.select(n, "c", (F.sum("c").over(W.partitionBy(F.lit(0)).orderBy(n)) - F.col("c")).alias("below"))
-                out = out.join(at.select(F.col(n), ((F.col("below") + (F.col("c") + 1) / 2) / total).alias(f"rank_{n}")), n)
+                at = panel_ranks(out, n)
+                out = out.join(at.select(F.col(n), ((F.col("below") + (F.col("n") + 1) / 2) / total).alias(f"rank_{n}")), n)
             value = mean([F.col(f"rank_{n}") for n in names])
         else:
             value = mean([rank_pct(F.col(n), "date") for n in names])

@@ -98,23 +98,16 @@ def long_short(groups: DataFrame, mode: str = "extremes", q: int = 5) -> DataFra
 
 
 def equity(series: DataFrame, value: str) -> DataFrame:
-    """date, equity, drawdown of a return series; the series has a row a date, so one ordered list holds it."""
-    path = series.agg(F.array_sort(F.collect_list(F.struct("date", F.col(value).alias("r")))).alias("s"))
-    step = F.aggregate(
-        "s",
-        F.array().cast("array<struct<date:date,equity:double,top:double>>"),
-        lambda acc, v: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    v["date"].alias("date"),
-                    (F.coalesce(F.get(acc, F.size(acc) - 1)["equity"], F.lit(1.0)) * (1 + v["r"])).alias("equity"),
-                    F.greatest(F.get(acc, F.size(acc) - 1)["top"], F.coalesce(F.get(acc, F.size(acc) - 1)["equity"], F.lit(1.0)) * (1 + v["r"])).alias("top"),
-                )
-            ),
-        ),
-    )
-    return path.select(F.inline(step)).select("date", "equity", (F.col("equity") / F.col("top") - 1).alias("drawdown"))
+    """date, equity, drawdown of a return series with one row a date.
+
+    The running product is the exponential of a running sum of logarithms, with its sign from the number of factors below 0, and 0 from the first factor 0 on.
+    """
+    path = W.partitionBy(F.lit(0)).orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row a date
+    g = 1 + F.col(value)
+    size = F.exp(F.sum(F.when(g != 0, F.ln(F.abs(g))).otherwise(0.0)).over(path))
+    sign = 1 - 2 * (F.sum((g < 0).cast("int")).over(path) % 2)
+    rows = series.select("date", F.when(F.max(g == 0).over(path), 0.0).otherwise(size * sign).alias("equity"))
+    return rows.select("date", "equity", (F.try_divide(F.col("equity"), F.max("equity").over(path)) - 1).alias("drawdown"))
 
 
 def long_short_stats(ls: DataFrame) -> DataFrame:

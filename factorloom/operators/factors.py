@@ -186,22 +186,6 @@ POOL = {
     "ret_1": lag(R),
 }
 
-#: Factors of the demonstration, from bars alone; ranks are within the date.
-DEMO = {
-    "demo_momentum_rank": lag(x.xs_rank(total(R, 20))),
-    "demo_reversal_volume": lag(-change(C, 5) * (V / (mean(V, 20) + EPS))),
-    "demo_low_volatility": lag(-std(R, 20)),
-    "demo_mixed": lag(0.5 * (-change(C, 5)) + 0.5 * change(C, 60)),
-    "demo_momentum": lag(change(C, 20)),
-}
-
-#: Reversal in excess of the market, illiquidity, and their standardised ranks.
-MIXED = {
-    "mixed_reversal": lag(-total(R - xs_mean(R), 5)),
-    "mixed_illiquidity": lag(mean(x.absolute(R) / (A + EPS), 10)),
-    "mixed_rank": (fill(x.xs_rank(lag(-total(R, 5))), 0) - xs_mean(fill(x.xs_rank(lag(-total(R, 5))), 0))) / (x.xs_std(fill(x.xs_rank(lag(-total(R, 5))), 0)) + EPS),
-}
-
 #: 28 proxy features of past changes.
 FEATURES = {f"feature_{i:02d}": (where(C > 0, 0, 0) if i == 1 else change(C, i - 1 if i <= 10 else i - 5)) for i in range(1, 29)}
 

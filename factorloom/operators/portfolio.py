@@ -104,22 +104,25 @@ def cost_grid(steps: DataFrame, commissions=(0.0001, 0.0003, 0.0005), stamp_tax:
     return rows.groupBy("cost_mode", "commission").agg(ann.alias("ann_return"), F.try_divide(ann - risk_free, vol).alias("sharpe"), F.avg("turnover").alias("avg_turnover"))
 
 
-def filled(bars: DataFrame) -> DataFrame:
-    """symbol, date, close over all dates of any symbol; gaps take the last close before."""
-    # the calendar has one row a date; only it is sent to all
-    grid = bars.select("symbol").distinct().crossJoin(F.broadcast(bars.select("date").distinct()))
-    rows = grid.join(bars.select("symbol", "date", "close"), ["symbol", "date"], "left")
-    return rows.withColumn("close", F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(W.unboundedPreceding, 0)))
+def with_before(bars: DataFrame) -> DataFrame:
+    """symbol, date, close, before (the symbol's last close before the date).
+
+    A symbol without a bar on a date keeps its last close, so its return there is 0 and its price unchanged: only bars that exist count,
+    and no grid of symbols and dates is made.
+    """
+    past = by_symbol().rowsBetween(W.unboundedPreceding, -1)
+    return bars.select("symbol", "date", "close", F.last("close", ignorenulls=True).over(past).alias("before"))
 
 
 def index_returns(bars: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """date, ret: the weighted sum of constituents' returns (weights: symbol, weight, made to sum to 1; equal if None)."""
-    rows = filled(bars).withColumn("r", F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1, F.lit(0.0)))
+    rows = with_before(bars).withColumn("r", F.coalesce(F.try_divide(F.col("close"), F.col("before")) - 1, F.lit(0.0)))
     if weights is None:
         n = bars.agg(F.countDistinct("symbol").alias("n"))
         return rows.groupBy("date").agg(F.sum("r").alias("s")).crossJoin(F.broadcast(n)).select("date", (F.col("s") / F.col("n")).alias("ret"))
-    scaled = weights.withColumn("weight", F.col("weight") / F.sum("weight").over(W.partitionBy(F.lit(0))))
-    return rows.join(scaled, "symbol").groupBy("date").agg(F.sum(F.col("r") * F.col("weight")).alias("ret"))
+    whole = weights.agg(F.sum("weight").alias("whole"))  # a single row
+    scaled = weights.crossJoin(F.broadcast(whole)).select("symbol", (F.col("weight") / F.col("whole")).alias("weight"))
+    return rows.join(scaled, "symbol", "left").groupBy("date").agg(F.sum(F.col("r") * F.coalesce("weight", F.lit(0.0))).alias("ret"))
 
 
 def index_levels(returns: DataFrame, base: float = 1000.0) -> DataFrame:
@@ -130,8 +133,11 @@ def index_levels(returns: DataFrame, base: float = 1000.0) -> DataFrame:
 
 
 def price_index(bars: DataFrame, base: float = 1000.0) -> DataFrame:
-    """date, index_value: the sum of closes over that of the first date."""
-    sums = filled(bars).groupBy("date").agg(F.sum("close").alias("s"))
+    """date, index_value: the sum of all symbols' last closes over that of the first date, from the sums of their changes."""
+    change = F.coalesce("close", "before", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))
+    by = with_before(bars).groupBy("date").agg(F.sum(change).alias("c"))
+    path = W.partitionBy(F.lit(0)).orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row a date
+    sums = by.select("date", F.sum("c").over(path).alias("s"))
     first = sums.agg(F.min_by("s", "date").alias("first"))
     return sums.crossJoin(F.broadcast(first)).select("date", (F.col("s") / F.col("first") * base).alias("index_value"))
 

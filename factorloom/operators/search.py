@@ -127,7 +127,7 @@ def grid(bars: DataFrame, make, params: list[dict]) -> list[tuple[dict, float]]:
 
 def planted(bars: DataFrame, strength: float = 0.5) -> DataFrame:
     """symbol, date, close, beta: prices whose returns follow a hidden loading of the symbol, to test recovery."""
-    unit = lambda *k: F.pmod(F.xxhash64(*k), F.lit(1_000_003)) / 1_000_003 - 0.5
+    unit = lambda *k: F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in k])), 1, 8), 16, 10).cast("double") / (1 << 32) - 0.5
     rows = bars.select("symbol", "date", unit("symbol").alias("beta"), unit("symbol", "date").alias("noise"))
     rows = rows.withColumn("ret", (F.col("beta") * strength + F.col("noise")) * 0.05)
     from pyspark.sql import Window as W

@@ -11,6 +11,7 @@ import inspect
 import textwrap
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,20 +71,60 @@ def across(panel: DataFrame, f: Callable) -> DataFrame:
     return made.withColumn("factor", F.when(~F.isnan("factor"), F.col("factor")))
 
 
+#: Names of later returns, and columns of prices that a signal may only use lagged.
+LATER = ("fwd_ret", "forward_ret", "future", "next_ret", "target_ret")
+PRICES = frozenset(("open", "high", "low", "close", "ret", "pct_chg"))
+
+
+def moved(call: ast.Call) -> int | None:
+    """By how many bars a call of shift, diff or pct_change goes back; None if that isn't a number in the source."""
+    given = [*call.args[:1], *[k.value for k in call.keywords if k.arg == "periods"]]
+    try:
+        n = ast.literal_eval(given[0]) if given else 1
+    except ValueError:
+        return None
+    return n if isinstance(n, int | float) else None
+
+
 def lint(source: str) -> list[str]:
-    """What in a factor's source reads the present or later bars as if they were known."""
-    found = []
-    for node in ast.walk(ast.parse(textwrap.dedent(source))):
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in ("shift", "diff", "pct_change"):
-            args = [*node.args[:1], *[k.value for k in node.keywords if k.arg == "periods"]]
-            for a in args:
-                try:
-                    n = ast.literal_eval(a)
-                except ValueError:
-                    continue
-                if isinstance(n, int) and (n < 0 or (n == 0 and node.func.attr == "shift")):
-                    found.append(f"line {node.lineno}: {node.func.attr}({n}) reads the present or later bars")
-        name = node.id if isinstance(node, ast.Name) else node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else ""
-        if any(k in name.lower() for k in ("fwd_ret", "future", "next_ret", "forward_ret")):
+    """What in a factor's source reads the present or later bars as if they were known; each finding once.
+
+    Shifts that don't go back, names (of variables, attributes or columns) of later returns, and prices read as attributes that enter a
+    computation without lying in a shift that goes back.
+    """
+    try:
+        tree = ast.parse(textwrap.dedent(source))
+    except SyntaxError as error:
+        return [f"line {error.lineno}: the source can't be parsed"]
+    found: list[str] = []
+
+    def look(node: ast.AST, lagged: bool, within: ast.AST | None) -> None:
+        name = node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else ""
+        if any(k in name.lower() for k in LATER):
             found.append(f"line {node.lineno}: {name} names later returns")
-    return found
+        elif isinstance(node, ast.Attribute) and name in PRICES and not lagged and isinstance(within, ast.BinOp | ast.Compare | ast.UnaryOp | ast.Call):
+            found.append(f"line {node.lineno}: {name} is used without a lag")
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in ("shift", "diff", "pct_change"):
+            n = moved(node)
+            if n is not None and (n < 0 or (n == 0 and node.func.attr == "shift")):
+                found.append(f"line {node.lineno}: {node.func.attr}({n}) reads the present or later bars")
+            back = node.func.attr == "shift" and n is not None and n >= 1
+            look(node.func.value, lagged or back, None)
+            for a in [*node.args, *[k.value for k in node.keywords]]:
+                look(a, lagged, node)
+            return
+        for child in ast.iter_child_nodes(node):
+            look(child, lagged, node)
+
+    look(tree, False, None)
+    return list(dict.fromkeys(found))
+
+
+def findings(source: Column) -> Column:
+    """`lint` of a column of sources, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda text: lint(text or ""))
+
+    return run(source)

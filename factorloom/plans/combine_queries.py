@@ -139,6 +139,15 @@ def blended(s, d):
     return rounded(combine.blend(w, NAMES, np.array([0.5, 0.2, 0.3])), 6)
 
 
+BLEND = f"""WITH {WIDE}, r AS (SELECT symbol, date, coalesce(rev, 0) AS rev, coalesce(liq, 0) AS liq, coalesce(vol, 0) AS vol FROM w),
+a AS (SELECT *, rev / (SELECT sqrt(sum(rev * rev)) + 1e-12 FROM r) AS q1 FROM r),
+b AS (SELECT *, liq - (SELECT sum(q1 * liq) / (sum(q1 * q1) + 1e-12) FROM a) * q1 AS v2 FROM a),
+c AS (SELECT *, v2 / (SELECT sqrt(sum(v2 * v2)) + 1e-12 FROM b) AS q2 FROM b),
+e AS (SELECT *, vol - (SELECT sum(q1 * vol) / (sum(q1 * q1) + 1e-12) FROM c) * q1 - (SELECT sum(q2 * vol) / (sum(q2 * q2) + 1e-12) FROM c) * q2 AS v3 FROM c),
+k AS (SELECT symbol, date, 0.5 * q1 + 0.2 * q2 + 0.3 * v3 / (SELECT sqrt(sum(v3 * v3)) + 1e-12 FROM e) AS v FROM e)
+SELECT symbol, date, round({RANK.format('v')}, 6) AS factor FROM k"""
+
+
 def screened(s, d):
     b, w = wide(s, d)
     return rounded(combine.screen_by_return(w.join(b.select("symbol", "date", "ret"), ["symbol", "date"]), NAMES, "ret"))
@@ -172,7 +181,7 @@ _ALL = {
         f"""WITH {WIDE}, h AS (SELECT *, CASE WHEN rev IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN liq IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN vol IS NOT NULL THEN 0.3 ELSE 0 END AS have FROM w)
 SELECT symbol, date, round(CASE WHEN have >= 0.3 THEN (coalesce(rev, 0) * 0.5 - coalesce(liq, 0) * 0.2 + coalesce(vol, 0) * 0.3) / have END, 6) + 0 AS factor FROM h""",
     ),
-    "blend_orthogonal": (blended, None),
+    "blend_orthogonal": (blended, BLEND),
     "factor_correlation": (lambda s, d: rounded(combine.correlation_pairs(wide(s, d)[1], NAMES)), CORR),
     "redundant_pairs": (
         lambda s, d: rounded(combine.redundant(combine.correlation_pairs(wide(s, d)[1], NAMES), 0.01)),

@@ -37,13 +37,33 @@ a AS (SELECT *, CASE WHEN rev IS NOT NULL AND liq IS NOT NULL THEN liq END AS y,
 SELECT symbol, date, round(CASE WHEN count(y) OVER d >= 5 THEN y - regr_slope(y, x) OVER d * x - regr_intercept(y, x) OVER d END, 6) + 0 AS liq_orth FROM a WINDOW d AS (PARTITION BY date)"""
 
 
+IN_TURN = f"""WITH {BARS}, w AS (WITH {x.sql('bars', THREE)}),
+a AS (SELECT *, CASE WHEN rev IS NOT NULL AND liq IS NOT NULL THEN liq END AS y2, CASE WHEN rev IS NOT NULL AND liq IS NOT NULL THEN rev END AS x2, rev IS NOT NULL AND liq IS NOT NULL AND vol IS NOT NULL AS ok FROM w),
+b AS (SELECT *, CASE WHEN ok THEN rev END AS x, CASE WHEN ok THEN liq END AS y, CASE WHEN ok THEN vol END AS z FROM a),
+c AS (SELECT *, y - regr_slope(y, x) OVER d * x - regr_intercept(y, x) OVER d AS ry, z - regr_slope(z, x) OVER d * x - regr_intercept(z, x) OVER d AS rz FROM b WINDOW d AS (PARTITION BY date))
+SELECT symbol, date, round(rev, 6) + 0 AS rev_orth, round(CASE WHEN count(y2) OVER d >= 5 THEN y2 - regr_slope(y2, x2) OVER d * x2 - regr_intercept(y2, x2) OVER d END, 6) + 0 AS liq_orth,
+  round(CASE WHEN count(z) OVER d >= 5 THEN rz - coalesce(sum(ry * rz) OVER d / nullif(sum(ry * ry) OVER d, 0), 0) * ry END, 6) + 0 AS vol_orth FROM c WINDOW d AS (PARTITION BY date)"""
+
+
 def spread(pdf):
     """A user factor: the last bar's range over its close."""
     return ((pdf.high - pdf.low) / pdf.close).shift(1)
 
 
 def centred(pdf):
-    return pdf.close - pdf.close.mean()
+    """A user factor: the close less the mean of the date's, summed without rounding so that the order of rows doesn't matter."""
+    import math
+
+    return pdf.close - math.fsum(pdf.close) / len(pdf)
+
+
+def linted(s, d):
+    """Findings of the lint in factors made of the parts: shifts from -24 to 25, every seventh also with a later return, every fifth with a bare price."""
+    p = table(s, d, "part")
+    body = F.concat(
+        F.lit("def f(df):\n    return df.close.shift("), (F.col("p_size") - 25).cast("string"), F.lit(")"), F.when(F.col("p_partkey") % 7 == 0, " + df.fwd_ret").otherwise(""), F.when(F.col("p_partkey") % 5 == 0, " * df.high").otherwise("")
+    )
+    return p.select("p_partkey", F.size(udf.findings(body)).alias("n"))
 
 
 def deflated(s, d):
@@ -85,18 +105,22 @@ PARSERS = """SELECT * FROM (VALUES ('atom', 'One|A|2024-01-02'), ('atom', 'Two|B
 
 _ALL = {
     "lasso_screen": (lasso, None),
-    "orthogonalize_in_turn": (in_turn, None),
+    "orthogonalize_in_turn": (in_turn, IN_TURN),
     "orthogonalize_second": (lambda s, d: in_turn(s, d).select("symbol", "date", "liq_orth"), TURN),
     "user_factor_over_time": (
         lambda s, d: rounded(udf.over_time(source.bars(s, d), spread)),
         f"WITH {BARS} SELECT symbol, date, round(lag((high - low) / close) OVER (PARTITION BY symbol ORDER BY date), 6) + 0 AS factor FROM bars",
     ),
-    "user_factor_across": (lambda s, d: rounded(udf.across(source.bars(s, d), centred), 4), f"WITH {BARS} SELECT symbol, date, round(close - avg(close) OVER (PARTITION BY date), 4) + 0 AS factor FROM bars"),
+    "user_factor_across": (lambda s, d: rounded(udf.across(source.bars(s, d), centred), 4), f"WITH {BARS} SELECT symbol, date, round(close - fsum(close) OVER (PARTITION BY date) / count(*) OVER (PARTITION BY date), 4) + 0 AS factor FROM bars"),
     "metric_registry": (
         lambda s, d: rounded(udf.measured(ev.ic_series(panel(s, d)))),
         f"WITH {PANEL}, i AS (SELECT * FROM {ic_sql()}) SELECT round(avg(ic) / stddev_samp(ic) * avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) + 0 AS stability, round(min(ic), 6) + 0 AS worst FROM i",
     ),
     "deflated_sharpe": (deflated, None),
+    "lint_findings": (
+        linted,
+        "SELECT p_partkey, (p_size <= 25)::INT + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS n FROM part",
+    ),
     "learned_monitor": (
         monitored,
         "SELECT p_brand AS category, count(*) AS n, round(avg(abs((p_size - 25) / 500.0)), 6) AS mean_abs_ic, sum((abs((p_size - 25) / 500.0) < 0.02)::INT)::BIGINT AS weak FROM part GROUP BY p_brand",

@@ -62,6 +62,14 @@ def chunked(s, d):
     return doc(s, d).select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk_id", "chunk"))
 
 
+CHUNKS = r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*'), lambda v: trim(v, ' ' || chr(10))), lambda v: v <> '') AS ss FROM documents),
+p AS (SELECT doc_id, flatten(list_transform(ss, lambda v: list_transform(range(0, (length(v) - 1) // 320 + 1), lambda i: substr(v, i * 320 + 1, 320)))) AS ps FROM s),
+w AS (SELECT doc_id, ps, 1 AS i, 0 AS chunk_id, ps[1] AS chunk FROM p WHERE len(ps) > 0
+  UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN length(chunk) + 1 + length(ps[i + 1]) <= 320 THEN chunk_id ELSE chunk_id + 1 END,
+    CASE WHEN length(chunk) + 1 + length(ps[i + 1]) <= 320 THEN chunk || ' ' || ps[i + 1] ELSE ps[i + 1] END FROM w WHERE i < len(ps))
+SELECT doc_id, chunk_id::INT AS chunk_id, arg_max(chunk, i) AS chunk FROM w GROUP BY doc_id, chunk_id"""
+
+
 def lexical(s, d):
     return rounded(text.lexical_top(doc(s, d), table(s, d, "benchmark")), 6)
 
@@ -223,7 +231,7 @@ _ALL = {
     ),
     "sentiment": (sentiment, SENTIMENT),
     "tags_entities_tokens": (tagged, TAGGED),
-    "sentence_chunks": (chunked, None),
+    "sentence_chunks": (chunked, CHUNKS),
     "lexical_top": (lexical, LEX),
     "cosine_top": (nearest, NEAREST),
     "diversity_guidance": (guidance, GUIDANCE),

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from factorloom.functions import expr as x
+from factorloom.functions.cross import rank_pct
+from factorloom.operators import combine, factors, search, system
 from factorloom.operators import evaluate as ev
-from factorloom.operators import factors, search, system
-from factorloom.operators.combine import principal, correlation_pairs
+from factorloom.operators.combine import correlation_pairs, principal
 from factorloom.sources import bars as source
 from factorloom.streaming import bars as stream
 
 from .base import bars_sql, rounded
-from .eval_queries import FACTOR, inputs
+from .eval_queries import FACTOR, ic_sql, inputs, summary_sql
 
 BARS = bars_sql()
 NAMES = ["amihud_illiquidity_20d", "bollinger_pct_20d", "momentum_5d", "realized_vol_5d", "turnover_5d"]
@@ -27,8 +29,74 @@ def z_sql(n: str) -> str:
 WIDE = f"{BARS}, w AS (WITH {x.sql('bars', {n: factors.LIBRARY[n].tree for n in NAMES})}), z AS (SELECT symbol, date, {', '.join(f'{z_sql(n)} AS {n}' for n in NAMES)} FROM w)"
 
 
+FORWARD = "fw AS (SELECT symbol, date, lead(ret) OVER (PARTITION BY symbol ORDER BY date) AS fwd_ret FROM bars)"
+LONG = f"long AS ({' UNION ALL '.join(f"SELECT '{n}' AS factor_name, symbol, date, {n} AS factor FROM z" for n in NAMES)})"
+
+
+def panel_of(relation: str) -> str:
+    return f"panel AS (SELECT * FROM {relation} JOIN fw USING (symbol, date) WHERE factor IS NOT NULL AND fwd_ret IS NOT NULL)"
+
+
+SINGLE = f"WITH {WIDE}, {FORWARD}, {LONG}, {panel_of('long')} {summary_sql(ic_sql(keys='factor_name, date'), 'factor_name')}"
+COMPOSITE = f"""WITH {WIDE}, {FORWARD}, h AS (SELECT symbol, date, {' + '.join(f'0.2 * ({n} IS NOT NULL)::INT' for n in NAMES)} AS have, {' + '.join(f'0.2 * coalesce({n}, 0)' for n in NAMES)} AS v FROM z),
+comp AS (SELECT symbol, date, CASE WHEN have >= 0.3 THEN v / have END AS factor FROM h), {panel_of('comp')} {summary_sql(ic_sql())}"""
+DIMENSIONS = f"""SELECT dimension, count(*) AS n, round(sum(0.2::DOUBLE), 6) AS weight, round(avg(quality), 6) AS mean_quality, string_agg(name, '|' ORDER BY name) AS names
+FROM (VALUES {', '.join(f"('{n}', '{factors.LIBRARY[n].category}', {factors.LIBRARY[n].quality}::DOUBLE)" for n in NAMES)}) AS c(name, dimension, quality) GROUP BY dimension"""
+DIVERSIFIED = f"""WITH {WIDE}, {FORWARD}, {LONG}, one AS (SELECT * FROM long JOIN fw USING (symbol, date) WHERE factor IS NOT NULL AND fwd_ret IS NOT NULL),
+i AS (SELECT factor_name, avg(ic) / nullif(stddev_samp(ic), 0) AS icir FROM {ic_sql('one', 'factor_name, date')} GROUP BY factor_name),
+o AS (SELECT factor_name, row_number() OVER (ORDER BY abs(coalesce(icir, 0)) DESC, factor_name) AS place FROM i),
+c AS (SELECT k.n, symbol, date, sum(CASE WHEN place <= k.n THEN coalesce(factor, 0) ELSE 0 END) / k.n AS factor FROM long JOIN o USING (factor_name), (VALUES (1), (2), (3), (4), (5)) AS k(n) GROUP BY k.n, symbol, date),
+{panel_of('c')} SELECT n, ic, icir FROM ({summary_sql(ic_sql(keys='n, date'), 'n')})"""
+GRID = f"""WITH {BARS}, {FORWARD}, t AS ({' UNION ALL '.join(f"SELECT {n} AS n, symbol, date, CASE WHEN count(pct_chg) OVER w >= {n} THEN -sum(pct_chg) OVER w END AS v FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING)" for n in (1, 2, 3, 5, 10))}),
+g AS (SELECT n, symbol, date, lag(v) OVER (PARTITION BY n, symbol ORDER BY date) AS factor FROM t), {panel_of('g')}
+SELECT n, round(abs(avg(ic) / stddev_samp(ic)), 8) AS icir FROM {ic_sql(keys='n, date')} GROUP BY n"""
+PLANTED = f"""WITH {BARS}, u AS (SELECT symbol, date, ('0x' || substr(md5(symbol), 1, 8))::BIGINT / 4294967296.0 - 0.5 AS beta, ('0x' || substr(md5(symbol || '|' || date::VARCHAR), 1, 8))::BIGINT / 4294967296.0 - 0.5 AS noise FROM bars),
+pr AS (SELECT symbol, date, beta::DOUBLE AS factor, exp(sum(ln(1 + (beta * 0.5 + noise) * 0.05)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)) AS close FROM u),
+q AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM pr),
+panel AS (SELECT * FROM (SELECT symbol, date, factor, lead(r) OVER (PARTITION BY symbol ORDER BY date) AS fwd_ret FROM q) WHERE fwd_ret IS NOT NULL)
+SELECT round(ic, 6) AS ic, round(rank_ic, 6) AS rank_ic, round(icir, 6) AS icir, round(ic_positive_ratio, 6) AS ic_positive_ratio, n_dates FROM ({summary_sql(ic_sql())})"""
+ICIR_WEIGHTS = f"""WITH {WIDE}, {FORWARD}, {LONG}, {panel_of('long')},
+i AS (SELECT factor_name AS name, greatest(0, coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0)) AS v FROM {ic_sql(keys='factor_name, date')} GROUP BY factor_name)
+SELECT name, round(CASE WHEN sum(v) OVER () > 0 THEN v / sum(v) OVER () ELSE 1.0 / count(*) OVER () END, 8) AS weight FROM i"""
+
+
+def icirs(b, w):
+    return {r["factor_name"]: r["icir"] or 0.0 for r in ev.batch(b, w, NAMES).select("factor_name", "icir").collect()}
+
+
+def icir_weights(s, d):
+    b = source.bars(s, d)
+    found = combine.positive_weights(icirs(b, system.matrix(b, NAMES)))
+    return rounded(s.createDataFrame(sorted(found.items()), "name string, weight double"), 8)
+
+
+def left_out(s, d):
+    b = source.bars(s, d)
+    w = system.matrix(b, NAMES)
+
+    def score(frame):
+        return ev.ic_summary(ev.ic_series(ev.prepare(b, frame))).first()["icir"] or 0.0
+
+    return rounded(s.createDataFrame(combine.leave_one_out(w, NAMES, icirs(b, w), score), "name string, without double, change double"), 6)
+
+
+def ascended(s, d):
+    """Weights after coordinate ascent from equal ones on the ICIR of the ranked blend."""
+    b = source.bars(s, d)
+    w = system.matrix(b, NAMES).persist()
+
+    def score_all(weightings):
+        names = [f"c{i:03d}" for i in range(len(weightings))]
+        sums = w.select("symbol", "date", *[combine.linear_filled(NAMES, v).alias(n) for n, v in zip(names, weightings, strict=True)])
+        got = {r["factor_name"]: r["icir"] or 0.0 for r in ev.batch(b, sums.select("symbol", "date", *[rank_pct(F.col(n), "date").alias(n) for n in names]), names).collect()}
+        return [got.get(n, 0.0) for n in names]
+
+    found = combine.ascend(w, NAMES, np.full(len(NAMES), 1 / len(NAMES)), score_all, rounds=5)
+    return rounded(s.createDataFrame([(n, float(v)) for n, v in zip(NAMES, found, strict=True)], "name string, weight double"), 6)
+
+
 def analysed(part):
-    return lambda s, d: rounded(system.analyse(source.bars(s, d), NAMES)[part])
+    return lambda s, d: rounded(system.analyse(source.bars(s, d), NAMES)[part], 8)
 
 
 def components(s, d):
@@ -37,19 +105,19 @@ def components(s, d):
 
 
 def evolved(s, d):
-    found = search.evolve(source.bars(s, d), population=8, generations=1)
+    found = search.evolve(source.bars(s, d).persist())
     return s.createDataFrame([(str(t), float(f)) for t, f in found[:5]], "tree string, fitness double")
 
 
 def beamed(s, d):
     b = source.bars(s, d)
-    found = search.beam(b, system.matrix(b, NAMES), NAMES, size=2)
+    found = search.beam(b, system.matrix(b, NAMES).persist(), NAMES)
     return s.createDataFrame([("+".join(t), float(f)) for t, f in found[:5]], "combination string, icir double")
 
 
 def tuned(s, d):
     found = search.grid(source.bars(s, d), lambda n: x.lag(-x.total(factors.P, n)), [{"n": n} for n in (1, 2, 3, 5, 10)])
-    return s.createDataFrame([(p["n"], float(v)) for p, v in found], "n int, icir double")
+    return rounded(s.createDataFrame([(p["n"], float(v)) for p, v in found], "n int, icir double"), 8)
 
 
 def recovery(s, d):
@@ -67,19 +135,22 @@ FIT = "(c_acctbal / 1000 * sqrt(abs(c_acctbal / 5000) / greatest(c_nationkey / 2
 
 _ALL = {
     "system_matrix": (lambda s, d: rounded(system.matrix(source.bars(s, d), NAMES)), f"WITH {WIDE} SELECT symbol, date, {', '.join(f'round({n}, 6) + 0 AS {n}' for n in NAMES)} FROM z"),
-    "system_single": (analysed("single"), None),
-    "system_composite": (analysed("composite"), None),
+    "system_single": (analysed("single"), SINGLE),
+    "system_composite": (analysed("composite"), COMPOSITE),
     "system_correlation": (
         analysed("correlation"),
         f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n, round(corr({a}, {b}), 6) + 0 AS rho FROM z" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]),
     ),
-    "system_dimensions": (analysed("dimensions"), None),
-    "system_diversification": (analysed("diversification"), None),
+    "system_dimensions": (analysed("dimensions"), DIMENSIONS),
+    "system_diversification": (analysed("diversification"), DIVERSIFIED),
     "principal_components": (components, None),
     "gp_evolution": (evolved, None),
     "beam_search": (beamed, None),
-    "parameter_grid": (tuned, None),
-    "planted_recovery": (recovery, None),
+    "parameter_grid": (tuned, GRID),
+    "planted_recovery": (recovery, PLANTED),
+    "icir_weights": (icir_weights, ICIR_WEIGHTS),
+    "leave_one_out": (left_out, None),
+    "ascended_weights": (ascended, None),
     "fitness_grades": (
         fit_grades,
         f"SELECT c_custkey, round({FIT}, 6) + 0 AS fitness, CASE WHEN {FIT} > 2.5 THEN 'spectacular' WHEN {FIT} >= 2 THEN 'excellent' WHEN {FIT} >= 1.5 THEN 'good' WHEN {FIT} >= 1 THEN 'average' ELSE 'needs improvement' END AS grade FROM customer",
