@@ -97,8 +97,8 @@ def with_plan(rows: DataFrame, plan: DataFrame, slopes: Sequence[float]) -> Data
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")
     out = out.withColumn("copies", F.col("whole") + (F.col("bin") < F.col("cut")).cast("int"))
     start, end = F.element_at("begins", F.col("bin") + 1), F.element_at("begins", F.col("bin") + 2)
-    out = out.withColumn("share", (start + F.col("within") * (end - start)) / F.col("target"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).withColumn("position", F.when(F.col("taken") > 0, due(F.col("share"), F.col("slope")))).withColumn("lap", F.col("source_size") / F.col("target"))
+    out = out.withColumn("share", F.when(F.col("target") > 0, (start + F.col("within") * (end - start)) / F.col("target")))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).withColumn("position", F.when(F.col("taken") > 0, due(F.col("share"), F.col("slope")))).withColumn("lap", F.when(F.col("target") > 0, F.col("source_size") / F.col("target")))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, slopes: Sequence[float] = (-0.5, 0.0, 0.5), bins: int = BINS) -> DataFrame:
