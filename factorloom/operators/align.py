@@ -37,9 +37,12 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str
 
 
 def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """rows with the weight of each event window (start, end, weight) that their date lies in; windows are few."""
-    w = F.broadcast(windows.select("window", "start", "end", "weight"))
-    return rows.join(w, F.col("date").between(F.col("start"), F.col("end")))
+    """rows with the weight of each event window (start, end, weight) that their date lies in.
+
+    Windows are unfolded to their days, so that this is an equal join, whatever the number of windows; one that ends before it starts has no day.
+    """
+    w = windows.filter(F.col("start") <= F.col("end")).select("window", "start", "end", "weight", F.explode(F.sequence("start", "end")).alias("date"))
+    return rows.join(w, "date")
 
 
 def weighted_ic(series: DataFrame, windows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Wide frames hold symbol, date and one column a factor. Only matrices of factors
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -251,6 +253,19 @@ def truncate(scores: DataFrame, ratio: float = 0.1, least: int = 5) -> DataFrame
     return scores.withColumns({"rank": at, "_n": n}).filter(F.col("rank") <= F.greatest(F.lit(least), F.ceil(F.col("_n") * ratio))).drop("_n")
 
 
+def screen(wide: DataFrame, names: list[str], target: str, icirs: dict[str, float], keep: list[str] | None = None, ratio: float = 0.1, least: int = 5) -> tuple[list[str], list[tuple[str, int, int, str]]]:
+    """Names that pass three levels, and the audit (level, into it, out of it, how).
+
+    lasso: those with a coefficient, or all if none has one. review: those in keep, all if it is None or names none of them. top: the best max(least, ceil(n * ratio)) by ICIR.
+    """
+    first = [n for n, _, ok in lasso_screen(wide, names, target) if ok] or names
+    second = first if keep is None else [n for n in first if n in keep] or first
+    how = "auto" if keep is None else "human" if any(n in keep for n in first) else "none left, all kept"
+    most = max(least, math.ceil(len(second) * ratio))
+    third = second if len(second) <= least else sorted(second, key=lambda n: (-(icirs.get(n) or 0.0), n))[:most]
+    return third, [("lasso", len(names), len(first), "lasso" if len(names) >= 3 else "few"), ("review", len(first), len(second), how), ("top", len(second), len(third), f"{ratio:g}")]
+
+
 def fuse(frames: dict[str, DataFrame], method: str = "ranked", weights: dict[str, float] | None = None, by_date: bool = False) -> DataFrame:
     """symbol, date, factor over the union of the frames' keys, missing values 0.
 

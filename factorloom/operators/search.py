@@ -18,7 +18,7 @@ from factorloom.functions.expr import E
 from . import evaluate as ev
 
 TERMINALS = ("open", "high", "low", "close", "volume", "amount")
-WINDOWS = (3, 5, 10, 20)
+WINDOWS = (3, 5, 10, 20, 60)
 WORST = -1e9
 
 
@@ -27,7 +27,7 @@ def random_tree(rng: random.Random, depth: int) -> E:
         return x.col(rng.choice(TERMINALS)) if rng.random() < 0.9 else x.e(round(rng.uniform(-1, 1), 2))
     a = random_tree(rng, depth - 1)
     n = rng.choice(WINDOWS)
-    match rng.choice(("add", "sub", "mul", "div", "log", "abs", "delta", "mean", "zscore", "min", "max", "rank", "corr")):
+    match rng.choice(("add", "sub", "mul", "div", "log", "abs", "sqrt", "neg", "sign", "delta", "mean", "zscore", "min", "max", "rank", "corr")):
         case "add":
             return a + random_tree(rng, depth - 1)
         case "sub":
@@ -40,6 +40,12 @@ def random_tree(rng: random.Random, depth: int) -> E:
             return x.ln(x.absolute(a) + 1e-12)
         case "abs":
             return x.absolute(a)
+        case "sqrt":
+            return x.sqrt(x.absolute(a) + 1e-12)
+        case "neg":
+            return -a
+        case "sign":
+            return x.sign(a)
         case "delta":
             return a - x.lag(a)
         case "mean":
@@ -80,25 +86,75 @@ def fitness(bars: DataFrame, trees: dict[str, E]) -> dict[str, float]:
     return {k: abs(got[k]) if got.get(k) is not None else WORST for k in trees}
 
 
+def next_pool(rng: random.Random, ranked: list[E], known: dict[str, float], population: int, depth: int, elite: int) -> list[E]:
+    """The elite and children of tournament winners; a child that grew too large is replaced by a new tree."""
+    pool = ranked[:elite]
+    while len(pool) < population:
+        best = lambda: max(rng.sample(ranked, min(len(ranked), max(3, population // 5))), key=lambda t: known[x.key(t)])
+        child = cross(rng, best(), best()) if rng.random() < 0.6 else mutate(rng, best(), depth)
+        pool.append(child if x.depth(child) <= 4 and len(subtrees(child)) <= 40 else random_tree(rng, depth))
+    return pool
+
+
+def by_fitness(pool: list[E], known: dict[str, float]) -> list[E]:
+    unique = {x.key(t): t for t in pool if not x.lookahead(t)}
+    return sorted(unique.values(), key=lambda t: (-known[x.key(t)], str(t)))
+
+
+def score_new(bars: DataFrame, pool: list[E], known: dict[str, float]) -> None:
+    """Adds the fitness of trees that aren't known yet, equal ones (by canonical text) once, all in one job."""
+    fresh = {x.key(t): t for t in pool if not x.lookahead(t) and x.key(t) not in known}
+    if fresh:
+        known.update(fitness(bars, fresh))
+
+
 def evolve(bars: DataFrame, seed: int = 7, population: int = 16, generations: int = 3, depth: int = 3, elite: int = 2) -> list[tuple[E, float]]:
-    """Trees by falling fitness. Equal trees (by canonical text) are scored once."""
+    """Trees by falling fitness."""
     rng = random.Random(seed)
     pool = [random_tree(rng, depth) for _ in range(population)]
     known: dict[str, float] = {}
-    for g in range(generations + 1):
-        unique = {x.key(t): t for t in pool if not x.lookahead(t)}
-        fresh = {k: t for k, t in unique.items() if k not in known}
-        if fresh:
-            known |= fitness(bars, fresh)
-        ranked = sorted(unique.values(), key=lambda t: (-known[x.key(t)], str(t)))
-        if g == generations:
-            return [(t, known[x.key(t)]) for t in ranked]
-        pool = ranked[:elite]
-        while len(pool) < population:
-            best = lambda: max(rng.sample(ranked, min(len(ranked), max(3, population // 5))), key=lambda t: known[x.key(t)])
-            child = cross(rng, best(), best()) if rng.random() < 0.6 else mutate(rng, best(), depth)
-            pool.append(child if x.depth(child) <= 4 and len(subtrees(child)) <= 40 else random_tree(rng, depth))
-    return []
+    for _ in range(generations):
+        score_new(bars, pool, known)
+        pool = next_pool(rng, by_fitness(pool, known), known, population, depth, elite)
+    score_new(bars, pool, known)
+    return [(t, known[x.key(t)]) for t in by_fitness(pool, known)]
+
+
+def cut_dates(bars: DataFrame, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Bars up to the date that leaves test_share of the dates after it, and the later ones."""
+    dates = [r["date"] for r in bars.select("date").distinct().orderBy("date").collect()]  # one row a date
+    if not dates:
+        return bars, bars
+    cut = F.lit(dates[min(len(dates) - 1, int(len(dates) * (1 - test_share)))])
+    return bars.filter(F.col("date") <= cut), bars.filter(F.col("date") > cut)
+
+
+def evolve_islands(bars: DataFrame, islands: int = 3, seed: int = 7, population: int = 8, generations: int = 2, depth: int = 3, migrants: int = 2, every: int = 1, test_share: float = 0.2, top: int = 20) -> list[dict]:
+    """The best different trees of several populations: tree, island, train_ic, test_ic, overfit_gap, by falling train_ic.
+
+    Populations evolve apart on the earlier dates; after every `every` generations each one's best `migrants` replace the last of the next one's in a ring. The later dates
+    are scored once, at the end. A generation of all islands is one job.
+    """
+    train, test = cut_dates(bars, test_share)
+    rngs = [random.Random(seed * 1009 + i) for i in range(islands)]
+    pools = [[random_tree(r, depth) for _ in range(population)] for r in rngs]
+    known: dict[str, float] = {}
+    for g in range(generations):
+        score_new(train, [t for p in pools for t in p], known)
+        ranked = [by_fitness(p, known) for p in pools]
+        if (g + 1) % every == 0 and islands > 1:
+            best = [r[:migrants] for r in ranked]
+            ranked = [by_fitness([*r[: max(1, len(r) - migrants)], *best[i - 1]], known) for i, r in enumerate(ranked)]
+        pools = [next_pool(rng, r, known, population, depth, 2) if r else p for rng, r, p in zip(rngs, ranked, pools, strict=True)]
+    score_new(train, [t for p in pools for t in p], known)
+    found: dict[str, tuple[E, int]] = {}
+    for i, p in enumerate(pools):
+        for t in by_fitness(p, known):
+            found.setdefault(x.key(t), (t, i))
+    chosen = sorted(found.values(), key=lambda v: (-known[x.key(v[0])], str(v[0])))[:top]
+    later = fitness(test, {x.key(t): t for t, _ in chosen}) if chosen else {}
+    rows = [(t, i, known[x.key(t)], later[x.key(t)]) for t, i in chosen]
+    return [{"tree": str(t), "island": i, "train_ic": a, "test_ic": b, "overfit_gap": a - b} for t, i, a, b in rows]
 
 
 def beam(bars: DataFrame, wide: DataFrame, names: list[str], width: int = 3, size: int = 3) -> list[tuple[tuple[str, ...], float]]:

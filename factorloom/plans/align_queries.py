@@ -27,7 +27,7 @@ def windows(s):
 def uploaded(kind):
     def run(s, d):
         path = files.scratch(s, "upload")
-        rows = source.bars(s, d).select("symbol", F.col("date").cast("string").alias("Trade_Date"), "close")
+        rows = source.saved(s, d).select("symbol", F.col("date").cast("string").alias("Trade_Date"), "close")
         files.deliver(rows, path, kind)
         back = files.read_upload(s, path, kind, "symbol string, Trade_Date date, close double")
         return files.describe(back)
@@ -59,14 +59,14 @@ _ALL = {
     "upload_csv": (uploaded("csv"), f"WITH {BARS} SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols, min(date) AS first_date, max(date) AS last_date FROM bars"),
     "upload_json": (uploaded("json"), f"WITH {BARS} SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols, min(date) AS first_date, max(date) AS last_date FROM bars"),
     "append_lines": (appended, "SELECT c_mktsegment, (count(*) * 11)::BIGINT AS n FROM customer GROUP BY c_mktsegment"),
-    "usable_symbols": (lambda s, d: files.usable(source.bars(s, d), 166), f"WITH {BARS} SELECT symbol, count(*) AS n, count(*) >= 83 AS usable FROM bars GROUP BY symbol"),
+    "usable_symbols": (lambda s, d: files.usable(source.saved(s, d), 166), f"WITH {BARS} SELECT symbol, count(*) AS n, count(*) >= 83 AS usable FROM bars GROUP BY symbol"),
     "index_search": (lambda s, d: align.search(table(s, d, "nation").select(F.col("n_name").alias("name"), "n_nationkey"), "1"), "SELECT n_name AS name, n_nationkey FROM nation WHERE contains(lower(n_name), '1')"),
     "index_history": (
-        lambda s, d: rounded(align.history(source.bars(s, d), "1996-01-01", "1996-06-30").select("symbol", "date", "close")),
+        lambda s, d: rounded(align.history(source.saved(s, d), "1996-01-01", "1996-06-30").select("symbol", "date", "close")),
         f"WITH {BARS} SELECT symbol, date, round(close, 6) AS close FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'",
     ),
     "index_spot": (
-        lambda s, d: rounded(align.spot(source.bars(s, d))),
+        lambda s, d: rounded(align.spot(source.saved(s, d))),
         f"WITH {BARS} SELECT symbol, date, round(close, 6) AS close, round(ret, 6) + 0 AS change FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1",
     ),
     "as_of_join": (as_of, AS_OF),
@@ -87,7 +87,7 @@ _ALL = {
         "SELECT p_brand, count(*) AS n, round(count(*) / max(count(*)) OVER (), 6) AS exposure FROM part GROUP BY p_brand",
     ),
     "reindexed_factor": (
-        lambda s, d: rounded(align.onto_panel(source.bars(s, d), source.bars(s, d).filter("ret > 0").select("symbol", "date", F.col("ret").alias("factor")))),
+        lambda s, d: rounded(align.onto_panel(source.saved(s, d), source.saved(s, d).filter("ret > 0").select("symbol", "date", F.col("ret").alias("factor")))),
         f"WITH {BARS} SELECT symbol, date, round(CASE WHEN ret > 0 THEN ret END, 6) AS factor FROM bars",
     ),
 }

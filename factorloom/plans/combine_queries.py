@@ -20,7 +20,7 @@ Z = {n: f"(({n} - avg({n}) OVER (PARTITION BY date)) / (stddev_samp({n}) OVER (P
 
 
 def wide(s, d):
-    b = source.bars(s, d)
+    b = source.saved(s, d)
     return b, x.columns(b, THREE)
 
 
@@ -127,7 +127,7 @@ SELECT industry, round(m, 6) AS mean_rank, round(max(m) OVER () - min(m) OVER ()
 
 
 def zoo(s, d):
-    b = source.bars(s, d)
+    b = source.saved(s, d)
     w = x.columns(b, {"factor0": TREE, **factors.ZOO})
     return rounded(robust.compare_to_zoo(b, w, "factor0", list(factors.ZOO)), 6)
 
@@ -160,15 +160,15 @@ _ALL = {
     "portfolio_walk": (lambda s, d: rounded(steps(s, d)), None),
     "portfolio_stats": (lambda s, d: rounded(portfolio.portfolio_stats(portfolio.costed(steps(s, d)))), None),
     "cost_sensitivity": (lambda s, d: rounded(portfolio.cost_grid(steps(s, d)), but=("commission",)), None),
-    "custom_index_equal": (lambda s, d: rounded(portfolio.index_levels(portfolio.index_returns(source.bars(s, d))), 4), f"WITH {EQUAL_INDEX} SELECT date, round(index_value, 4) AS index_value FROM idx"),
-    "custom_index_custom": (lambda s, d: rounded(portfolio.index_levels(portfolio.index_returns(source.bars(s, d), custom_weights(s, d))), 4), f"WITH {CUSTOM_INDEX} SELECT date, round(index_value, 4) AS index_value FROM idx"),
+    "custom_index_equal": (lambda s, d: rounded(portfolio.index_levels(portfolio.index_returns(source.saved(s, d))), 4), f"WITH {EQUAL_INDEX} SELECT date, round(index_value, 4) AS index_value FROM idx"),
+    "custom_index_custom": (lambda s, d: rounded(portfolio.index_levels(portfolio.index_returns(source.saved(s, d), custom_weights(s, d))), 4), f"WITH {CUSTOM_INDEX} SELECT date, round(index_value, 4) AS index_value FROM idx"),
     "custom_index_price": (
-        lambda s, d: rounded(portfolio.price_index(source.bars(s, d)), 4),
+        lambda s, d: rounded(portfolio.price_index(source.saved(s, d)), 4),
         f"WITH {IDX}, p AS (SELECT date, sum(close) AS s FROM filled GROUP BY date) SELECT date, round(s / first_value(s) OVER (ORDER BY date) * 1000, 4) AS index_value FROM p",
     ),
-    "index_stats": (lambda s, d: portfolio.index_stats(portfolio.index_levels(portfolio.index_returns(source.bars(s, d)))), f"WITH {EQUAL_INDEX}{STATS}"),
+    "index_stats": (lambda s, d: portfolio.index_stats(portfolio.index_levels(portfolio.index_returns(source.saved(s, d)))), f"WITH {EQUAL_INDEX}{STATS}"),
     "rebased_series": (
-        lambda s, d: rounded(portfolio.rebased(source.bars(s, d).select("symbol", "date", F.col("close").alias("index_value")), "symbol")),
+        lambda s, d: rounded(portfolio.rebased(source.saved(s, d).select("symbol", "date", F.col("close").alias("index_value")), "symbol")),
         f"WITH {BARS} SELECT symbol, date, round((close / first_value(close) OVER (PARTITION BY symbol ORDER BY date) - 1) * 100, 6) + 0 AS change FROM bars",
     ),
     "weights_all_modes": (weights_all, WEIGHTS),

@@ -17,7 +17,7 @@ OTHER = x.lag(x.mean(factors.V, 5))
 
 
 def inputs(spark, sf_dir):
-    b = source.bars(spark, sf_dir)
+    b = source.saved(spark, sf_dir)
     return b, x.columns(b, {"factor": TREE})
 
 
@@ -68,7 +68,7 @@ def long_short_query(mode):
 
 
 def cross_section(s, d):
-    b = source.bars(s, d)
+    b = source.saved(s, d)
     f = x.columns(b, {"factor": TREE, "other": OTHER})
     return f.join(source.dimensions(s, d), "symbol")
 
@@ -122,7 +122,7 @@ SELECT symbol, date, round(CASE WHEN n < 10 THEN factor ELSE y END, 6) + 0 AS by
 
 
 def market(s, d):
-    df = source.bars(s, d).join(source.dimensions(s, d), "symbol").filter("ret IS NOT NULL")
+    df = source.saved(s, d).join(source.dimensions(s, d), "symbol").filter("ret IS NOT NULL")
     w = cross.on("date")
     cap = F.greatest(F.col("mkt_cap"), F.lit(0.0))
     vw = F.try_divide(F.sum(F.col("ret") * cap).over(w), F.sum(cap).over(w))
@@ -137,7 +137,7 @@ NAMES = sorted(factors.by_category(factors.VOLATILITY))
 
 
 def batch(s, d):
-    b = source.bars(s, d)
+    b = source.saved(s, d)
     return rounded(ev.batch(b, factors.compute(b, NAMES), NAMES), 8)
 
 
@@ -196,7 +196,7 @@ _ALL = {
         lambda s, d: rounded(ev.coverage(inputs(s, d)[1], panel(s, d))),
         f"WITH {PANEL} SELECT (SELECT round(avg(CASE WHEN factor IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) FROM f) AS coverage, count(DISTINCT symbol) AS n_stocks, count(DISTINCT date) AS n_dates FROM panel",
     ),
-    "benchmark_equal_weight": (lambda s, d: rounded(ev.benchmark(source.bars(s, d)), 8), f"WITH {BARS}, {BENCH} SELECT date, round(ret, 8) + 0 AS ret FROM bench"),
+    "benchmark_equal_weight": (lambda s, d: rounded(ev.benchmark(source.saved(s, d)), 8), f"WITH {BARS}, {BENCH} SELECT date, round(ret, 8) + 0 AS ret FROM bench"),
     "benchmark_stats": (bench_stats, BENCH_STATS),
     "xs_basic": (xs_basic, XS_BASIC),
     "xs_neutralize": (xs_neutral, XS_NEUTRAL),

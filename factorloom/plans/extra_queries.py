@@ -69,7 +69,7 @@ def linted(s, d):
 def deflated(s, d):
     row = ev.long_short_stats(ev.long_short(ev.grouped(panel(s, d)))).first()
     n = panel(s, d).select("date").distinct().count()
-    walk = robust.walk_forward(source.bars(s, d), panel(s, d).select("symbol", "date", "factor")).agg(F.avg("icir")).first()[0]
+    walk = robust.walk_forward(source.saved(s, d), panel(s, d).select("symbol", "date", "factor")).agg(F.avg("icir")).first()[0]
     dsr = robust.deflated_sharpe(row["sharpe"] or 0.0, n, 10)
     return s.createDataFrame([(float(row["sharpe"] or 0.0), n, float(dsr), robust.verdict(walk or 0.0, dsr, False))], "sharpe double, n int, dsr double, verdict string")
 
@@ -108,10 +108,10 @@ _ALL = {
     "orthogonalize_in_turn": (in_turn, IN_TURN),
     "orthogonalize_second": (lambda s, d: in_turn(s, d).select("symbol", "date", "liq_orth"), TURN),
     "user_factor_over_time": (
-        lambda s, d: rounded(udf.over_time(source.bars(s, d), spread)),
+        lambda s, d: rounded(udf.over_time(source.saved(s, d), spread)),
         f"WITH {BARS} SELECT symbol, date, round(lag((high - low) / close) OVER (PARTITION BY symbol ORDER BY date), 6) + 0 AS factor FROM bars",
     ),
-    "user_factor_across": (lambda s, d: rounded(udf.across(source.bars(s, d), centred), 4), f"WITH {BARS} SELECT symbol, date, round(close - fsum(close) OVER (PARTITION BY date) / count(*) OVER (PARTITION BY date), 4) + 0 AS factor FROM bars"),
+    "user_factor_across": (lambda s, d: rounded(udf.across(source.saved(s, d), centred), 4), f"WITH {BARS} SELECT symbol, date, round(close - fsum(close) OVER (PARTITION BY date) / count(*) OVER (PARTITION BY date), 4) + 0 AS factor FROM bars"),
     "metric_registry": (
         lambda s, d: rounded(udf.measured(ev.ic_series(panel(s, d)))),
         f"WITH {PANEL}, i AS (SELECT * FROM {ic_sql()}) SELECT round(avg(ic) / stddev_samp(ic) * avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) + 0 AS stability, round(min(ic), 6) + 0 AS worst FROM i",

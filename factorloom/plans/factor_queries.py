@@ -16,7 +16,7 @@ PLACES = 6
 
 def tree_query(trees, unit="month", places=PLACES):
     def run(spark, sf_dir):
-        return rounded(x.columns(source.bars(spark, sf_dir, unit), trees), places)
+        return rounded(x.columns(source.saved(spark, sf_dir, unit), trees), places)
 
     return run, f"WITH {bars_sql(unit)}, {x.sql('bars', trees, places=places)}"
 
@@ -99,10 +99,10 @@ _ALL = {
     "factor_templates": tree_query(factors.TEMPLATES),
     "factor_zoo": tree_query(factors.ZOO),
     "factor_pool": tree_query(factors.POOL),
-    "factor_demo": (lambda s, d: rounded(recipes.demo(source.bars(s, d)), PLACES), DEMO_SQL),
-    "factor_mixed": (lambda s, d: rounded(recipes.mixed(source.bars(s, d)), PLACES), MIXED_SQL),
+    "factor_demo": (lambda s, d: rounded(recipes.demo(source.saved(s, d)), PLACES), DEMO_SQL),
+    "factor_mixed": (lambda s, d: rounded(recipes.mixed(source.saved(s, d)), PLACES), MIXED_SQL),
     "market_return": (
-        lambda s, d: rounded(recipes.market_return(source.bars(s, d)).groupBy("date").agg(F.max("market").alias("market")), PLACES),
+        lambda s, d: rounded(recipes.market_return(source.saved(s, d)).groupBy("date").agg(F.max("market").alias("market")), PLACES),
         f"WITH {bars_sql()} SELECT date, round(coalesce(sum(ret * close * volume), 0) / sum(close * volume), 6) + 0 AS market FROM bars GROUP BY date",
     ),
     "factor_parameter_grid": tree_query({f"reversal_{n}_of_{m}": x.lag(-x.total(factors.P, n) / (x.std(factors.R, m) + factors.EPS)) for n in (1, 3, 5) for m in (10, 20)}),

@@ -187,7 +187,7 @@ def runs(s, d):
 
 
 def records(s, d):
-    return source.bars(s, d).filter("ret IS NOT NULL").select(F.col("symbol").alias("factor_name"), "date", F.col("ret").alias("ic"))
+    return source.saved(s, d).filter("ret IS NOT NULL").select(F.col("symbol").alias("factor_name"), "date", F.col("ret").alias("ic"))
 
 
 def tiers(s, d):
@@ -202,15 +202,15 @@ def filled(s, d):
 
 
 def conformed(s, d):
-    b = source.bars(s, d)
+    b = source.saved(s, d)
     raw = b.select(F.col("date").cast("string").alias("Trade_Date"), F.col("symbol").alias("代码"), F.col("close").cast("string").alias("收盘"), F.col("volume").alias("VOL"))
     return rounded(source.conform(raw).select("symbol", "date", "open", "high", "low", "close", "volume", "amount", "pct_chg"), 6)
 
 
 _ALL = {
-    "bars_monthly": (lambda s, d: rounded(source.bars(s, d), 6), f"WITH {BARS} SELECT symbol, date, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in ('open', 'high', 'low', 'close', 'volume', 'amount', 'ret', 'pct_chg'))} FROM bars"),
+    "bars_monthly": (lambda s, d: rounded(source.saved(s, d), 6), f"WITH {BARS} SELECT symbol, date, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in ('open', 'high', 'low', 'close', 'volume', 'amount', 'ret', 'pct_chg'))} FROM bars"),
     "bars_weekly": (
-        lambda s, d: rounded(source.bars(s, d, "week"), 6),
+        lambda s, d: rounded(source.saved(s, d, "week"), 6),
         f"WITH {bars_sql('week')} SELECT symbol, date, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in ('open', 'high', 'low', 'close', 'volume', 'amount', 'ret', 'pct_chg'))} FROM bars",
     ),
     "panel_conform": (
@@ -222,11 +222,11 @@ _ALL = {
         "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM (SELECT l_orderkey, l_linenumber, l_partkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC) = 1",
     ),
     "suspended_filter": (
-        lambda s, d: source.without_suspended(source.bars(s, d).withColumn("volume", F.when(F.col("volume") < 160, 0.0).otherwise(F.col("volume"))), 0.4).select("symbol", "date", "volume"),
+        lambda s, d: source.without_suspended(source.saved(s, d).withColumn("volume", F.when(F.col("volume") < 160, 0.0).otherwise(F.col("volume"))), 0.4).select("symbol", "date", "volume"),
         f"WITH {BARS}, v AS (SELECT symbol, date, CASE WHEN volume < 160 THEN 0.0 ELSE volume END AS volume FROM bars) SELECT symbol, date, volume FROM v QUALIFY avg((volume = 0)::INT) OVER (PARTITION BY symbol) <= 0.4",
     ),
     "panel_limit": (
-        lambda s, d: source.limited(source.bars(s, d), 12, 20).select("symbol", "date"),
+        lambda s, d: source.limited(source.saved(s, d), 12, 20).select("symbol", "date"),
         f"WITH {BARS}, t AS (SELECT symbol, date FROM bars WHERE date IN (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 12)) SELECT symbol, date FROM t WHERE symbol IN (SELECT symbol FROM t GROUP BY symbol ORDER BY count(*) DESC, symbol LIMIT 20)",
     ),
     "sentiment": (sentiment, SENTIMENT),

@@ -65,13 +65,13 @@ def icirs(b, w):
 
 
 def icir_weights(s, d):
-    b = source.bars(s, d)
+    b = source.saved(s, d)
     found = combine.positive_weights(icirs(b, system.matrix(b, NAMES)))
     return rounded(s.createDataFrame(sorted(found.items()), "name string, weight double"), 8)
 
 
 def left_out(s, d):
-    b = source.bars(s, d)
+    b = source.saved(s, d)
     w = system.matrix(b, NAMES)
 
     def score(frame):
@@ -82,7 +82,7 @@ def left_out(s, d):
 
 def ascended(s, d):
     """Weights after coordinate ascent from equal ones on the ICIR of the ranked blend."""
-    b = source.bars(s, d)
+    b = source.saved(s, d)
     w = system.matrix(b, NAMES).persist()
 
     def score_all(weightings):
@@ -96,32 +96,45 @@ def ascended(s, d):
 
 
 def analysed(part):
-    return lambda s, d: rounded(system.analyse(source.bars(s, d), NAMES)[part], 8)
+    return lambda s, d: rounded(system.analyse(source.saved(s, d), NAMES)[part], 8)
 
 
 def components(s, d):
-    share, load, effective = principal(correlation_pairs(system.matrix(source.bars(s, d), NAMES), NAMES), NAMES)
+    share, load, effective = principal(correlation_pairs(system.matrix(source.saved(s, d), NAMES), NAMES), NAMES)
     return rounded(s.createDataFrame([(n, i + 1, share[i], abs(load[i]), effective) for i, n in enumerate(NAMES)], "name string, component int, share double, loading double, effective_n double"), 5)
 
 
 def evolved(s, d):
-    found = search.evolve(source.bars(s, d).persist())
+    found = search.evolve(source.saved(s, d))
     return s.createDataFrame([(str(t), float(f)) for t, f in found[:5]], "tree string, fitness double")
 
 
+def islands(s, d):
+    rows = [(r["tree"], r["island"], float(r["train_ic"]), float(r["test_ic"]), float(r["overfit_gap"])) for r in search.evolve_islands(source.saved(s, d))]
+    return rounded(s.createDataFrame(rows, "tree string, island int, train_ic double, test_ic double, overfit_gap double"))
+
+
+def levels(s, d):
+    """The audit of a three-level screen of the system's factors, with all but one named by the review."""
+    b = source.saved(s, d)
+    w = system.matrix(b, NAMES).persist()
+    kept, audit = combine.screen(w.join(b.select("symbol", "date", "ret"), ["symbol", "date"]), NAMES, "ret", icirs(b, w), NAMES[1:], least=2)
+    return s.createDataFrame([(*a, "|".join(sorted(kept))) for a in audit], "level string, into int, out int, how string, kept string")
+
+
 def beamed(s, d):
-    b = source.bars(s, d)
+    b = source.saved(s, d)
     found = search.beam(b, system.matrix(b, NAMES).persist(), NAMES)
     return s.createDataFrame([("+".join(t), float(f)) for t, f in found[:5]], "combination string, icir double")
 
 
 def tuned(s, d):
-    found = search.grid(source.bars(s, d), lambda n: x.lag(-x.total(factors.P, n)), [{"n": n} for n in (1, 2, 3, 5, 10)])
+    found = search.grid(source.saved(s, d), lambda n: x.lag(-x.total(factors.P, n)), [{"n": n} for n in (1, 2, 3, 5, 10)])
     return rounded(s.createDataFrame([(p["n"], float(v)) for p, v in found], "n int, icir double"), 8)
 
 
 def recovery(s, d):
-    rows = search.planted(source.bars(s, d))
+    rows = search.planted(source.saved(s, d))
     return rounded(ev.ic_summary(ev.ic_series(ev.prepare(rows, rows.select("symbol", "date", F.col("beta").alias("factor"))))), 6)
 
 
@@ -131,10 +144,14 @@ def fit_grades(s, d):
     return rounded(c.select("c_custkey", fit.alias("fitness"), grade.alias("grade")))
 
 
+SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 4 HOURS THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+k AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 4 HOURS AS "end", count(*) AS n FROM k GROUP BY user_id, sid"""
+
 FIT = "(c_acctbal / 1000 * sqrt(abs(c_acctbal / 5000) / greatest(c_nationkey / 20.0, 0.125)))"
 
 _ALL = {
-    "system_matrix": (lambda s, d: rounded(system.matrix(source.bars(s, d), NAMES)), f"WITH {WIDE} SELECT symbol, date, {', '.join(f'round({n}, 6) + 0 AS {n}' for n in NAMES)} FROM z"),
+    "system_matrix": (lambda s, d: rounded(system.matrix(source.saved(s, d), NAMES)), f"WITH {WIDE} SELECT symbol, date, {', '.join(f'round({n}, 6) + 0 AS {n}' for n in NAMES)} FROM z"),
     "system_single": (analysed("single"), SINGLE),
     "system_composite": (analysed("composite"), COMPOSITE),
     "system_correlation": (
@@ -145,6 +162,8 @@ _ALL = {
     "system_diversification": (analysed("diversification"), DIVERSIFIED),
     "principal_components": (components, None),
     "gp_evolution": (evolved, None),
+    "gp_islands": (islands, None),
+    "screen_levels": (levels, None),
     "beam_search": (beamed, None),
     "parameter_grid": (tuned, GRID),
     "planted_recovery": (recovery, PLANTED),
@@ -164,14 +183,14 @@ m AS (SELECT *, abs(w - coalesce(lag(w) OVER (PARTITION BY symbol ORDER BY date)
 SELECT date, round(sum(w * coalesce(fwd, 0)), 8) + 0 AS ret, round(sum(d) / 2, 8) AS turnover FROM m GROUP BY date""",
     ),
     "statistical_quality": (
-        lambda s, d: rounded(system.statistical_quality(source.bars(s, d), "symbol", "ret")),
+        lambda s, d: rounded(system.statistical_quality(source.saved(s, d), "symbol", "ret")),
         f"""WITH {BARS}, v AS (SELECT symbol, date, ret AS v, lag(ret) OVER (PARTITION BY symbol ORDER BY date) AS before FROM bars WHERE ret IS NOT NULL),
 z AS (SELECT *, (v - avg(v) OVER (PARTITION BY symbol)) / (stddev_pop(v) OVER (PARTITION BY symbol) + 1e-8) AS z FROM v),
 g AS (SELECT symbol, count(*) AS n, stddev_pop(v) AS sd, abs(avg(z * z * z)) AS sk, abs(coalesce(corr(before, v), 0)) AS au FROM z GROUP BY symbol)
 SELECT symbol, round(CASE WHEN n < 10 THEN 0.3 ELSE greatest(0, least(1, 0.4 / (sd + 1) + 0.3 * (1 - least(sk, 5) / 5) + 0.3 * au)) END, 6) AS quality FROM g""",
     ),
     "forecast_stub": (
-        lambda s, d: rounded(system.forecasts(source.bars(s, d))),
+        lambda s, d: rounded(system.forecasts(source.saved(s, d))),
         f"""WITH {BARS} SELECT symbol, date, round(close / coalesce(lag(close, 20) OVER w, first_value(close) OVER w) - 1, 6) + 0 AS predicted,
   round(coalesce(lead(close, 5) OVER w, last_value(close) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / close - 1, 6) + 0 AS realised FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)""",
     ),
@@ -184,11 +203,10 @@ SELECT symbol, round(CASE WHEN n < 10 THEN 0.3 ELSE greatest(0, least(1, 0.4 / (
         "SELECT event_type, time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 3 HOURS AS start, count(*) AS n, round(sum(value), 4) AS total FROM events, (VALUES (0), (1)) AS o(k) GROUP BY 1, 2",
     ),
     "stream_arrivals": (lambda s, d: stream.run_once(stream.arrivals(stream.events(s, d)), "append"), "SELECT DISTINCT user_id, event_type FROM events"),
+    "stream_sessions": (lambda s, d: stream.run_once(stream.activity(stream.events(s, d))), SESSIONS),
     "session_activity": (
         lambda s, d: stream.activity(source.table(s, d, "events")),
-        """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 4 HOURS THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-k AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 4 HOURS AS "end", count(*) AS n FROM k GROUP BY user_id, sid""",
+        SESSIONS,
     ),
 }
 QUERIES = {k: v[0] for k, v in _ALL.items()}

@@ -46,6 +46,17 @@ def bars(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     return with_returns(made)
 
 
+_SAVED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
+    """`bars`, built once in an application and kept by its executors, dealt and sorted by symbol; what an executor loses is built again."""
+    key = (spark.sparkContext.applicationId, sf_dir, unit)
+    if key not in _SAVED:
+        _SAVED[key] = bars(spark, sf_dir, unit).persist()
+    return _SAVED[key]
+
+
 def intraday(spark: SparkSession, sf_dir: str, symbol: str = "event_type", floor: float = 0.01) -> DataFrame:
     """Ticks of events: symbol, date, time 'HH:mm', ts, price, volume; prices up to `floor` are dropped."""
     e = table(spark, sf_dir, "events").filter(F.col("value") > floor)

@@ -12,8 +12,13 @@ from .bars import canonical
 
 
 def shared_dir(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="factorloom-files-")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="factorloom-files-")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

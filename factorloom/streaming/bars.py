@@ -6,16 +6,12 @@ far and returns the result as a table, with its checkpoint in the shared folder,
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="factorloom-stream-")
+from factorloom.sources.files import shared_dir
 
 
 def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
