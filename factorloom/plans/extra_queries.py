@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factorloom.functions import expr as x
-from factorloom.operators import combine, factors, robust, store, text, udf
+from factorloom.operators import combine, encode, factors, robust, store, text, udf
 from factorloom.operators import evaluate as ev
 from factorloom.sources import bars as source
 from factorloom.sources.bars import table
 
-from .base import bars_sql, rounded
+from .base import DIMS_SQL, bars_sql, rounded
 from .combine_queries import NAMES, THREE, wide
 from .eval_queries import PANEL, ic_sql, panel
 from .misc_queries import NEGATIVE, POSITIVE, sql_occ
@@ -66,6 +66,41 @@ def linted(s, d):
     return p.select("p_partkey", F.size(udf.findings(body)).alias("n"))
 
 
+SERIES = f"""WITH {BARS}, a AS (SELECT symbol, date, ret AS v, row_number() OVER o - 1 AS i, max(ret) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS top, pow(ret - lag(ret) OVER o, 2) AS d2,
+  {', '.join(f'lag(ret, {k}) OVER o AS l{k}' for k in encode.LAGS)} FROM bars WHERE ret IS NOT NULL WINDOW o AS (PARTITION BY symbol ORDER BY date)),
+g AS (SELECT symbol, count(*) AS n, avg(v) AS m, stddev_pop(v) AS s, {', '.join(f'quantile_cont(v, {q / 100}) AS p{q}' for q in (5, 10, 25, 50, 75, 90, 95))} FROM a GROUP BY symbol),
+b AS (SELECT a.*, n, m, s, p10, p25, p75, p90, (v - m) / (s + 1e-8) AS z, lag(d2) OVER (PARTITION BY a.symbol ORDER BY date) AS e2 FROM a JOIN g ON a.symbol = g.symbol),
+f AS (SELECT symbol, max(n) AS n, avg(v) AS mean, stddev_pop(v) AS sd, median(v) AS median, min(v) AS low, max(v) AS high, max(v) - min(v) AS spread, avg(z * z * z) AS skew, avg(z * z * z * z) AS kurt, regr_slope(v, i) AS slope,
+  arg_max(v, date) / nullif(arg_min(v, date) + 1e-8, 0) - 1 AS change, max(1 - v / nullif(top, 0)) AS max_drawdown, {', '.join(f'quantile_cont(v, {q}) AS q{int(q * 100):02d}' for q in encode.QUANTILES)},
+  {', '.join(f'corr(l{k}, v) AS acf{k}' for k in encode.LAGS)}, avg((v > p90)::INT) AS above_p90, avg((v < p10)::INT) AS below_p10, avg((abs(v) > 1e-8)::INT) AS nonzero,
+  avg(v) FILTER (v >= p75) AS top_mean, avg(v) FILTER (v <= p25) AS bottom_mean, corr(e2, d2) AS arch, 0.0 AS pad FROM b GROUP BY symbol),
+c AS (SELECT symbol, k.size, i // k.size AS chunk, max(v) - min(v) AS r, stddev_pop(v) AS sd FROM b, (VALUES (5), (10), (20)) AS k(size) WHERE 2 * k.size <= n AND (i // k.size) * k.size < n - k.size GROUP BY ALL),
+h AS (SELECT symbol, avg(rs) AS rescaled_range FROM (SELECT symbol, size, avg(r / sd) AS rs FROM c WHERE sd > 1e-8 GROUP BY ALL) GROUP BY symbol)
+SELECT symbol, {', '.join(f"round(CASE WHEN n >= 10 THEN coalesce({c}, {'0.5' if c == 'rescaled_range' else '0'}) ELSE 0 END, 6) + 0 AS {c}" for c in encode.NAMES)} FROM f LEFT JOIN h USING (symbol)"""
+
+
+def modes(s, d):
+    """Side data of suppliers by month as factors: net flow of lines, balance, mean discount."""
+    lines = table(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.date_trunc("month", "l_shipdate").cast("date").alias("date"), "l_quantity", "l_returnflag", "l_discount")
+    side = lines.groupBy("symbol", "date").agg(
+        F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(0.0)).alias("flow"), F.avg("l_discount").alias("yield")
+    )
+    side = side.join(source.dimensions(s, d).select("symbol", "mkt_cap"), "symbol", "left")
+    b = source.saved(s, d)
+    out = None
+    for name, value, log in (("flow", "flow", False), ("valuation", "mkt_cap", True), ("yield", "yield", False)):
+        one = encode.modal(b, side, value, log).select(F.lit(name).alias("mode"), "symbol", "date", "factor")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+MODES = f"""WITH {BARS}, {DIMS_SQL}, s AS (SELECT l_suppkey::VARCHAR AS symbol, date_trunc('month', l_shipdate)::DATE AS date, sum(CASE l_returnflag WHEN 'N' THEN l_quantity WHEN 'R' THEN -l_quantity ELSE 0 END) AS flow, avg(l_discount) AS yld FROM lineitem GROUP BY ALL),
+j AS (SELECT symbol, date, flow, yld, ln(1 + greatest(mkt_cap, 0)) AS cap FROM bars JOIN s USING (symbol, date) LEFT JOIN dims USING (symbol)),
+u AS (SELECT 'flow' AS mode, symbol, date, flow AS v FROM j UNION ALL SELECT 'valuation', symbol, date, cap FROM j UNION ALL SELECT 'yield', symbol, date, yld FROM j),
+z AS (SELECT mode, symbol, date, (v - avg(v) OVER w) / (stddev_samp(v) OVER w + 1e-12) AS factor FROM u WINDOW w AS (PARTITION BY mode, date))
+SELECT mode, symbol, date, round(factor, 6) + 0 AS factor FROM z WHERE factor IS NOT NULL"""
+
+
 def deflated(s, d):
     row = ev.long_short_stats(ev.long_short(ev.grouped(panel(s, d)))).first()
     n = panel(s, d).select("date").distinct().count()
@@ -117,6 +152,8 @@ _ALL = {
         f"WITH {PANEL}, i AS (SELECT * FROM {ic_sql()}) SELECT round(avg(ic) / stddev_samp(ic) * avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) + 0 AS stability, round(min(ic), 6) + 0 AS worst FROM i",
     ),
     "deflated_sharpe": (deflated, None),
+    "series_features": (lambda s, d: rounded(encode.series_features(source.saved(s, d), "symbol", "ret")), SERIES),
+    "modal_factors": (modes, MODES),
     "lint_findings": (
         linted,
         "SELECT p_partkey, (p_size <= 25)::INT + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS n FROM part",
