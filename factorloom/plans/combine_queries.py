@@ -54,6 +54,35 @@ def steps(s, d):
     return portfolio.walk(portfolio.tradable_panel(b, f))
 
 
+#: The walk as a recursion over dates; held is a map of weights, g a date's rows, f the weights before they are made to sum to 1.
+HELD = f"""WITH RECURSIVE {BARS}, {FACTOR},
+r0 AS (SELECT symbol, date, lead(ret) OVER s AS fwd_ret, coalesce(lead(volume) OVER s > 0 AND lead(amount) OVER s >= 0, FALSE) AS can FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY date)),
+p0 AS (SELECT * FROM r0 JOIN f USING (symbol, date) WHERE factor IS NOT NULL AND fwd_ret IS NOT NULL),
+p1 AS (SELECT *, can AND row_number() OVER (PARTITION BY date, can ORDER BY factor DESC, symbol) <= greatest(1, ceil(count(*) OVER (PARTITION BY date, can) * 0.1::DOUBLE)) AS chosen FROM p0),
+days AS (SELECT date, row_number() OVER (ORDER BY date) AS k, lead(date) OVER (ORDER BY date) AS trade, list({{'s': symbol, 'r': fwd_ret, 'can': can, 'chosen': chosen}} ORDER BY symbol) AS g
+  FROM p1 WHERE symbol IN (SELECT symbol FROM p1 WHERE chosen) GROUP BY date),
+walk AS (
+  SELECT 0::BIGINT AS k, NULL::DATE AS date, MAP([]::VARCHAR[], []::DOUBLE[]) AS held, 0::DOUBLE AS gross, 0::DOUBLE AS turnover, 0::DOUBLE AS sells, 0::BIGINT AS holdings
+  UNION ALL
+  SELECT k, trade, fresh, coalesce(list_sum(list_transform(g, lambda x: coalesce(held[x.s], 0) * x.r)), 0),
+    0.5 * coalesce(list_sum(list_transform(list_distinct(list_concat(map_keys(held), map_keys(fresh))), lambda s: abs(coalesce(fresh[s], 0) - coalesce(held[s], 0)))), 0),
+    coalesce(list_sum(list_transform(map_keys(held), lambda s: greatest(0, held[s] - coalesce(fresh[s], 0)))), 0), len(list_filter(map_values(fresh), lambda w: w > 0))
+  FROM (SELECT *, CASE WHEN whole > 0 THEN map_from_entries(list_transform(f1, lambda y: {{'k': y.s, 'v': y.w / whole}})) ELSE held END AS fresh
+    FROM (SELECT *, coalesce(list_sum(list_transform(f1, lambda y: y.w)), 0) AS whole
+      FROM (SELECT *, CASE WHEN len(f0) > 0 THEN f0 ELSE list_filter(list_transform(g, lambda x: {{'s': x.s, 'w': held[x.s]}}), lambda y: y.w > 0) END AS f1
+        FROM (SELECT days.k, trade, g, held, list_filter(list_transform(g, lambda x: {{'s': x.s, 'w': CASE WHEN NOT x.can THEN CASE WHEN held[x.s] > 0 THEN held[x.s] END
+            WHEN x.chosen THEN CASE WHEN x.r < 0.095 - 1e-6 THEN 1.0::DOUBLE END WHEN held[x.s] > 0 AND x.r <= -0.095 + 1e-6 THEN held[x.s] END}}), lambda y: y.w IS NOT NULL) AS f0
+          FROM walk JOIN days ON days.k = walk.k + 1 WHERE trade IS NOT NULL))))),
+steps AS (SELECT date, gross, turnover, sells, holdings FROM walk WHERE k > 0)"""
+HELD_STATS = f"""{HELD}, n AS (SELECT *, gross - (turnover * 0.0003 * 2 + sells * 0.0005) AS net FROM steps),
+e AS (SELECT *, list_product(list(1 + net) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS equity FROM n), d AS (SELECT *, equity / max(equity) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e)
+SELECT round(avg(net) * 252, 6) + 0 AS ann_return, round(stddev_samp(net) * sqrt(252), 6) AS ann_volatility, round((avg(net) * 252 - 0.03) / (stddev_samp(net) * sqrt(252)), 6) + 0 AS sharpe, count(*) AS n_rebalances,
+  round(avg(turnover), 6) AS avg_turnover, round(min(dd), 6) + 0 AS max_drawdown, round(arg_max(equity, date) / arg_min(equity, date) - 1, 6) + 0 AS cum_return FROM d"""
+COSTS = f"""{HELD}, c AS (SELECT mode AS cost_mode, commission::DOUBLE AS commission, turnover, gross - turnover * commission::DOUBLE * sides - sells * 0.0005 AS net
+  FROM steps, (VALUES ('one_side', 1), ('two_side', 2)) AS m(mode, sides), (VALUES (0.0001), (0.0003), (0.0005)) AS k(commission))
+SELECT cost_mode, commission, round(avg(net) * 252, 6) + 0 AS ann_return, round((avg(net) * 252 - 0.03) / (stddev_samp(net) * sqrt(252)), 6) + 0 AS sharpe, round(avg(turnover), 6) AS avg_turnover FROM c GROUP BY cost_mode, commission"""
+
+
 IDX = f"""{BARS}, grid AS (SELECT date, symbol FROM (SELECT DISTINCT date FROM bars), (SELECT DISTINCT symbol FROM bars)),
 filled AS (SELECT date, symbol, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS close FROM grid LEFT JOIN bars USING (date, symbol)),
 r AS (SELECT *, coalesce(close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1, 0) AS r FROM filled)"""
@@ -157,9 +186,9 @@ SCREEN = f"""WITH {WIDE}, j AS (SELECT w.*, ret FROM w JOIN bars USING (symbol,
 SELECT name, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, name) <= 3 AS keep FROM s"""
 
 _ALL = {
-    "portfolio_walk": (lambda s, d: rounded(steps(s, d)), None),
-    "portfolio_stats": (lambda s, d: rounded(portfolio.portfolio_stats(portfolio.costed(steps(s, d)))), None),
-    "cost_sensitivity": (lambda s, d: rounded(portfolio.cost_grid(steps(s, d)), but=("commission",)), None),
+    "portfolio_walk": (lambda s, d: rounded(steps(s, d)), f"{HELD} SELECT date, round(gross, 6) + 0 AS gross, round(turnover, 6) AS turnover, round(sells, 6) AS sells, holdings FROM steps"),
+    "portfolio_stats": (lambda s, d: rounded(portfolio.portfolio_stats(portfolio.costed(steps(s, d)))), HELD_STATS),
+    "cost_sensitivity": (lambda s, d: rounded(portfolio.cost_grid(steps(s, d)), but=("commission",)), COSTS),
     "custom_index_equal": (lambda s, d: rounded(portfolio.index_levels(portfolio.index_returns(source.saved(s, d))), 4), f"WITH {EQUAL_INDEX} SELECT date, round(index_value, 4) AS index_value FROM idx"),
     "custom_index_custom": (lambda s, d: rounded(portfolio.index_levels(portfolio.index_returns(source.saved(s, d), custom_weights(s, d))), 4), f"WITH {CUSTOM_INDEX} SELECT date, round(index_value, 4) AS index_value FROM idx"),
     "custom_index_price": (
