@@ -95,8 +95,8 @@ def ascended(s, d):
     return rounded(s.createDataFrame([(n, float(v)) for n, v in zip(NAMES, found, strict=True)], "name string, weight double"), 6)
 
 
-def analysed(part):
-    return lambda s, d: rounded(system.analyse(source.saved(s, d), NAMES)[part], 8)
+def analysed(part, places=8):
+    return lambda s, d: rounded(system.analyse(source.saved(s, d), NAMES)[part], places)
 
 
 def components(s, d):
@@ -155,10 +155,10 @@ _ALL = {
     "system_single": (analysed("single"), SINGLE),
     "system_composite": (analysed("composite"), COMPOSITE),
     "system_correlation": (
-        analysed("correlation"),
+        analysed("correlation", 6),
         f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n, round(corr({a}, {b}), 6) + 0 AS rho FROM z" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]),
     ),
-    "system_dimensions": (analysed("dimensions"), DIMENSIONS),
+    "system_dimensions": (analysed("dimensions", 6), DIMENSIONS),
     "system_diversification": (analysed("diversification"), DIVERSIFIED),
     "principal_components": (components, None),
     "gp_evolution": (evolved, None),

@@ -22,7 +22,7 @@ from factorloom.sources import bars
         ("df.close.shift(1) - df.close.shift(5)", 0),
         ("-df.ret", 1),
         ("df.volume * 2", 0),
-        ("(df.close.rolling(5).mean() / df.close).shift(0)", 3),
+        ("(df.close.rolling(5).mean() / df.close).shift(0)", 2),
         ("df.close.pct_change(-1)", 1),
     ],
 )
