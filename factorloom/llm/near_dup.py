@@ -9,10 +9,10 @@ of diagonals matches m of a and b shingles with m / (a + b - m) >= 0.8.
 Equal texts are one node from the start, known by the digest of the text. In a bucket (texts with an equal tuple) not all
 pairs are compared: every text is compared with the most typical one that it shares a bucket with, the one with the
 largest buckets, which of a family of copies is the text they were made from; the links found are a forest. In further
-rounds, texts of buckets that still hold several classes are compared with drawn texts of other classes, as long as that
-finds links for a fair part of the pairs. What is left is settled exactly: in a bucket with few pairs across classes all
+rounds, texts of buckets that still hold several classes are compared with the most typical and with a drawn text of other classes, as long as
+that finds a link for one in PAYS pairs. What is left is settled exactly: in a bucket with few pairs across classes all
 of them are aligned; the texts of others are dealt anew by their rarest shingles, of which two texts of SIMILARITY must
-share one. So any two candidates end in one class, or were aligned, or can't align. Candidates that agree on fewer than
+share one, and classes that meet there are compared by drawn texts first. So any two candidates end in one class, or were aligned, or can't align. Candidates that agree on fewer than
 AGREE tuples are not aligned. Classes are the components of all links.
 
 Defined results: a null text counts as empty; texts of under five words have one shingle of all their words;
@@ -22,7 +22,6 @@ doc_id has a class but never names one unless the class has no other; an empty t
 
 from __future__ import annotations
 
-import re
 from collections import OrderedDict
 from itertools import count
 
@@ -40,13 +39,16 @@ LEAST = 2
 #: Tuples that a pair must agree on before its texts are aligned: at similarity 0.8 a pair agrees on 7.7 of 12 on average, and on
 #: fewer than 2 once in ten thousand.
 AGREE = 2
-#: Drawing goes on while one in so many pairs is a link.
+#: Drawing from buckets goes on while one in so many pairs is a link.
 PAYS = 8
+#: Texts that stand for a class under a key in a round, if it has so many.
+DRAWN = 4
+#: Rounds go on while one saves this share of the pairs ahead, and more than it aligns.
+WORTH = 0.2
 #: Pairs across classes up to which a bucket is aligned as it is, without a look at its rarest shingles.
 FEW_PAIRS = 16
 #: Sizes of texts that meet by rarest shingles are dealt in bands of this ratio.
 BAND = 1.04
-WORDS = re.compile(r"\w+")
 SEEDS = codes.mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -214,16 +216,26 @@ def place(members: DataFrame, labels: DataFrame) -> DataFrame:
     return common.materialize(members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "weight", "keys", F.coalesce("label", "digest").alias("label")))
 
 
-def linked(placed: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int, int]:
-    """Aligns pairs (a, b, label_a, label_b): the labels of placed with the classes of links joined, the number of pairs, the number of links."""
+def joined(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, int]:
+    """Aligns pairs (a, b, label_a, label_b): (label, joined) of the classes that links join, or None if there is none, and the number of pairs."""
     tried = pairs.count()
     found = common.materialize(verify(pairs.select("a", "b"), texts)) if tried else None
-    links = found.count() if tried else 0
-    if not links:
+    if found is None or found.isEmpty():
+        return None, tried
+    links = common.materialize(found.join(pairs, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    out = components(links).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    common.release(found)
+    common.release(links)
+    return out, tried
+
+
+def linked(placed: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """The labels (node, label) of placed with the classes joined that links between pairs join, the number of pairs, the number of classes joined."""
+    changed, tried = joined(pairs, texts)
+    if changed is None:
         return placed.select(F.col("digest").alias("node"), "label"), tried, 0
-    joined = components(found.join(pairs, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-    labels = placed.select("digest", "label").join(joined.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left")
-    return common.materialize(labels.select(F.col("digest").alias("node"), F.coalesce("joined", "label").alias("label"))), tried, links
+    labels = placed.select("digest", "label").join(changed, "label", "left")
+    return common.materialize(labels.select(F.col("digest").alias("node"), F.coalesce("joined", "label").alias("label"))), tried, changed.count()
 
 
 def rarest(texts: DataFrame) -> DataFrame:
@@ -265,29 +277,85 @@ def by_size(marks: DataFrame) -> DataFrame:
     return small.unionByName(large).select("key", "digest", "large", "n", "at")
 
 
-def unsettled(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(digest, keys, label) -> a, b, label_a, label_b: all candidates of different classes, but for those that can't align."""
+def meeting(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest, keys, label) -> key, digest, label, large, n, most: any two texts of different classes that are candidates and can align have a key in common.
+
+    Those of a bucket with few pairs have its key; those of others are dealt by their rarest shingles. most is the size up to which another text
+    can align with this one.
+    """
     rows = placed.select("digest", "label", "keys", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     many = F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))
     mixed = common.materialize(sizes.groupBy("key").agg((many / 2).alias("pairs")).filter("pairs > 0"))
     near = rows.join(mixed.filter(F.col("pairs") <= FEW_PAIRS), "key", "left_semi")
-    near = near.select("key", "digest", "label", "keys", F.explode(F.array(F.lit(False), F.lit(True))).alias("large"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+    near = near.select("key", "digest", "label", F.explode(F.array(F.lit(False), F.lit(True))).alias("large"), F.lit(0).alias("n"), F.lit(0).alias("at"))
     hot = rows.join(mixed.filter(F.col("pairs") > FEW_PAIRS), "key", "left_semi").select("digest").distinct()
-    marks = by_size(rarest(texts.join(hot, "digest", "left_semi")))
-    far = marks.join(placed, "digest").select("key", "digest", "label", "keys", "large", "n", "at")
-    rows = common.materialize(near.unionByName(far))
-    # by pairs of classes, so that texts of one class never meet
-    kinds = common.materialize(rows.select("key", "label", "large").distinct())
-    apart = kinds.filter("NOT large").select("key", F.col("label").alias("label_a")).join(kinds.filter("large").select("key", F.col("label").alias("label_b")), "key").filter("label_a != label_b")
-    left, right = (
-        rows.filter(side).select("key", F.col("digest").alias(x), F.col("label").alias(f"label_{x}"), F.col("keys").alias(f"keys_{x}"), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")) for x, side in (("a", "NOT large"), ("b", "large"))
-    )
-    common_most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    fits = common_most >= (F.col("n_a") + F.col("n_b")) * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-6)
-    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    pairs = common.materialize(apart).join(left, ["key", "label_a"]).join(right, ["key", "label_b"])
-    return pairs.filter(once & fits & alike("keys_a", "keys_b")).select("a", "b", "label_a", "label_b").distinct()
+    far = by_size(rarest(texts.join(hot, "digest", "left_semi"))).join(placed.select("digest", "label"), "digest")
+    rows = near.unionByName(far.select("key", "digest", "label", "large", "n", "at"))
+    most = (F.col("n") - F.col("at")) * F.lit((1 + SIMILARITY) / SIMILARITY) - F.col("n") + F.lit(1e-5)
+    out = common.materialize(rows.select("key", "digest", "label", "large", "n", most.alias("most")))
+    common.release(mixed)
+    return out
+
+
+def sides(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of smaller texts with names and label ending in _a, and those of larger texts ending in _b; key stays."""
+    return tuple(rows.filter(side).select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("label", *names)]) for x, side in (("a", "NOT large"), ("b", "large")))
+
+
+def fitting(a: str, b: str):
+    """Whether the texts in two columns struct(digest, n, most) can align by their sizes; each pair in one order only."""
+    once = (F.col(f"{a}.n") < F.col(f"{b}.n")) | ((F.col(f"{a}.n") == F.col(f"{b}.n")) & (F.col(f"{a}.digest") < F.col(f"{b}.digest")))
+    return once & (F.col(f"{a}.n") <= F.col(f"{b}.most")) & (F.col(f"{b}.n") <= F.col(f"{a}.most"))
+
+
+def candidates(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b, label_a, label_b) -> those that agree on enough tuples, each once."""
+    keys = placed.select("digest", "keys")
+    pairs = pairs.distinct().join(keys.withColumnsRenamed({"digest": "a", "keys": "keys_a"}), "a").join(keys.withColumnsRenamed({"digest": "b", "keys": "keys_b"}), "b")
+    return common.materialize(pairs.filter(alike("keys_a", "keys_b")).select("a", "b", "label_a", "label_b"))
+
+
+def settle(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest, keys, label) -> node, label, with all links between candidates of different classes; only pairs that can't align aren't aligned.
+
+    In rounds, classes that meet under a key are compared by drawn texts. A link joins two classes, whose other texts then needn't meet; rounds
+    go on while they save a good share of the pairs ahead. Then all texts of the classes that still meet are compared. Tables of a round
+    are deleted with it.
+    """
+    base = meeting(placed, texts)
+    names = placed.select(F.col("label").alias("old"), "label").distinct()  # a class's label before and after
+    before = tried = 0
+    for k in count(1):
+        renamed = names.filter("old != label").withColumnRenamed("label", "new")
+        rows = base.join(renamed, base.label == renamed.old, "left").select("key", "digest", F.coalesce("new", "label").alias("label"), "large", "n", "most")
+        # by pairs of classes, so that texts of one class never meet; a class stands for its smallest text and its farthest reach
+        one = F.struct("digest", "n", "most")
+        some = F.array_distinct(F.array(*[F.min_by(one, F.xxhash64("digest", "key", F.lit(DRAWN * k + i))) for i in range(DRAWN)]))
+        kinds = common.materialize(rows.groupBy("key", "label", "large").agg(F.min("n").alias("least"), F.max("most").alias("reach"), F.count(F.lit(1)).alias("held"), some.alias("some")))
+        left, right = sides(kinds, ["least", "reach", "held", "some"])
+        apart = common.materialize(left.join(right, "key").filter("label_a != label_b AND least_a <= reach_b AND least_b <= reach_a"))
+        common.release(kinds)
+        ahead = apart.agg(F.sum(F.col("held_a") * F.col("held_b"))).first()[0] or 0
+        if not ahead or (k > 1 and before - ahead < max(tried, WORTH * before)):
+            break
+        drawn = apart.select("label_a", "label_b", F.explode("some_a").alias("a"), "some_b").select("label_a", "label_b", "a", F.explode("some_b").alias("b"))
+        pairs = candidates(drawn.filter(fitting("a", "b")).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b"), "label_a", "label_b"), placed)
+        changed, tried = joined(pairs, texts)
+        common.release(pairs)
+        common.release(apart)
+        if changed is not None:
+            names = common.materialize(names.join(changed, "label", "left").select("old", F.coalesce("joined", "label").alias("label")))
+        before = ahead
+    left, right = sides(rows.withColumn("one", one), ["one"])
+    near = apart.select("key", "label_a", "label_b", "least_b", "reach_b").join(left, ["key", "label_a"]).filter("one_a.n <= reach_b AND least_b <= one_a.most")
+    pairs = near.join(right, ["key", "label_b"]).filter(fitting("one_a", "one_b"))
+    pairs = candidates(pairs.select(F.col("one_a.digest").alias("a"), F.col("one_b.digest").alias("b"), "label_a", "label_b"), placed)
+    common.release(base)
+    changed, _ = joined(pairs, texts)
+    if changed is not None:
+        names = names.join(changed, "label", "left").select("old", F.coalesce("joined", "label").alias("label"))
+    return common.materialize(placed.select("digest", "label").join(names.withColumnRenamed("label", "new"), F.col("label") == F.col("old")).select(F.col("digest").alias("node"), F.col("new").alias("label")))
 
 
 def labelled(docs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -313,17 +381,19 @@ def labelled(docs: DataFrame, sketched: DataFrame) -> DataFrame:
         rows = placed.select("digest", "label", "keys", F.explode("keys").alias("key"), "weight")
         # a bucket with several classes: every text is compared with drawn texts of classes not its own
         one = F.struct("digest", "label", "keys")
-        drawn = rows.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.max_by(one, F.struct("weight", "digest")).alias("first"), F.min_by(one, F.xxhash64("digest", F.lit(k))).alias("second")
-        )
-        drawn = common.materialize(drawn.filter("low != high").select("key", F.explode(F.array_distinct(F.array("first", "second"))).alias("centre")))
+        some = F.array(F.max_by(one, F.struct("weight", "digest")), F.min_by(one, F.xxhash64("digest", "key", F.lit(k))))
+        drawn = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), some.alias("some"))
+        drawn = common.materialize(drawn.filter("low != high").select("key", F.explode(F.array_distinct("some")).alias("centre")))
         pairs = rows.join(drawn, "key").filter((F.col("label") != F.col("centre.label")) & alike("keys", "centre.keys"))
         pairs = pairs.select(F.col("digest").alias("a"), F.col("centre.digest").alias("b"), F.col("label").alias("label_a"), F.col("centre.label").alias("label_b")).distinct()
-        labels, tried, found = linked(placed, common.materialize(pairs), texts)
+        pairs = common.materialize(pairs)
+        labels, tried, found = linked(placed, pairs, texts)
+        common.release(drawn)
+        common.release(pairs)
         if found * PAYS <= tried:
             break
     placed = place(members, labels)
-    return linked(placed, common.materialize(unsettled(placed, texts)), texts)[0]
+    return settle(placed, texts)
 
 
 def classes(docs: DataFrame) -> DataFrame:
