@@ -176,12 +176,12 @@ def compare(docs: DataFrame) -> DataFrame:
     base = base.withColumn("h", F.xxhash64("text"))
     order = base.select("k", "h", F.length("text").alias("n")).distinct()
     nexts = common.materialize(followers(order))
-    # both joins below read the same columns of this exchange, so that texts are shuffled once
-    own = base.withColumn("p", parts(F.col("text"))).repartition(common.partitions(docs.sparkSession), "k", "h")
+    # both joins below read the same columns of this exchange, so that texts are shuffled once, and without what is made of them
+    own = base.repartition(common.partitions(docs.sparkSession), "k", "h")
     wanted = nexts.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.struct(F.col("k"), F.col("h")).alias("before"), F.floor(F.col("n") / 4).cast("int").alias("need"))
-    given = own.join(wanted, ["k", "h"]).select(F.col("before.k").alias("k"), F.col("before.h").alias("h"), F.struct(F.expr("substring(text, 1, need)").alias("head"), F.col("p")).alias("given"))
+    given = own.join(wanted, ["k", "h"]).select(F.col("before.k").alias("k"), F.col("before.h").alias("h"), F.struct(F.expr("substring(text, 1, need)").alias("head"), parts(F.col("text")).alias("p")).alias("given"))
     given = given.groupBy("k", "h").agg(F.first("given").alias("given"))
-    both = own.join(given, ["k", "h"]).withColumn("n", F.length("text"))
+    both = own.join(given, ["k", "h"]).withColumn("n", F.length("text")).withColumn("p", parts(F.col("text")))
     edited = F.concat(F.expr("substring(text, 1, n - cast(floor(n / 4) AS int))"), F.col("given.head"))
     both = both.select(F.when(F.col("k") != none, F.col("k")).cast(kind).alias("doc_id"), "n", "p", F.col("given.p").alias("q"), F.transform(F.array(edited), lambda e: F.struct(F.sha2(e, 256).alias("sha"), parts(e).alias("parts")))[0].alias("e"))
     return both.select(
