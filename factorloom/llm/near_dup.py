@@ -151,7 +151,7 @@ def digest():
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) digests -> those pairs that align."""
+    """(a, b) digests, texts (digest, text, keys) -> those pairs that are candidates and align."""
 
     def run(batches):
         held: OrderedDict[str, np.ndarray] = OrderedDict()
@@ -169,9 +169,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").transform(common.small_batches).mapInArrow(run, "a string, b string")
+    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"), F.col("keys").alias("keys_a"))
+    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"), F.col("keys").alias("keys_b"))
+    return pairs.join(right, "b").join(left, "a").filter(alike("keys_a", "keys_b")).select("a", "b", "text_a", "text_b").transform(common.small_batches).mapInArrow(run, "a string, b string")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -309,13 +309,6 @@ def fitting(a: str, b: str):
     return once & (F.col(f"{a}.n") <= F.col(f"{b}.most")) & (F.col(f"{b}.n") <= F.col(f"{a}.most"))
 
 
-def candidates(pairs: DataFrame, placed: DataFrame) -> DataFrame:
-    """(a, b, label_a, label_b) -> those that agree on enough tuples, each once."""
-    keys = placed.select("digest", "keys")
-    pairs = pairs.distinct().join(keys.withColumnsRenamed({"digest": "a", "keys": "keys_a"}), "a").join(keys.withColumnsRenamed({"digest": "b", "keys": "keys_b"}), "b")
-    return common.materialize(pairs.filter(alike("keys_a", "keys_b")).select("a", "b", "label_a", "label_b"))
-
-
 def settle(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """(digest, keys, label) -> node, label, with all links between candidates of different classes; only pairs that can't align aren't aligned.
 
@@ -340,7 +333,7 @@ def settle(placed: DataFrame, texts: DataFrame) -> DataFrame:
         if not ahead or (k > 1 and before - ahead < max(tried, WORTH * before)):
             break
         drawn = apart.select("label_a", "label_b", F.explode("some_a").alias("a"), "some_b").select("label_a", "label_b", "a", F.explode("some_b").alias("b"))
-        pairs = candidates(drawn.filter(fitting("a", "b")).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b"), "label_a", "label_b"), placed)
+        pairs = common.materialize(drawn.filter(fitting("a", "b")).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b"), "label_a", "label_b").distinct())
         changed, tried = joined(pairs, texts)
         common.release(pairs)
         common.release(apart)
@@ -350,7 +343,7 @@ def settle(placed: DataFrame, texts: DataFrame) -> DataFrame:
     left, right = sides(rows.withColumn("one", one), ["one"])
     near = apart.select("key", "label_a", "label_b", "least_b", "reach_b").join(left, ["key", "label_a"]).filter("one_a.n <= reach_b AND least_b <= one_a.most")
     pairs = near.join(right, ["key", "label_b"]).filter(fitting("one_a", "one_b"))
-    pairs = candidates(pairs.select(F.col("one_a.digest").alias("a"), F.col("one_b.digest").alias("b"), "label_a", "label_b"), placed)
+    pairs = common.materialize(pairs.select(F.col("one_a.digest").alias("a"), F.col("one_b.digest").alias("b"), "label_a", "label_b").distinct())
     common.release(base)
     changed, _ = joined(pairs, texts)
     if changed is not None:
@@ -366,9 +359,9 @@ def labelled(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     # a member of buckets; of a family of copies, the text nearest to all others is in the largest ones
     shared = buckets.join(sizes, "key").groupBy("digest").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("weight"), F.collect_set("key").alias("keys"))
     members = common.materialize(shared)
-    wanted = members.select(F.col("digest").alias("wanted"), "doc_id")
+    wanted = members.select(F.col("digest").alias("wanted"), "doc_id", "keys")
     held = docs.select("doc_id", "text", digest().alias("digest"))
-    texts = common.materialize(held.join(wanted, held.doc_id.eqNullSafe(wanted.doc_id) & (F.col("digest") == F.col("wanted"))).select("digest", "text").dropDuplicates(["digest"]))
+    texts = common.materialize(held.join(wanted, held.doc_id.eqNullSafe(wanted.doc_id) & (F.col("digest") == F.col("wanted"))).select("digest", "text", "keys").dropDuplicates(["digest"]))
     # every text with the most typical that it shares a bucket with, as far as that is more typical than itself
     rows = members.select("digest", "weight", "keys", F.explode("keys").alias("key"))
     # written out, as below, so that joins read both sides from exchanges and a hot key can be split
