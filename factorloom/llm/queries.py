@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_text, lang_id, mixing, near_dup, packing, quality_model, quality_rules, span_dedup, suffix_dedup
+from . import centroids, decontamination, fingerprint, html_text, lang_id, mixing, near_dup, packing, quality_model, quality_rules, span_dedup, suffix_dedup, vector_codes
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS i, w FROM d WHERE len(w) >= 3),
@@ -100,6 +112,66 @@ SELECT doc_id, size, source_size, target, taken,
 FROM r
 """
 
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    """Rounds unrolled; a relation for each assignment and each set of entries."""
+    text = ["""
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (SELECT r, part, list_slice(e, part * len(e) // 8 + 1, (part + 1) * len(e) // 8) AS x FROM v, generate_series(0, 7) AS g(part)),
+s AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, e) - 1 AS entry FROM v QUALIFY entry < 16),
+c0 AS MATERIALIZED (SELECT part, entry, x AS c FROM p JOIN s USING (r))"""]
+    for i in range(rounds + 1):
+        text.append(f"""
+a{i} AS MATERIALIZED (SELECT r, part, any_value(x) AS x, min({{'d': d, 'entry': entry}}) AS best FROM (
+      SELECT r, p.part, x, entry, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x, c)])::BIGINT AS d FROM p JOIN c{i} AS c ON p.part = c.part) GROUP BY r, part)""")
+        if i < rounds:
+            text.append(f"""
+m{i} AS (SELECT part, entry, k, sum(v)::HUGEINT AS total, count(*) AS n FROM (SELECT part, best.entry AS entry, unnest(x) AS v, unnest(generate_series(1, len(x))) AS k FROM a{i}) GROUP BY ALL),
+n{i} AS (SELECT part, entry, list((CASE WHEN total % n < 0 THEN total // n - 1 ELSE total // n END)::BIGINT ORDER BY k) AS c FROM m{i} GROUP BY part, entry),
+c{i + 1} AS MATERIALIZED (SELECT o.part, o.entry, coalesce(n.c, o.c) AS c FROM c{i} AS o LEFT JOIN n{i} AS n ON o.part = n.part AND o.entry = n.entry)""")
+    return "WITH " + ",".join(text) + f"""
+, f AS (SELECT r, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN f USING (r), h
+"""
+
+
+def _op12_sql(rounds: int = 3) -> str:
+    text = ["""
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
+      WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR) NULLS LAST, x) - 1 AS k, x AS c FROM v QUALIFY k < 16)"""]
+    for i in range(rounds + 1):
+        text.append(f"""
+a{i} AS MATERIALIZED (SELECT r, any_value(x) AS x, min({{'d': d, 'k': k}}) AS best FROM (
+      SELECT r, x, k, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x, c)])::BIGINT AS d FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            text.append(f"""
+m{i} AS (SELECT k, j, sum(v)::HUGEINT AS total, count(*) AS n FROM (SELECT best.k AS k, unnest(x) AS v, unnest(generate_series(1, 64)) AS j FROM a{i}) GROUP BY ALL),
+n{i} AS (SELECT k, list((CASE WHEN total % n < 0 THEN total // n - 1 ELSE total // n END)::BIGINT ORDER BY j) AS c FROM m{i} GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT o.k, coalesce(n.c, o.c) AS c FROM c{i} AS o LEFT JOIN n{i} AS n ON o.k = n.k)""")
+    return "WITH " + ",".join(text) + f"""
+SELECT vec_id, best.k::INTEGER AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN c{rounds} AS c ON c.k = best.k
+"""
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, n, w[j:j + n - 1] AS x FROM (SELECT item, w, least(10, len(w)) AS n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS j FROM i WHERE len(w) > 0)),
+dw AS (SELECT r, j, n, w[j:j + n - 1] AS x FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS j FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hit AS (SELECT r, j, dw.n AS n, item FROM dw JOIN iw ON dw.x = iw.x),
+h AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(j, j + n - 1)) AS k FROM hit) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_span_dedup": op2_span_dedup,
@@ -111,6 +183,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_curve_packing": op9_curve_packing,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_decontamination": op13_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op6_source_mix": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": OP5_SQL,
+    "op6_source_mix": OP6_SQL,
+    "op11_vector_codes": _op11_sql(),
+    "op12_centroid_clusters": _op12_sql(),
+    "op13_decontamination": OP13_SQL,
+}
