@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -34,6 +35,13 @@ DIMS = 3
 #: How byte-level vocabularies split a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space of that pattern; runs of so many characters are taken out before it is matched, and texts are cut after so many.
+LONG_RUN, STRETCH = 1 << 16, 1 << 20
+BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = re.compile(f"(?<![{BLANK}])[{BLANK}]{{{LONG_RUN},}}")
+#: A single space between other characters always begins a piece.
+BETWEEN = re.compile(f"(?<=[^{BLANK}]) (?=[^{BLANK}])")
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -56,34 +64,77 @@ def vocabulary(path: str) -> int:
     return 1 + max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec.get("added_tokens", [])]])
 
 
-@functools.cache
 def encoder(path: str):
-    """text -> array of ids, as the tokenizers file gives them without special tokens added.
+    """(text -> array of ids as the tokenizers file gives them without special tokens added, size of the vocabulary).
 
-    Texts with the string of an added token go to the tokenizers library itself; all others to a faster
-    implementation of the same merges.
+    Strings of added tokens are cut out first, as that library does; what lies between goes to a faster implementation of the same
+    merges, in stretches that end where the vocabulary's pattern always splits. A very long run of white space, which that pattern can't
+    be matched on, is merged as the one piece that it is.
     """
+    return _encoder(path)
+
+
+@functools.cache
+def _encoder(path: str):
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    added = {t["content"] for t in spec.get("added_tokens", [])}
+    added = {t["content"]: t for t in spec.get("added_tokens", [])}
     chars = byte_of()
     ranks = {bytes(chars[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
-    fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    held: list[Tokenizer] = []
-
-    def encode(text: str) -> list[int]:
+    split = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    whole = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in added.values())
+    tokens = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) or r"(?!)")
+
+    def ids(how: tiktoken.Encoding, text: str) -> np.ndarray:
+        return np.asarray(how.encode_to_numpy(text, disallowed_special=()), np.uint32)
+
+    def stretch(text: str, out: list[np.ndarray]) -> None:
+        if len(text) < LONG_RUN:
+            out.append(ids(split, text))
+            return
+        at = 0
+        for m in BLANKS.finditer(text):
+            # the run but for its last character is a piece, unless the text ends here
+            end = m.end() - (m.end() < len(text))
+            pieces(text, at, m.start(), out)
+            out.append(ids(whole, text[m.start() : end]))
+            at = end
+        pieces(text, at, len(text), out)
+
+    def pieces(text: str, at: int, end: int, out: list[np.ndarray]) -> None:
+        while at < end:
+            m = BETWEEN.search(text, at + STRETCH, end) if end - at > STRETCH else None
+            to = m.start() if m else end
+            out.append(ids(split, text[at:to]))
+            at = to
+
+    def encode(text: str) -> np.ndarray:
+        out: list[np.ndarray] = [np.empty(0, np.uint32)]
         if any(t in text for t in added):
-            if not held:
-                held.append(Tokenizer.from_file(path))
-            return held[0].encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+            if not plain:
+                return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
+            at = 0
+            for m in tokens.finditer(text):
+                stretch(text[at : m.start()], out)
+                out.append(np.array([added[m[0]]["id"]], np.uint32))
+                at = m.end()
+            text = text[at:]
+        stretch(text, out)
+        return np.concatenate(out)
 
     return encode, vocabulary(path)
 
 
+@functools.cache
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @functools.cache
 def directions(size: int) -> np.ndarray:
     """A fixed random vector for each id: sums of hashed uniform numbers, near normal."""
@@ -142,7 +193,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             packed, cells, digests, sizes = [], [], [], []
             for t in b.column("text"):
-                ids = np.array([*encode(t.as_py() or ""), END], width)
+                ids = np.append(encode(t.as_py() or ""), END).astype(width)
                 cells.append(place(ids[:-1], table))
                 sizes.append(len(ids))
                 packed.append(ids.tobytes())

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -616,3 +617,64 @@ def test_clashing_names(spark, clashing, rows):
     assert mixing.mix(clashing).count() == n
     assert packing.pack(clashing).select("doc_id").distinct().count() == n
     assert near_dup.near_duplicates(clashing).count() == n
+
+
+# pages and texts that earlier forms lost or broke on
+
+PROSE = "<p>This is a sentence, with words. And another one, quite long, that says more about it.</p>" * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "paragraphs"),
+    [
+        (f"<body><form id=aspnetForm><input name=q><div><article><h1>T</h1>{PROSE}</article></div></form></body>", 4),
+        (f"<body><form method=post><label>Name</label><input><div><h1>T</h1>{PROSE}</div></form></body>", 4),
+        (f'<article data-hidden="x"><h1>T</h1>{PROSE}</article>', 4),
+        (f'<div data-role="navigation" data-id="sidebar" title="class=menu"><h1>T</h1>{PROSE}</div><div class=menu>links here</div>', 4),
+        (f'<main><h1>T</h1>{PROSE}<section id="search"><h2>S</h2>{PROSE}</section><div id="copyright"><h2>C</h2>{PROSE}</div><section class="related"><h2>R</h2>{PROSE}</section></main>', 16),
+        (f'<article><h1>T</h1>{PROSE}<div class="related"><ul><li><a href=x>Other thing, yes.</a></li></ul></div><div class="cookie-notice"><p>We use cookies.</p></div></article>', 4),
+        (f"<article><h1>T</h1>{PROSE}<section id=comments><h2>Comments</h2><article class=comment>{PROSE}</article></section></article>", 4),
+        (f'<article hidden="">{PROSE}</article><article><h1>T</h1>{PROSE}</article>', 4),
+        (f"<div><article><h1>T</h1>{PROSE}</article><p>This is a sentence, with words, that closes it. And one more.</p></div><footer><p>This is a foot, of the page.</p></footer>", 5),
+    ],
+)
+def test_html_lists_only_weigh(page, paragraphs):
+    text = html_text.main_text(page)
+    assert text.startswith("T\n\n") and text.count("This is") == paragraphs
+    assert not any(x in text for x in ("Name", "links here", "cookies", "Other thing", "Comments"))
+
+
+@pytest.mark.parametrize("tail", ["<a>y</a>", "</b>", "<p>x", "<li>x", "</i>", "<td>x"])
+@pytest.mark.parametrize("fence", ["<div>", "<table>", ""])
+def test_html_fenced_tags_in_linear_time(fence, tail):
+    began = time.process_time()
+    html_text.main_text("<a>x" + fence + "<i>" * 12000 + tail * 12000)
+    assert time.process_time() - began < 3
+
+
+RUNS = [" ", "\n", "\t ", "　", "a", "!", "日", "́", "1", "ab ", "<|endoftext|>"]
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_tokens_of_long_runs(run):
+    path = packing.default_tokenizer()
+    encode, _ = packing.encoder(path)
+    for text in (run * 100_000, f"x{run * 100_000}y", f"x {run * 70_000} z{run * 70_000}\n!"):
+        assert encode(text).tolist() == packing._library(path).encode(text, add_special_tokens=False).ids
+    for n in (1_000_000, 5_000_000):
+        ids = encode(run * (n // len(run)))
+        assert len(ids) and len({int(x) for x in ids[len(ids) // 4 : len(ids) // 2]}) <= 8
+
+
+def test_tokens_of_twenty_million_blanks(spark):
+    docs = spark.createDataFrame([(1, "x" + " " * 20_000_000), (2, "\n" * 20_000_000 + "y"), (3, "ok")], "doc_id long, text string")
+    got = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of")).collect()
+    assert len(got) == 3 and all(r.n == r.of for r in got) and max(r.n for r in got) == 20_000_002
+
+
+def test_tokens_equal_the_library():
+    path, rng = packing.default_tokenizer(), random.Random(3)
+    encode, _ = packing.encoder(path)
+    for _ in range(2000):
+        text = "".join(rng.choice([*" \n\t　\xa0\x85\x1c\x1fabc'sé日1!", "<|endoftext|>", "  ", " \n "]) for _ in range(rng.randint(0, 60)))
+        assert encode(text).tolist() == packing._library(path).encode(text, add_special_tokens=False).ids
