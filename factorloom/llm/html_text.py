@@ -4,9 +4,11 @@ A page is read into blocks of text, each with the path of tags from the root to
 order of first appearance, the text length and the punctuation of its blocks are averaged, smoothed over
 neighbouring paths and fused; paths over a threshold are content. The innermost element that holds all content,
 headings next to it included, is the article, and its blocks are the text, but for those that are mostly links and whose path is
-not content. Elements that never hold content (menus, forms, scripts and so on, by tag or by a whole name in class,
-id or role) are left out before; one that would be left out by name alone stays if no article element lies outside of
-such elements and it holds one, or most of the page's text.
+not content; content blocks beside an article element are text as well. Elements that never hold content (menus, controls, scripts and so on) are
+left out by their tag. Forms, dialogs and elements with a whole name in class, id or role that says they surround an article weigh
+against themselves only: such an element stays if it lies in an article element and its own ratios are like those of the text around it, or
+if no article element lies outside of such elements and it holds one, or most of the page's text. Readers' comments and adverts go
+by name, as no ratio tells them from an article.
 
 Defined results: null, empty or textless html gives the empty text; unclosed or stray tags and references are
 read as browsers do in the simple cases and never fail; white space within a block, no-break spaces included,
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,19 @@ from pyspark.sql import DataFrame
 from . import common
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>?|<(?P<open>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>"[^"]*"|'[^']*'|[^"'>])*+)>|<(?P<odd>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)>?|(?P<text>[^<]+|<)""", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|["'][^"']*+["']?""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 PUNCT = re.compile(r"""[.,;:!?¿¡…。，；：！？"“”„«»()]""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-OUTSIDE = frozenset("head script style title noscript template nav footer aside form button select option input textarea label fieldset iframe svg math canvas object audio video menu menuitem dialog xmp noembed noframes applet".split())
+OUTSIDE = frozenset("head script style title noscript template nav footer aside button select option input textarea iframe svg math canvas object audio video menu menuitem xmp noembed noframes applet".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option optgroup select head title".split()
 )
 ARTICLE = frozenset(("article", "main"))
+#: Elements that surround an article, or hold it as they may hold a whole page.
+AROUND_TAGS = frozenset("form fieldset label dialog".split())
 #: An open element of the value is closed by a start tag of the key.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "body": ("head",),
@@ -52,8 +55,8 @@ AROUND = frozenset(
 )
 #: Words that may stand beside them in one name.
 BESIDE = frozenset("site left right top bottom main primary secondary global container wrapper box bar list item items body links inner block post posts article entry section".split())
-#: Those words that an article element of its own may have.
-REMARKS = frozenset("comment comments respond reply replies related recommended recommendations sponsored advert advertisement".split())
+#: Those words that name what readers or advertisers wrote, whose text no ratio tells from the article's.
+REMARKS = frozenset("comment comments disqus respond reply replies ad ads adv advert adverts advertisement sponsor sponsored".split())
 SHARE = 0.3
 MOST = 0.9
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -81,7 +84,7 @@ def surrounds(tag: str, attrs: str, within: bool) -> bool:
         return False
     for name, *values in ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
@@ -93,9 +96,9 @@ def named(tag: str, attrs: str, within: bool) -> str:
 
     A name says so if each of its words is one of AROUND or BESIDE and one of them of AROUND: 'cookie-notice' does, 'has-sidebar' doesn't.
     """
-    if tag in ("html", "body") or not attrs:
+    if tag in ("html", "body"):
         return ""
-    found = ""
+    found = "around" if tag in AROUND_TAGS else ""
     for name, *values in ATTR.findall(attrs):
         if name.lower() in ("class", "id", "role"):
             for token in next((v for v in values if v), "").split():
@@ -104,7 +107,7 @@ def named(tag: str, attrs: str, within: bool) -> str:
                 if told and words <= AROUND | BESIDE | {"header"}:
                     if words & REMARKS:
                         return "remarks"
-                    found = "around" if tag not in ARTICLE else ""
+                    found = "around" if tag not in ARTICLE else found
     return found
 
 
@@ -126,22 +129,56 @@ def inside(elements: list[Element], told) -> list[bool]:
     return out
 
 
+def readable(elements: list[Element], found: list[Block], within: list[bool]) -> list[bool]:
+    """For each element, whether ratios take it for part of an article although its name says otherwise.
+
+    It lies in an article element and has a heading or several blocks of text, less than half of it in links, and its text and punctuation
+    a block, fused, come to SHARE of the best among paths outside of all named elements.
+    """
+    told = inside(elements, lambda e: bool(e.named))
+    free = [b for b in found if not told[b[0].number]]
+    out = [False] * len(elements)
+    if not free:
+        return out
+    own, marks = ratios(free)
+    least = SHARE * fused_ratios(own, marks).max()
+    n, heads = len(elements), [False] * len(elements)
+    chars, linked, blocks, points = [0] * n, [0] * n, [0] * n, [0] * n
+    for e, text, links in found:
+        blocks[e.number] += e.tag not in HEADINGS
+        heads[e.number] |= e.tag in HEADINGS
+        chars[e.number] += len(text)
+        linked[e.number] += links
+        points[e.number] += len(PUNCT.findall(text))
+    for e in reversed(elements[1:]):
+        up = e.parent.number
+        heads[up] |= heads[e.number]
+        for x in (chars, linked, blocks, points):
+            x[up] += x[e.number]
+    for e in elements:
+        i = e.number
+        if e.named == "around" and within[i] and blocks[i] and (heads[i] or blocks[i] > 1) and 2 * linked[i] < chars[i]:
+            out[i] = ((chars[i] - linked[i]) / blocks[i] * (points[i] / blocks[i] + 0.1)) ** 0.5 >= least
+    return out
+
+
 def unnamed(elements: list[Element], found: list[Block]) -> list[Block]:
-    """The blocks without those in elements that surround the article by name, but for elements that hold it.
+    """The blocks without those in elements that surround the article by name, but for elements that hold it or read like it.
 
-    Where no article element lies outside of all named ones, these are the ones that hold one or most of the text. All blocks, if none is left.
+    Where no article element lies outside of all named ones, those that hold one or most of the text stay. All blocks, if none is left.
     """
     if not any(e.named for e in elements):
         return found
     chars = sums(elements, found)
-    own = lambda e: e.tag in ARTICLE and not e.named
+    own = lambda e: e.tag in ARTICLE and e.named != "remarks"
     holds = [own(e) and chars[e.number] > 0 for e in elements]
     for e in reversed(elements[1:]):
         holds[e.parent.number] |= holds[e.number]
     within, told = inside(elements, own), inside(elements, lambda e: bool(e.named))
     free = any(within[e.number] and not told[e.number] for e, _, _ in found)
     half = chars[0] / 2
-    gone = inside(elements, lambda e: bool(e.named) and not (e.named == "around" and not free and (chars[e.number] > half or holds[e.number])))
+    read = readable(elements, found, within)
+    gone = inside(elements, lambda e: bool(e.named) and not read[e.number] and not (e.named == "around" and not free and (chars[e.number] > half or holds[e.number])))
     return [b for b in found if not gone[b[0].number]] or found
 
 
@@ -149,7 +186,8 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
     """All elements, and (element, text, characters in links) of every block outside what surrounds articles, in page order."""
     root = Element(0, "#", None, 0, False)
     paths: dict[tuple[int, str], int] = {}
-    elements, open_tags = [root], Counter()
+    elements = [root]
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
     stack, out, buffer = [root], [], []
     links, within, linked = 0, 0, 0
     at = root
@@ -166,10 +204,22 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
     def pop() -> None:
         nonlocal links, within
         e = stack.pop()
-        open_tags[e.tag] -= 1
+        places[e.tag].pop()
         links -= e.tag == "a"
         within -= e.tag in ARTICLE
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(tags, fences) -> bool:
+        """Close the innermost open element of tags with all in it, unless a fence is open inside it."""
+        i = last(tags)
+        if not i or last(fences) > i:
+            return False
+        while len(stack) > i:
+            pop()
+        return True
+
     pos, size = 0, len(page)
     while pos < size:
         m = TOKEN.match(page, pos)
@@ -200,22 +250,15 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
                 ends = ("p",)
             elif tag == "a":
                 ends = ("a",)
-            if any(open_tags[x] for x in ends):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in ends:
-                        while len(stack) > i:
-                            pop()
-                        if not any(open_tags[x] for x in ends):
-                            break
-                    elif stack[i].tag in FENCE and stack[i].tag not in ("tr", "tbody"):
-                        break
+            while ends and close(ends, FENCE.difference(ends)):
+                pass
             parent = stack[-1]
             path = paths.setdefault((parent.path, tag), len(paths) + 1)
             e = Element(len(elements), tag, parent, path, parent.around or surrounds(tag, attrs, within > 0), named(tag, attrs, within > 0))
             if not attrs.rstrip().endswith("/") or tag in BLOCK:
                 elements.append(e)
                 stack.append(e)
-                open_tags[tag] += 1
+                places.setdefault(tag, []).append(len(stack) - 1)
                 links += tag == "a"
                 within += tag in ARTICLE
             if tag in RAW:
@@ -226,17 +269,21 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
             tag = m["close"].lower()
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i].tag in FENCE and tag not in BLOCK:
-                    break
+            close((tag,), () if tag in BLOCK else FENCE.difference((tag,)))
     flush()
     return elements, out
 
 
+def ratios(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Text outside links, and punctuation, a block of each distinct path, in order of appearance."""
+    order: dict[int, list[int]] = {}
+    for i, (e, _, _) in enumerate(found):
+        order.setdefault(e.path, []).append(i)
+    own = np.array([len(t) - min(n, len(t)) for _, t, n in found], float)
+    marks = np.array([len(PUNCT.findall(t)) * (1 if n < len(t) / 2 else 0) for _, t, n in found], float)
+    return np.array([own[v].mean() for v in order.values()]), np.array([marks[v].mean() for v in order.values()])
+
+
 def fused_ratios(lengths: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Geometric mean of smoothed text and punctuation ratios of paths in order of appearance."""
     kernel = np.array([0.15, 0.7, 0.15])
@@ -252,14 +299,10 @@ def main_text(page: str | None) -> str:
     found = unnamed(elements, found)
     if not found:
         return ""
-    order: dict[int, list[int]] = {}
-    for i, (e, _, _) in enumerate(found):
-        order.setdefault(e.path, []).append(i)
-    own = np.array([len(t) - min(n, len(t)) for _, t, n in found], float)
-    marks = np.array([len(PUNCT.findall(t)) * (1 if n < len(t) / 2 else 0) for _, t, n in found], float)
-    score = fused_ratios(np.array([own[v].mean() for v in order.values()]), np.array([marks[v].mean() for v in order.values()]))
+    paths = list(dict.fromkeys(e.path for e, _, _ in found))
+    score = fused_ratios(*ratios(found))
     top = score.max()
-    content = {p for p, s in zip(order, score, strict=True) if s >= SHARE * top}
+    content = {p for p, s in zip(paths, score, strict=True) if s >= SHARE * top}
     held = sums(elements, [b for b in found if b[0].path in content])
     whole = held[0]
     # an article element with nearly all content, or else the innermost element with all of it
@@ -284,6 +327,11 @@ def main_text(page: str | None) -> str:
             if heading[e.number]:
                 start = i
         chosen[start:first] = [True] * (first - start)
+    elif article.parent is not None:
+        # content next to the article element: blocks of the same parent that read like it and aren't links
+        for i, (e, text, linked) in enumerate(found):
+            if e.parent is article.parent and e.path in content and 2 * linked < len(text):
+                chosen[i] = True
     out = [text for (e, text, linked), x in zip(found, chosen, strict=True) if x and (e.path in content or linked < len(text) / 2)]
     return "\n\n".join(out)
 
