@@ -35,7 +35,8 @@ def random_tree(rng: random.Random, depth: int) -> E:
         case "mul":
             return a * random_tree(rng, depth - 1)
         case "div":
-            return a / random_tree(rng, depth - 1)
+            b = random_tree(rng, depth - 1)
+            return a / (b * (b / b) + 1e-12)  # a divisor of 0 has no quotient
         case "log":
             return x.ln(x.absolute(a) + 1e-12)
         case "abs":
