@@ -67,37 +67,34 @@ def orthogonalize(df: DataFrame, value: str, against: str, least: int = 5, out:
     return df.withColumn(out, F.when(~pair, None).when(F.count(y).over(w) < least, F.col(value)).otherwise(F.col(value) - fitted))
 
 
-def panel_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values of a column -> value, n (rows that have it), below (rows with lesser values); nulls are left out.
+def panel_ranks_of(df: DataFrame, names: list[str]) -> DataFrame:
+    """Distinct values of columns -> name, value, n (rows that have it), below (rows with lesser values), total (rows with any); nulls are left out.
 
-    Values are dealt to ranges whose edges are fixed numbers, so that each is counted in its own range and ranges are joined by a table
-    of a row each: no task sees all rows, and equal values are one row before anything is sorted.
+    Values are dealt to ranges by approximate quantiles, a row a column, so that each is counted in its own range and ranges are joined by a table
+    of a row each: no task sees all rows, and equal values are one row before anything is sorted. Edges decide where a value is
+    counted, never the result. Nothing runs before the result is asked for.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])
+    counts = df.select(F.explode(each).alias("v")).select("v.*").filter("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = counts.approxQuantile(value, [i / parts for i in range(1, parts)], 0.25 / parts)
-    at = F.size(F.filter(F.array(*[F.lit(float(v)) for v in sorted(set(edges))]), lambda v: v <= F.col(value))) if edges else F.lit(0)
-    rows = counts.withColumn("_range", at)
-    inside = W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranges = rows.groupBy("_range").agg(F.sum("n").alias("_held"))
-    before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    ranges = ranges.select("_range", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(ranges), "_range")
-    return rows.select(value, "n", (F.col("_before") + F.col("_inside")).alias("below"))
-
-
-def panel_quantiles(ranks: DataFrame, value: str, ps: tuple[float, ...]) -> list[float | None]:
-    """Quantiles, linearly interpolated, of the rows that `panel_ranks` counted; two rows a quantile reach the driver."""
-    total = ranks.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return [None] * len(ps)
-    wanted = sorted({k for p in ps for k in (int(p * (total - 1)), min(total - 1, int(p * (total - 1)) + 1))})
-    holds = F.filter(F.array(*[F.lit(k) for k in wanted]), lambda k: (k >= F.col("below")) & (k < F.col("below") + F.col("n")))
-    at = {r["k"]: r[value] for r in ranks.select(value, F.explode(holds).alias("k")).collect()}
-    out = []
-    for p in ps:
-        place = p * (total - 1)
-        low = int(place)
-        a, b = at[low], at[min(total - 1, low + 1)]
-        out.append(a + (b - a) * (place - low))
-    return out
+    edges = counts.groupBy("name").agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], 4 * parts).alias("_edges"))
+    rows = counts.join(F.broadcast(edges), "name").withColumn("_range", F.size(F.filter("_edges", lambda v: v <= F.col("value")))).drop("_edges")
+    ranges = rows.groupBy("name", "_range").agg(F.sum("n").alias("_held"))
+    before = W.partitionBy("name").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    ranges = ranges.select("name", "_range", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"), F.sum("_held").over(W.partitionBy("name")).alias("total"))
+    inside = W.partitionBy("name", "_range").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(ranges), ["name", "_range"])
+    return rows.select("name", "value", "n", (F.col("_before") + F.col("_inside")).alias("below"), "total")
+
+
+def panel_bounds(ranks: DataFrame, low: float, high: float) -> DataFrame:
+    """name, low, high: quantiles, linearly interpolated, of the rows that `panel_ranks_of` counted."""
+    found = {}
+    for name, p in (("low", low), ("high", high)):
+        place = F.lit(p) * (F.col("total") - 1)
+        at = F.floor(place)
+        has = lambda k: (k >= F.col("below")) & (k < F.col("below") + F.col("n"))
+        a = F.max(F.when(has(at), F.col("value")))
+        b = F.max(F.when(has(F.least(F.col("total") - 1, at + 1)), F.col("value")))
+        found[name] = a + (b - a) * F.max(place - at)
+    return ranks.groupBy("name").agg(*[v.alias(k) for k, v in found.items()])

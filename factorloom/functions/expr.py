@@ -12,13 +12,14 @@ Nulls are missing values throughout; a division by zero is null.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WINDOWED = {"lag", "lead", "sum", "mean", "std", "min", "max", "skew", "kurt", "corr", "rank", "cumsum", "ema", "slope", "maxdd", "streak", "xs_mean", "xs_rank", "xs_std"}
+WINDOWED = {"lag", "lead", "sum", "mean", "std", "min", "max", "skew", "kurt", "corr", "cov", "rank", "cumsum", "ema", "slope", "maxdd", "streak", "xs_mean", "xs_rank", "xs_std"}
 
 
 @dataclass(frozen=True)
@@ -125,6 +126,10 @@ total, mean, std, low, high, skew, kurt = (_rolling(k) for k in ("sum", "mean",
 rank, slope, maxdd = (_rolling(k) for k in ("rank", "slope", "maxdd"))
 
 
+def cov(x: E, y: E, n: int, least: int | None = None) -> E:
+    return E("cov", (x, y), n, n if least is None else least)
+
+
 def corr(x: E, y: E, n: int, least: int | None = None) -> E:
     return E("corr", (x, y), n, n if least is None else least)
 
@@ -273,6 +278,9 @@ def windowed(x: E, inner) -> Column:
         case "corr":
             pairs = F.count(F.when(a[0].isNotNull() & a[1].isNotNull(), 1)).over(frame)
             return F.when(pairs >= x.least, safe_corr(a[0], a[1], frame))
+        case "cov":
+            p, q = F.when(a[1].isNotNull(), a[0]), F.when(a[0].isNotNull(), a[1])
+            return F.when(F.count(p).over(frame) >= max(x.least, 2), F.covar_samp(p, q).over(frame))
         case "rank":
             held = F.collect_list(a[0]).over(frame)
             below, same = F.size(F.filter(held, lambda v: v < a[0])), F.size(F.filter(held, lambda v: v == a[0]))
@@ -308,22 +316,44 @@ def compiled(x: E) -> Column:
     return scalar(x, compiled)
 
 
-def fold_ema(df: DataFrame, todo: dict[str, E]) -> DataFrame:
-    """Exponential averages (span n, no bias correction) of hoisted inputs, one pass over each symbol."""
-    inputs = {f"in_{k}": compiled(x.args[0]) for k, x in todo.items()}
-    df = df.withColumns(inputs)
-    spans = {k: x.n for k, x in todo.items()}
-    schema = ", ".join([f"`{n}` {t}" for n, t in df.dtypes if n not in inputs] + [f"{k} double" for k in todo])
-    kept = [c for c in df.columns if c not in inputs]
+#: Decay, as a power of e, after which what came before is left out of an exponential average: a part in 10^100.
+FADED = 230.0
 
-    def run(pdf):
-        pdf = pdf.sort_values("date", kind="stable")
-        for k, span in spans.items():
-            pdf[k] = pdf[f"in_{k}"].astype(float).ewm(span=span, adjust=False).mean()
-        return pdf[kept + list(spans)]
 
-    out = df.groupBy("symbol").applyInPandas(run, schema)
-    return out.withColumns({k: F.when(~F.isnan(k), F.col(k)) for k in todo})
+def exponential(df: DataFrame, todo: dict[str, E]) -> DataFrame:
+    """Exponential averages (span n, no bias correction) as running sums, in windows by symbol only.
+
+    With decay d, the average at a bar is the sum of shares of values times what they have decayed to. A running sum needs values to be
+    scaled by the inverse of their decay since some start, which would overflow, so bars are parted into stretches of FADED each: an average takes
+    its own stretch and the one before, and what is older is beyond a double's digits. Across g bars without a value the average has
+    decayed g times, and the new value's share is to the whole of both; bars without a value keep the last average.
+    """
+    by = W.partitionBy("symbol").orderBy("date")
+    so_far = by.rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumns({"_bar": F.row_number().over(by), **{f"x_{k}": compiled(x.args[0]).cast("double") for k, x in todo.items()}})
+    df = df.withColumns({f"g_{k}": F.col("_bar") - F.last(F.when(F.col(f"x_{k}").isNotNull(), F.col("_bar")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)) for k in todo})
+    added = {}
+    for k, x in todo.items():
+        alpha = min(2.0 / (x.n + 1), 1 - 1e-16)
+        # what is left of the average before, and the share of the new value; the first value is the average
+        left = F.pow(F.lit(1.0 - alpha), F.col(f"g_{k}"))
+        fresh = F.col(f"x_{k}").isNotNull()
+        added[f"a_{k}"] = F.when(fresh & F.col(f"g_{k}").isNotNull(), F.col(f"g_{k}") * -math.log1p(-alpha) + F.ln(left + alpha)).otherwise(0.0)
+        added[f"b_{k}"] = F.when(fresh, F.when(F.col(f"g_{k}").isNull(), 1.0).otherwise(alpha / (left + alpha)))
+    df = df.withColumns(added)
+    df = df.withColumns({f"l_{k}": F.sum(f"a_{k}").over(so_far) for k in todo})
+    df = df.withColumns({f"s_{k}": F.floor(F.col(f"l_{k}") / FADED) for k in todo})
+    scaled = lambda k: F.coalesce(F.col(f"x_{k}") * F.col(f"b_{k}") * F.exp(F.col(f"l_{k}") - F.col(f"s_{k}") * FADED), F.lit(0.0))
+    inside = lambda k: W.partitionBy("symbol", f"s_{k}").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumns({f"p_{k}": F.sum(scaled(k)).over(inside(k)) for k in todo})
+    df = df.withColumns({f"h_{k}": F.lag(F.struct(f"p_{k}", f"s_{k}")).over(by) for k in todo})
+    df = df.withColumns({f"h_{k}": F.first(f"h_{k}").over(inside(k)) for k in todo})
+    out = {}
+    for k, x in todo.items():
+        before = F.coalesce(F.col(f"h_{k}")[f"p_{k}"] * F.exp(-(F.col(f"s_{k}") - F.col(f"h_{k}")[f"s_{k}"]) * FADED), F.lit(0.0))
+        average = F.exp(F.col(f"s_{k}") * FADED - F.col(f"l_{k}")) * (F.col(f"p_{k}") + before)
+        out[k] = F.when(F.count(f"x_{k}").over(so_far) > 0, average) if x.n > 1 else F.last(f"x_{k}", ignorenulls=True).over(so_far)
+    return df.withColumns(out).drop("_bar", *[f"{c}_{k}" for c in "xgablsph" for k in todo])
 
 
 def columns(panel: DataFrame, trees: dict[str, E], keep: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
@@ -347,7 +377,7 @@ def columns(panel: DataFrame, trees: dict[str, E], keep: tuple[str, ...] = ("sym
         if plain:
             out = out.withColumns({k: windowed(x, compiled) for k, x in plain.items()})
         if emas:
-            out = fold_ema(out, emas)
+            out = exponential(out, emas)
     return out.select(*keep, *[compiled(x).alias(name) for name, x in trees.items()])
 
 
@@ -402,6 +432,9 @@ def window_sql(x: E) -> str:
             p, q = f"(CASE WHEN {a[1]} IS NOT NULL THEN {a[0]} END)", f"(CASE WHEN {a[0]} IS NOT NULL THEN {a[1]} END)"
             varies = f"min({p}) OVER {frame} < max({p}) OVER {frame} AND min({q}) OVER {frame} < max({q}) OVER {frame}"
             return f"CASE WHEN count({p}) OVER {frame} >= {x.least} AND {varies} THEN corr({p}, {q}) OVER {frame} END"
+        case "cov":
+            p, q = f"(CASE WHEN {a[1]} IS NOT NULL THEN {a[0]} END)", f"(CASE WHEN {a[0]} IS NOT NULL THEN {a[1]} END)"
+            return f"CASE WHEN count({p}) OVER {frame} >= {max(x.least, 2)} THEN covar_samp({p}, {q}) OVER {frame} END"
         case "rank":
             held = f"list_filter(list({a[0]}) OVER {frame}, lambda v: v IS NOT NULL)"
             below, same = f"len(list_filter({held}, lambda v: v < {a[0]}))", f"len(list_filter({held}, lambda v: v = {a[0]}))"

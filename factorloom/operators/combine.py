@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.functions.cross import panel_ranks, rank_pct, safe_corr, zscore
+from factorloom.functions.cross import panel_ranks_of, rank_pct, safe_corr, zscore
+from factorloom.sources.files import written
 
 
 def positive_weights(metric: dict[str, float]) -> dict[str, float]:
@@ -282,10 +283,11 @@ def fuse(frames: dict[str, DataFrame], method: str = "ranked", weights: dict[str
         value = mean([F.col(n) for n in names])
     elif method == "ranked":
         if not by_date:
-            total = out.count()
+            out = written(out, "fused")
+            ranks = written(panel_ranks_of(out, names), "fused")
             for n in names:
-                at = panel_ranks(out, n)
-                out = out.join(at.select(F.col(n), ((F.col("below") + (F.col("n") + 1) / 2) / total).alias(f"rank_{n}")), n)
+                at = ranks.filter(F.col("name") == n).select(F.col("value").alias(n), ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias(f"rank_{n}"))
+                out = out.join(at, n)
             value = mean([F.col(f"rank_{n}") for n in names])
         else:
             value = mean([rank_pct(F.col(n), "date") for n in names])

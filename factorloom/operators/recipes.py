@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from factorloom.functions import cross
 from factorloom.functions import expr as x
 
+from factorloom.sources.files import written
+
 from . import factors
 from .factors import C, R, V
 
@@ -25,29 +27,29 @@ DEMO = {
 }
 
 
-def clipped_rank(df: DataFrame, value: str) -> DataFrame:
-    """df with value clipped to the panel's TAIL and 1 - TAIL quantiles and then ranked within the date, from above 0 to 1."""
-    low, high = cross.panel_quantiles(cross.panel_ranks(df, value), value, (TAIL, 1 - TAIL))
-    v = F.when(F.col(value).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), F.col(value))))
-    return df.withColumn(value, v).withColumn(value, cross.rank_pct(F.col(value), "date"))
-
-
 def demo(panel: DataFrame) -> DataFrame:
-    """symbol, date, momentum, divergence, low_volatility, mixed: clipped ranks within the date.
+    """symbol, date, momentum, divergence, low_volatility, mixed: clipped to the panel's TAIL and 1 - TAIL quantiles, then ranked within the date.
 
-    mixed is half the panel-wide rank of the reversal and half that of the trend. Windows are full ones of each symbol.
+    mixed is half the panel-wide rank of the reversal and half that of the trend. Windows are full ones of each symbol. Ranks and quantiles of
+    all columns come from two tables of counts, of a row a distinct value; what goes to all tasks is a row a column. The five columns, their
+    ranks and the mix are each written once.
     """
-    # several counts read these columns; cached blocks that are lost are computed again
-    rows = x.columns(panel, DEMO).persist()
+    own = ["momentum", "divergence", "low_volatility"]
+    rows = written(x.columns(panel, DEMO), "demo")
+    ranks = written(cross.panel_ranks_of(rows, [*own, "reversal", "trend"]), "demo")
+    share = ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias("rank")
     for name in ("reversal", "trend"):
-        ranks = cross.panel_ranks(rows, name)
-        total = ranks.agg(F.sum("n").alias("total"))  # a single row
-        at = ranks.crossJoin(F.broadcast(total)).select(name, ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias(f"{name}_rank"))
+        at = ranks.filter(F.col("name") == name).select(F.col("value").alias(name), share.alias(f"{name}_rank"))
         rows = rows.join(at, name, "left")
-    rows = rows.withColumn("mixed", 0.5 * F.col("reversal_rank") + 0.5 * F.col("trend_rank")).select("symbol", "date", "momentum", "divergence", "low_volatility", "mixed").persist()
-    for name in ("momentum", "divergence", "low_volatility", "mixed"):
-        rows = clipped_rank(rows, name)
-    return rows
+    rows = rows.withColumn("mixed", 0.5 * F.col("reversal_rank") + 0.5 * F.col("trend_rank")).select("symbol", "date", *own, "mixed")
+    rows = written(rows, "demo")
+    bounds = cross.panel_bounds(ranks.filter(F.col("name").isin(own)), TAIL, 1 - TAIL).unionByName(cross.panel_bounds(cross.panel_ranks_of(rows, ["mixed"]), TAIL, 1 - TAIL))
+    # one row: a map of a column's name to its bounds
+    held = bounds.agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("low", "high").alias("b")))).alias("_bounds"))
+    rows = rows.crossJoin(F.broadcast(held))
+    clip = lambda n: F.when(F.col(n).isNotNull(), F.greatest(F.col("_bounds")[n]["low"], F.least(F.col("_bounds")[n]["high"], F.col(n))))
+    rows = rows.select("symbol", "date", *[clip(n).alias(n) for n in (*own, "mixed")])
+    return rows.withColumns({n: cross.rank_pct(F.col(n), "date") for n in (*own, "mixed")})
 
 
 def market_return(panel: DataFrame) -> DataFrame:

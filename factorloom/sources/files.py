@@ -21,8 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="factorloom-files-")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one, until `cleanup`."""
+    _SCRATCH.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all scratch folders of this process; call it once results have been saved."""
+    while _SCRATCH:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a table in a scratch folder: computed once, and there whatever executors are lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_upload(spark: SparkSession, path: str, kind: str, schema: str | None = None) -> DataFrame:

@@ -6,12 +6,10 @@ far and returns the result as a table, with its checkpoint in the shared folder,
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.sources.files import shared_dir
+from factorloom.sources.files import scratch
 
 
 def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -51,7 +49,7 @@ def arrivals(ticks: DataFrame) -> DataFrame:
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Processes all available input and returns what the sink holds. complete: the last result; append: all rows."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
 
     def sink(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/epoch={epoch}")

@@ -93,3 +93,32 @@ def test_constant_side_has_no_correlation(spark):
     df = spark.createDataFrame([(1, 2.0, 5.0), (1, 2.0, 6.0), (2, 1.0, 1.0), (2, 2.0, 3.0), (2, None, 9.0)], "g int, a double, b double")
     rows = {r.g: r.c for r in df.groupBy("g").agg(cross.safe_corr(cross.F.col("a"), cross.F.col("b")).alias("c")).collect()}
     assert rows[1] is None and rows[2] == pytest.approx(1.0)
+
+
+def test_exponential_of_long_series_with_gaps(spark):
+    """Series over many stretches of decay, with values missing at the start, the end and between, as pandas has them."""
+    rng = np.random.default_rng(8)
+    day = datetime.date(2000, 1, 1)
+    rows = []
+    for s, n in (("long", 3000), ("short", 5), ("none", 4)):
+        for i in range(n):
+            v = float(rng.normal() * 10.0 ** int(rng.integers(-3, 4))) if s != "none" and i > 1 and rng.random() > 0.2 and not 1000 < i < 1700 else None
+            rows.append((s, day + datetime.timedelta(i), v))
+    df = spark.createDataFrame(rows, "symbol string, date date, v double")
+    spans = (1, 2, 5, 12, 60)
+    got = x.columns(df, {f"e{n}": x.ema(x.col("v"), n) for n in spans}).toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
+    pdf = pd.DataFrame(rows, columns=["symbol", "date", "v"]).sort_values(["symbol", "date"]).reset_index(drop=True)
+    for n in spans:
+        want = pdf.groupby("symbol")["v"].transform(lambda v, n=n: v.astype(float).ewm(span=n, adjust=False).mean())
+        assert np.allclose(got[f"e{n}"].to_numpy(float), want.to_numpy(float), rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_rolling_covariance(spark):
+    rng = np.random.default_rng(9)
+    day = datetime.date(2000, 1, 1)
+    rows = [("s", day + datetime.timedelta(i), float(rng.normal()), float(rng.normal()) if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, date date, a double, b double")
+    got = x.columns(df, {"c": x.cov(x.col("a"), x.col("b"), 10, 3)}).orderBy("date").toPandas()["c"].to_numpy(float)
+    pdf = pd.DataFrame(rows, columns=["symbol", "date", "a", "b"])
+    a = pdf["a"].where(pdf["b"].notna())
+    assert np.allclose(got, a.rolling(10, min_periods=3).cov(pdf["b"].astype(float)).to_numpy(float), equal_nan=True)
