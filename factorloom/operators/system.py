@@ -104,3 +104,28 @@ def statistical_quality(series: DataFrame, key: str, value: str) -> DataFrame:
 def member_scores(members: DataFrame) -> DataFrame:
     """name, score: 0.40 attention + 0.35 quality + 0.25 diversity."""
     return members.select("name", (0.4 * F.col("attention") + 0.35 * F.col("quality") + 0.25 * F.col("diversity")).alias("score"))
+
+
+#: What makes a signal sound, factors too alike, and decay slow.
+SOUND_IC, SOUND_ICIR, ALIKE, SLOW = 0.03, 0.4, 0.5, 0.5
+
+
+def findings(bars: DataFrame, wide: DataFrame, names: list[str], later: int = 5) -> DataFrame:
+    """topic, tone (ok, info or warn), text: what the numbers of a system of factors say, each from a table of a row or a row a factor.
+
+    signal: the mean of all factors; correlation: of all pairs; factors: strongest and weakest by |icir|; decay: what is left of the signal's ic `later`
+    bars on.
+    """
+    mixed = sum((F.coalesce(F.col(n), F.lit(0.0)) for n in names), F.lit(0.0)) / len(names)
+    rows = wide.withColumn("mixed", mixed)
+    got = ev.batch(bars, rows, [*names, "mixed"]).withColumn("icir", F.coalesce("icir", F.lit(0.0)))
+    signal = got.filter("factor_name = 'mixed'")
+    sound = (F.abs("ic") >= SOUND_IC) & (F.abs("icir") >= SOUND_ICIR)
+    out = signal.select(F.lit("signal").alias("topic"), F.when(sound, "ok").otherwise("warn").alias("tone"), F.format_string("ic %.4f, icir %.2f", "ic", "icir").alias("text"))
+    mean = combine.correlation_pairs(wide, names).agg(F.avg(F.abs("rho")).alias("mean")).filter("mean IS NOT NULL")
+    out = out.unionByName(mean.select(F.lit("correlation").alias("topic"), F.when(F.col("mean") >= ALIKE, "warn").otherwise("info").alias("tone"), F.format_string(f"mean absolute correlation %.2f of {len(names)} factors", "mean").alias("text")))
+    ends = got.filter("factor_name <> 'mixed'").agg(F.max_by("factor_name", F.abs("icir")).alias("best"), F.min_by("factor_name", F.abs("icir")).alias("worst")).filter("best IS NOT NULL")
+    out = out.unionByName(ends.select(F.lit("factors").alias("topic"), F.lit("info").alias("tone"), F.concat(F.lit("strongest "), "best", F.lit(", weakest "), "worst").alias("text")))
+    decay = ev.ic_decay(bars, rows.select("symbol", "date", F.col("mixed").alias("factor")), (1, later))
+    left = decay.agg(F.try_divide(F.abs(F.max(F.when(F.col("horizon") == later, F.col("ic")))), F.abs(F.max(F.when(F.col("horizon") == 1, F.col("ic"))))).alias("keep")).filter("keep IS NOT NULL")
+    return out.unionByName(left.select(F.lit("decay").alias("topic"), F.when(F.col("keep") >= SLOW, "ok").otherwise("warn").alias("tone"), F.format_string(f"%.0f percent of the ic left at horizon {later}", F.col("keep") * 100).alias("text")))

@@ -32,20 +32,6 @@ def members(s, d):
 
 
 CATALOG_SQL = "cat AS (SELECT * FROM (VALUES " + ", ".join(f"('{f.name}', '{f.category}', '{f.direction}', {f.quality}::DOUBLE, '{x.key(f.tree)[2:]}')" for f in factors.LIBRARY.values()) + ") AS c(name, category, direction, quality, hash))"
-RAW = {"equal": "1.0", "quality": "greatest(quality, 0.01)", "ic": "abs((length(name) % 7 - 3) / 100.0)", "icir": "abs((length(name) % 5 - 2) / 10.0)", "dimension": "1.0 / count(*) OVER (PARTITION BY category)", "manual": "greatest(length(name) % 3 - 1, 0)"}
-WEIGHTS = f"WITH {CATALOG_SQL} " + " UNION ALL ".join(
-    f"SELECT '{m}' AS mode, name, round(CASE WHEN sum(raw) OVER () > 0 THEN raw / sum(raw) OVER () ELSE 1.0 / count(*) OVER () END, 8) AS w FROM (SELECT name, ({r})::DOUBLE AS raw FROM cat)" for m, r in RAW.items()
-)
-
-
-def weights_all(s, d):
-    out = None
-    for m in RAW:
-        one = combine.resolve_weights(members(s, d), m).select(F.lit(m).alias("mode"), "name", "w")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, 8)
-
-
 SYNTH = {"rev": 0.5, "liq": -0.2, "vol": 0.3}
 
 
@@ -200,7 +186,6 @@ _ALL = {
         lambda s, d: rounded(portfolio.rebased(source.saved(s, d).select("symbol", "date", F.col("close").alias("index_value")), "symbol")),
         f"WITH {BARS} SELECT symbol, date, round((close / first_value(close) OVER (PARTITION BY symbol ORDER BY date) - 1) * 100, 6) + 0 AS change FROM bars",
     ),
-    "weights_all_modes": (weights_all, WEIGHTS),
     "ic_weighted_combine": (
         lambda s, d: rounded(combine.ic_weighted(wide(s, d)[1], {"rev": 0.04, "liq": -0.02, "vol": 0.001})),
         f"WITH {WIDE} SELECT symbol, date, round(coalesce({Z['rev']}, 0) * (0.04 / 0.06) + coalesce({Z['liq']}, 0) * (0.02 / 0.06), 6) + 0 AS factor FROM w",
@@ -233,22 +218,6 @@ SELECT symbol, date, round(CASE WHEN have >= 0.3 THEN (coalesce(rev, 0) * 0.5 -
     "style_exposure": (style, STYLE),
     "industry_exposure": (lambda s, d: rounded(robust.industry_exposure(inputs(s, d)[1], source.dimensions(s, d))), INDUSTRY),
     "zoo_comparison": (zoo, None),
-    "catalog_stats": (
-        lambda s, d: factors.stats(factors.catalog(s)),
-        f"WITH {CATALOG_SQL} SELECT category, count(*) AS n, round(avg(quality), 6) AS mean_quality, max(quality) AS max_quality, min(quality) AS min_quality FROM cat GROUP BY category",
-    ),
-    "catalog_search": (
-        lambda s, d: factors.search(factors.catalog(s), "vol", direction="negative", least=0.6),
-        f"WITH {CATALOG_SQL} SELECT * FROM cat WHERE contains(lower(name), 'vol') AND direction = 'negative' AND quality >= 0.6",
-    ),
-    "catalog_diverse": (
-        lambda s, d: factors.diverse(factors.catalog(s), 3),
-        f"WITH {CATALOG_SQL} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY quality DESC, name)::INT AS rank FROM cat) WHERE rank <= 3",
-    ),
-    "truncate_top": (
-        lambda s, d: combine.truncate(factors.catalog(s).select("name", F.col("quality").alias("score"))),
-        f"WITH {CATALOG_SQL} SELECT name, quality AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY quality DESC, name)::INT AS rank, count(*) OVER () AS n FROM cat) WHERE rank <= greatest(5, ceil(n * 0.1))",
-    ),
 }
 QUERIES = {k: v[0] for k, v in _ALL.items()}
 ORACLE_SQL = {k: v[1] for k, v in _ALL.items() if v[1] is not None}

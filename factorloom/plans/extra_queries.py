@@ -16,10 +16,6 @@ from .eval_queries import PANEL, ic_sql, panel
 from .misc_queries import NEGATIVE, POSITIVE, sql_occ
 
 BARS = bars_sql()
-FEED = """<feed><entry><title>One</title><author><name>A</name></author><published>2024-01-02</published></entry><entry><title>Two</title><author><name>B</name></author><published>2024-03-04</published></entry></feed>"""
-DATES = [(1, "2024-01-05"), (2, "20240106"), (3, "2024/01/07"), (4, "2024.01.08"), (5, "soon"), (6, None)]
-LINES = [(1, 'var hq_str_sh600000="Bank,10.0,10.0,10.5";'), (2, 'var hq_str_sz000001="Other,3,0,1";'), (3, "none")]
-MARKDOWN = "| a | b |\n|---|:--|\n| 1 | two |\n| 3 | four |\n"
 
 
 def lasso(s, d):
@@ -124,20 +120,6 @@ def sft(s, d):
     return text.instructions(c)
 
 
-def parsers(s, d):
-    feed = s.createDataFrame([(FEED,)], "xml string").select(F.inline(text.atom_entries(F.col("xml")))).toDF("title", "author", "published")
-    a = feed.select(F.lit("atom").alias("kind"), F.concat_ws("|", "title", "author", "published").alias("value"))
-    t = s.createDataFrame([(MARKDOWN,)], "t string").select(F.explode(text.table_rows(F.col("t"))).alias("r")).select(F.lit("table").alias("kind"), F.concat_ws("|", "r").alias("value"))
-    dd = s.createDataFrame(DATES, "id int, t string").select(F.lit("date").alias("kind"), F.concat_ws("|", F.col("id").cast("string"), text.parsed_date(F.col("t")).cast("string")).alias("value"))
-    q = s.createDataFrame(LINES, "id int, line string").select("id", text.quote(F.col("line")).alias("q"))
-    q = q.select(F.lit("quote").alias("kind"), F.concat_ws("|", F.col("id").cast("string"), "q.code", "q.name", F.col("q.price").cast("string"), F.col("q.percent").cast("string")).alias("value"))
-    k = s.createDataFrame([("df.rolling(5).mean().shift(1)",)], "c string").select(F.lit("points").alias("kind"), F.concat_ws("|", text.key_points(F.col("c"), {"rolling": "window", "rank": "rank", "shift": "lag"})).alias("value"))
-    return a.unionByName(t).unionByName(dd).unionByName(q).unionByName(k)
-
-
-PARSERS = """SELECT * FROM (VALUES ('atom', 'One|A|2024-01-02'), ('atom', 'Two|B|2024-03-04'), ('table', '1|two'), ('table', '3|four'), ('date', '1|2024-01-05'), ('date', '2|2024-01-06'), ('date', '3|2024-01-07'), ('date', '4|2024-01-08'),
-('date', '5'), ('date', '6'), ('quote', '1|sh600000|Bank|10.5|5.0'), ('quote', '2|sz000001|Other|1.0'), ('quote', '3||'), ('points', 'window|lag')) AS t(kind, value)"""
-
 _ALL = {
     "lasso_screen": (lasso, None),
     "orthogonalize_in_turn": (in_turn, IN_TURN),
@@ -167,7 +149,6 @@ _ALL = {
         f"WITH c AS (SELECT role AS symbol, turn AS date, lower(coalesce(text, '')) AS t FROM conversations), h AS (SELECT symbol, date, {sql_occ(POSITIVE)} AS p, {sql_occ(NEGATIVE)} AS n FROM c) SELECT symbol, date, round(avg(coalesce((p - n) / nullif(p + n, 0), 0)), 6) + 0 AS sentiment, count(*) AS n FROM h GROUP BY symbol, date",
     ),
     "instruction_records": (sft, "SELECT 'Write the factor ' || p_name AS instruction, p_type AS input, p_brand AS output FROM part WHERE p_size > 10"),
-    "parsers": (parsers, PARSERS),
 }
 QUERIES = {k: v[0] for k, v in _ALL.items()}
 ORACLE_SQL = {k: v[1] for k, v in _ALL.items() if v[1] is not None}

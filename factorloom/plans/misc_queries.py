@@ -99,32 +99,6 @@ def guidance(s, d):
 GUIDANCE = """WITH f AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 m AS (SELECT label, i, avg(v) AS m FROM f GROUP BY label, i) SELECT vec_id, round(sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))), 5) + 0 AS similarity FROM f JOIN m USING (label, i) GROUP BY vec_id"""
 
-LOOSE = [
-    (1, "1.5万", 'var hq_str_sh600000="Bank,10.5,10.2,10.9";', 'x ```json\n{"a": 1}\n``` y', "000001:2, 600519:3;000002", "buy 600519 and 000001, 600519"),
-    (2, "2.25亿", 'var hq_str_x="";', 'reply {"b": {"c": 2}} end', "000001", "none"),
-    (3, "3万亿", "garbage", "no json", "a:1 b:2", "1234567"),
-    (4, "12,345.5", 'var hq_str_y="a,b";', "{broken", "", "x123456"),
-    (5, "-7.5%", 'var hq_str_z="1,,3";', '{"k": [1, 2]}', "q:0.5", "000001"),
-    (6, "abc", "", "", "z", ""),
-]
-
-
-def loose(s, d):
-    rows = s.createDataFrame(LOOSE, "id long, number string, quote string, reply string, weights string, note string")
-    return rows.select(
-        "id",
-        text.cn_number(F.col("number")).alias("value"),
-        F.concat_ws("|", text.quote_fields(F.col("quote"))).alias("fields"),
-        F.regexp_replace(F.coalesce(text.json_block(F.col("reply")), F.lit("-")), r"\s", "").alias("json"),
-        F.array_join(F.array_sort(F.map_keys(text.weight_map(F.col("weights")))), "|").alias("members"),
-        F.aggregate(F.map_values(text.weight_map(F.col("weights"))), F.lit(0.0), lambda a, v: a + v).alias("weight"),
-        F.concat_ws("|", text.codes_in(F.col("note"))).alias("codes"),
-    )
-
-
-LOOSE_SQL = """SELECT * FROM (VALUES (1, 15000.0, 'Bank|10.5|10.2|10.9', '{"a":1}', '000001|000002|600519', 6.0, '600519|000001'), (2, 225000000.0, '', '{"b":{"c":2}}', '000001', 1.0, ''), (3, 3000000000000.0, '', '-', 'a|b', 3.0, ''),
-(4, 12345.5, 'a|b', '-', '', 0.0, ''), (5, -7.5, '1||3', '{"k":[1,2]}', 'q', 0.5, '000001'), (6, NULL, '', '-', 'z', 1.0, '')) AS t(id, value, fields, json, members, weight, codes)"""
-
 DAILY = f"""WITH {TICKS_SQL}, r AS (SELECT *, price / nullif(lag(price) OVER (PARTITION BY symbol, date ORDER BY ts, event_id), 0) - 1 AS r FROM ticks)
 SELECT symbol, date, round(stddev_samp(r) * sqrt(240), 6) AS intraday_vol, round(ln(arg_min(price, (ts, event_id)) / arg_max(price, (ts, event_id))), 6) + 0 AS open_gap,
   round(sum(CASE WHEN time >= '13:00' THEN volume ELSE 0 END) / sum(volume), 6) AS afternoon_share, round(coalesce(sum(CASE WHEN time >= '14:30' THEN r END), 0), 6) + 0 AS late_return,
@@ -235,7 +209,6 @@ _ALL = {
     "lexical_top": (lexical, LEX),
     "cosine_top": (nearest, NEAREST),
     "diversity_guidance": (guidance, GUIDANCE),
-    "loose_formats": (loose, LOOSE_SQL),
     "minute_to_daily": (lambda s, d: rounded(minute.daily(source.intraday(s, d))), DAILY),
     "latest_days": (
         lambda s, d: minute.latest_days(source.intraday(s, d), 3).groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n")),
