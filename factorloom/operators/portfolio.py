@@ -33,12 +33,29 @@ def tradable_panel(bars: DataFrame, factor: DataFrame, horizon: int = 1, share:
     return panel.join(held, "symbol", "left_semi").select("date", "symbol", "fwd_ret", "tradable", "chosen")
 
 
-def walk(panel: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """date (of the trade), gross, turnover, sells, holdings: the path of equal-weight holdings, one step a date.
+def touched(panel: DataFrame, limit: float = LIMIT, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that a walk can change or read: a symbol's from a date that chooses it to the first that lets it go, and a row of every date.
 
-    What can't be traded keeps its weight; a symbol up by the limit isn't bought, one down by it isn't sold. Each
-    step needs the one before, so this is one fold over dates of symbols that are ever chosen.
+    Whether a symbol is held follows from its own rows but for dates on which nothing is bought, when all may stay; on these nothing is let
+    go here, so the rows are a few more than those held, never fewer. There are at most (chosen a date) x (dates a stay lasts) a date.
     """
+    day, own = W.partitionBy(*by, "date"), W.partitionBy(*by, "symbol").orderBy("date")
+    buys = F.col("chosen") & (F.col("fwd_ret") < limit - 1e-6)
+    sells = F.col("tradable") & ~buys & (F.col("chosen") | (F.col("fwd_ret") > -limit + 1e-6))
+    rows = panel.withColumns({"_any": F.max(buys.cast("int")).over(day) == 1, "_first": F.row_number().over(day.orderBy("symbol")) == 1})
+    action = F.when(buys, 1).when(sells & F.col("_any"), 0)
+    rows = rows.withColumn("_held", F.last(action, ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_before", F.lag("_held").over(own))
+    return rows.filter("_held = 1 OR _before = 1 OR chosen OR _first").select(panel.columns)
+
+
+def walk(panel: DataFrame, limit: float = LIMIT, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, date (of the trade), gross, turnover, sells, holdings: the path of equal-weight holdings, one step a date.
+
+    What can't be traded keeps its weight; a symbol up by the limit isn't bought, one down by it isn't sold. Each step needs the one before, so
+    a portfolio is one fold over its dates, of the rows that `touched` leaves; portfolios (by) are walked beside each other.
+    """
+    kinds = dict(panel.dtypes)
 
     def fold(pdf):
         import pandas as pd
@@ -75,9 +92,13 @@ def walk(panel: DataFrame, limit: float = LIMIT) -> DataFrame:
                 )
             )
             held = fresh
-        return pd.DataFrame(out, columns=["date", "gross", "turnover", "sells", "holdings"])
+        made = pd.DataFrame(out, columns=["date", "gross", "turnover", "sells", "holdings"])
+        for i, k in enumerate(by):
+            made.insert(i, k, pdf[k].iloc[0])
+        return made
 
-    return panel.groupBy(F.lit("all")).applyInPandas(fold, "date date, gross double, turnover double, sells double, holdings long")
+    keys = "".join(f"{k} {kinds[k]}, " for k in by)
+    return touched(panel, limit, by).groupBy(*by or [F.lit("all")]).applyInPandas(fold, f"{keys}date date, gross double, turnover double, sells double, holdings long")
 
 
 def costed(steps: DataFrame, commission: float = 0.0003, stamp_tax: float = 0.0005, two_sided: bool = True) -> DataFrame:

@@ -32,9 +32,17 @@ def test_foresight_and_noise(bars):
     assert 0 <= ev.turnover(noise).first()[0] <= 2
 
 
-def test_walk_matches_plain_loop(bars):
-    factor = bars.select("symbol", "date", (F.pmod(F.xxhash64("symbol", "date"), F.lit(997)) / 997).alias("factor"))
-    got = portfolio.walk(portfolio.tradable_panel(bars, factor, share=0.2), limit=0.06).toPandas().sort_values("date")
+@pytest.mark.parametrize(("share", "limit", "slow"), [(0.2, 0.06, 1), (0.1, 0.01, 1), (0.1, 0.02, 20), (0.3, 0.005, 7), (0.1, 0.001, 1)])
+def test_walk_matches_plain_loop(bars, share, limit, slow):
+    """slow: for so many dates at a time the factor stays, so that symbols are held on and off; low limits leave dates without a buy."""
+    factor = bars.select("symbol", "date", (F.pmod(F.xxhash64("symbol", F.floor(F.unix_date("date") / slow)), F.lit(997)) / 997).alias("factor"))
+    panel = portfolio.tradable_panel(bars, factor, share=share)
+    both = panel.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("portfolio"))
+    walked = portfolio.walk(both, limit, ("portfolio",)).toPandas().sort_values(["portfolio", "date"])
+    got = portfolio.walk(panel, limit=limit).toPandas().sort_values("date")
+    for name in "ab":
+        assert np.allclose(walked[walked.portfolio == name][["gross", "turnover", "sells", "holdings"]].to_numpy(float), got[["gross", "turnover", "sells", "holdings"]].to_numpy(float))
+    assert portfolio.touched(panel, limit).count() <= panel.count()
     pdf = bars.toPandas().sort_values(["symbol", "date"])
     f = factor.toPandas()
     pdf = pdf.merge(f, on=["symbol", "date"])
@@ -49,12 +57,12 @@ def test_walk_matches_plain_loop(bars):
         can = sub[(sub.vn > 0) & (sub.an >= 0)]
         new = {s: held[s] for s in sub.index if held.get(s, 0) > 0 and s not in can.index}
         ranked = can.reset_index().sort_values(["factor", "symbol"], ascending=[False, True]).symbol
-        longs = set(ranked.head(max(1, int(np.ceil(0.2 * len(can)))))) if len(can) else set()
+        longs = set(ranked.head(max(1, int(np.ceil(share * len(can)))))) if len(can) else set()
         for s in longs:
-            if sub.fwd[s] < 0.06 - 1e-6:
+            if sub.fwd[s] < limit - 1e-6:
                 new[s] = 1.0
         for s in can.index:
-            if held.get(s, 0) > 0 and s not in longs and sub.fwd[s] <= -0.06 + 1e-6:
+            if held.get(s, 0) > 0 and s not in longs and sub.fwd[s] <= -limit + 1e-6:
                 new[s] = held[s]
         if not new:
             new = {s: held[s] for s in sub.index if held.get(s, 0) > 0}
