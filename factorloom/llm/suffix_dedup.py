@@ -9,12 +9,16 @@ stretches does their text go on, one copy of each.
 
 How they are sorted. Stretches of an anchor are aligned at it, so that suffixes that can match stand in
 one column. From the last column to the first, a suffix is its first byte and the rank of the suffix after it, which has
-just been sorted: ordering those tuples by (anchor, byte, rank) induces the column's order from the one to its right. The
+just been sorted: ordering those tuples by (group, byte, rank) induces the column's order from the one to its right. The
 common prefix with the neighbour above is carried along: one more than the least over the ranks between. A
 window is repeated where that reaches LENGTH. Text reaches the sort as pieces of PIECE columns, in falling order,
 through Spark's disk-backed external sort by (shard, column, anchor); a shard keeps in memory only one piece, the rank and the prefix
 of each stretch.
 
+Hot anchors. An anchor with many different stretches would be one large group in one task. Its windows are parted by where they start
+into classes, and all windows of a class have most of their columns in common: only stretches whose bytes there are equal can match, so a
+class and the hash of those bytes make a group of their own, dealt to any shard. Equal windows stand in one class and one such group.
+
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; matches never cross documents; rows
 that repeat doc_id and text are documents of their own, so that what they share is removed from both; a null doc_id is
 allowed; an empty table gives an empty result.
@@ -22,6 +26,8 @@ allowed; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +37,10 @@ from . import anchors, common
 
 LENGTH = 400
 PIECE = 64
-#: Stretches in a shard, on average; more of one anchor stay together.
+#: Stretches in a shard, on average; more of one group stay together.
 SHARD = 4096
+#: An anchor with more different stretches than HOT is split; its windows go to CLASSES by where they start.
+HOT, CLASSES = 32768, 8
 #: Bytes that anchors are sought in at once.
 PART = 1 << 22
 
@@ -77,36 +85,59 @@ def find_stretches(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc", "part", "text").transform(common.small_batches).mapInArrow(run, f"doc {kind}, part long, anchor long, stretch long, first int, last int, at int")
 
 
+def parted(x: np.ndarray, w: dict, length: int) -> list[tuple[int, int, int]]:
+    """(group, low, high): the groups that a stretch of text x is sorted in, and its columns there, counted from its anchor.
+
+    A stretch that isn't hot is in its anchor's group. Of a hot one, the windows that start in each class's columns are in the group of the anchor
+    and the bytes that all windows of the class cover.
+    """
+    low, last = w["first"] - w["at"], w["last"] - w["at"]
+    if not w["hot"]:
+        return [(w["anchor"], low, last + length)]
+    out = []
+    wide = -(-length // CLASSES)
+    # classes of starts (first, end) from 0 down; windows in one all cover first + wide - 1 up to first + length
+    for k in range(low // wide, last // wide + 1):
+        first, end = k * wide, (k + 1) * wide - 1
+        a, z = max(low, first), min(last, end)
+        # a window that starts at a covers a to a + length: columns from end to first + length are in all of the class
+        common_bytes = x[w["at"] + end : w["at"] + first + length]
+        key = hashlib.blake2b(common_bytes.tobytes(), digest_size=8, key=int(w["anchor"] & (2**64 - 1)).to_bytes(8, "little") + (k & 0xFFFF).to_bytes(2, "little"))
+        out.append((int.from_bytes(key.digest(), "little", signed=True), a, z + length))
+    return out
+
+
 def pieces(rows: DataFrame, length: int, shards: int) -> DataFrame:
-    """(text, wanted: anchor, stretch, first, last, at of each) -> shard, piece, anchor, stretch, low, high, data.
+    """(text, wanted: anchor, stretch, first, last, at, hot of each) -> shard, piece, group, anchor, stretch, low, high, data.
 
-    low and high bound the stretch's columns, counted from its anchor; data is its text within the piece's columns.
+    low and high bound the stretch's columns in the group, counted from its anchor; data is its text within the piece's columns.
     """
+    kinds = {"shard": pa.int64(), "piece": pa.int32(), "group": pa.int64(), "anchor": pa.int64(), "stretch": pa.int64(), "low": pa.int32(), "high": pa.int32(), "data": pa.binary()}
 
     def run(batches):
-        names = ["shard", "piece", "anchor", "stretch", "low", "high", "data"]
         for b in batches:
-            out = {k: [] for k in names}
+            out = {k: [] for k in kinds}
             for t, wanted in zip(b.column("text"), b.column("wanted"), strict=True):
                 x = as_bytes(t)
                 for w in wanted.as_py():
-                    low, high = w["first"] - w["at"], w["last"] + length - w["at"]
-                    for p in range(low // PIECE, (high - 1) // PIECE + 1):
-                        a, z = max(low, p * PIECE), min(high, (p + 1) * PIECE)
-                        for k, v in zip(names, (w["anchor"] % shards, p, w["anchor"], w["stretch"], low, high, x[w["at"] + a : w["at"] + z].tobytes()), strict=True):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
+                    for group, low, high in parted(x, w, length):
+                        for p in range(low // PIECE, (high - 1) // PIECE + 1):
+                            a, z = max(low, p * PIECE), min(high, (p + 1) * PIECE)
+                            for k, v in zip(kinds, (group % shards, p, group, w["anchor"], w["stretch"], low, high, x[w["at"] + a : w["at"] + z].tobytes()), strict=True):
+                                out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
 
-    return rows.select("text", "wanted").transform(common.small_batches).mapInArrow(run, "shard long, piece int, anchor long, stretch long, low int, high int, data binary")
+    return rows.select("text", "wanted").transform(common.small_batches).mapInArrow(run, "shard long, piece int, group long, anchor long, stretch long, low int, high int, data binary")
 
 
 class Shard:
-    """Induced sorting of the stretches of some anchors, column by column from the right."""
+    """Induced sorting of the stretches of some groups, column by column from the right."""
 
     def __init__(self, length: int):
         self.length = length
-        self.known: dict[tuple[int, int], int] = {}
-        self.names: list[tuple[int, int]] = []
+        #: Stretches by (group, anchor, stretch).
+        self.known: dict[tuple[int, int, int], int] = {}
+        self.names: list[tuple[int, int, int]] = []
         self.group = np.empty(0, np.int64)
         self.groups: dict[int, int] = {}
         #: Stretches by (group, suffix), and the common prefix of each with the one before.
@@ -114,7 +145,7 @@ class Shard:
         self.prefix = np.empty(0, np.int64)
         self.hits: list[tuple[int, np.ndarray]] = []
 
-    def add(self, piece: int, keys: list[tuple[int, int]], low: np.ndarray, high: np.ndarray, data: list[bytes]) -> None:
+    def add(self, piece: int, keys: list[tuple[int, int, int]], low: np.ndarray, high: np.ndarray, data: list[bytes]) -> None:
         """The next piece to the left: its text of every stretch that reaches into it."""
         item = np.empty(len(keys), np.int64)
         fresh = []
@@ -155,7 +186,7 @@ class Shard:
         if gone.any():
             # what stays next to one that leaves shares with its new neighbour the least of the prefixes between
             stay = np.flatnonzero(~gone)
-            prefix = np.minimum.reduceat(prefix, np.concatenate([[0], stay[:-1] + 1])) if len(stay) else prefix[:0]
+            prefix = np.minimum.reduceat(prefix[: stay[-1] + 1], np.concatenate([[0], stay[:-1] + 1])) if len(stay) else prefix[:0]
             order = order[stay]
         if entering is not None:
             order = np.concatenate([entering, order])
@@ -197,7 +228,7 @@ class Shard:
         for i, a, z in zip(item[first].tolist(), x[first].tolist(), x[last].tolist(), strict=True):
             runs.setdefault(i, []).extend((a, z))
         for i, v in runs.items():
-            yield *self.names[i], v
+            yield *self.names[i][1:], v
 
 
 def sort_shards(sorted_pieces: DataFrame, length: int) -> DataFrame:
@@ -219,8 +250,8 @@ def sort_shards(sorted_pieces: DataFrame, length: int) -> DataFrame:
                 held.clear()
 
         for b in batches:
-            columns = [b.column(k).to_pylist() for k in ("shard", "piece", "anchor", "stretch", "low", "high", "data")]
-            for n, p, a, s, low, high, data in zip(*columns, strict=True):
+            columns = [b.column(k).to_pylist() for k in ("shard", "piece", "group", "anchor", "stretch", "low", "high", "data")]
+            for n, p, g, a, s, low, high, data in zip(*columns, strict=True):
                 if n != number or p != piece:
                     close()
                     if n != number:
@@ -228,7 +259,7 @@ def sort_shards(sorted_pieces: DataFrame, length: int) -> DataFrame:
                             yield from emit(shard)
                         shard, number = Shard(length), n
                     piece = p
-                held.append(((a, s), low, high, data))
+                held.append(((g, a, s), low, high, data))
         close()
         if shard is not None:
             yield from emit(shard)
@@ -236,17 +267,17 @@ def sort_shards(sorted_pieces: DataFrame, length: int) -> DataFrame:
     return sorted_pieces.transform(common.small_batches).mapInArrow(run, "anchor long, stretch long, runs array<int>")
 
 
-def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     """(doc, part, text) -> doc, part, ranges: first, end, first, end, ... of repeated bytes, not merged."""
     found = common.materialize(find_stretches(docs, length))
     kinds = found.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "part", "first", "last", "at")).alias("one"))
     kinds = common.materialize(kinds.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")).filter("n > 1").join(kinds.withColumnRenamed("n", "copies"), "anchor"))
     several = kinds.filter("different > 1")
     shards = max(1, several.count() // SHARD)
-    wanted = several.groupBy(F.col("one.doc").alias("wanted_doc"), F.col("one.part").alias("wanted_part")).agg(F.collect_list(F.struct("anchor", "stretch", "one.first", "one.last", "one.at")).alias("wanted"))
+    wanted = several.groupBy(F.col("one.doc").alias("wanted_doc"), F.col("one.part").alias("wanted_part")).agg(F.collect_list(F.struct("anchor", "stretch", "one.first", "one.last", "one.at", (F.col("different") > hot).alias("hot"))).alias("wanted"))
     rows = docs.join(wanted, docs.doc.eqNullSafe(F.col("wanted_doc")) & (docs.part == F.col("wanted_part")))
     rows = rows.dropDuplicates(["wanted_doc", "wanted_part"]).select("text", "wanted")
-    made = pieces(rows, length, shards).repartition(common.partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", F.desc("piece"), "anchor", "stretch")
+    made = pieces(rows, length, shards).repartition(common.partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", F.desc("piece"), "group", "anchor", "stretch")
     sorted_out = common.materialize(sort_shards(made, length))
     whole = kinds.filter("copies > 1").select("anchor", "stretch", F.lit(None).cast("array<int>").alias("runs"))
     partial = sorted_out.join(kinds.filter("copies > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_anti")
@@ -264,11 +295,11 @@ def merged(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[np.concatenate([[0], cut])], end[np.concatenate([cut - 1, [len(end) - 1]])]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("part"), "text")
-    hit = common.materialize(repeated_ranges(rows, length)).withColumnsRenamed({"doc": "hit_doc", "part": "hit_part"})
+    hit = common.materialize(repeated_ranges(rows, length, hot)).withColumnsRenamed({"doc": "hit_doc", "part": "hit_part"})
     both = rows.join(hit, rows.doc.eqNullSafe(F.col("hit_doc")) & (rows.part == F.col("hit_part")), "left").select("doc", "text", "ranges")
 
     def run(batches):

@@ -227,13 +227,27 @@ def test_suffixes(spark, docs, rows, no_docs, length):
     assert suffix_dedup.remove_repeats(no_docs, length).count() == 0
 
 
-def test_suffixes_of_few_letters(spark):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffixes_of_few_letters(spark, hot):
     rng = random.Random(2)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 300))) * rng.randint(1, 2)) for i in range(60)]
-    got = suffix_dedup.digest(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40))
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, hot))
     assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == brute_bytes(rows, 40)
 
 
+def test_suffixes_of_a_hot_anchor(spark):
+    """A passage in every text, with ends that a few share: split by classes of windows, and as one group."""
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    ends = ["".join(rng.choice("abc") for _ in range(60)) for _ in range(12)]
+    rows = [(i, "".join(rng.choice("abc") for _ in range(20)) + rng.choice(ends)[rng.randint(0, 40) :] + passage + rng.choice(ends)[: rng.randint(5, 60)] + rng.choice("xyz") * 9) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_bytes(rows, 100)
+    for hot in (suffix_dedup.HOT, 20, 1):
+        got = suffix_dedup.digest(suffix_dedup.remove_repeats(docs, 100, hot))
+        assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == want
+
+
 # 5
 
 
