@@ -147,6 +147,25 @@ def zoo(s, d):
     return rounded(robust.compare_to_zoo(b, w, "factor0", list(factors.ZOO)), 6)
 
 
+def zoo_sql() -> str:
+    """The residual on the zoo by taking out one factor after another, each from all that are left, as the regression on all would."""
+    names = list(factors.ZOO)
+    every = ["factor0", *names]
+    text = f"WITH {BARS}, w AS (WITH {x.sql('bars', {'factor0': TREE, **factors.ZOO})}), fw AS (SELECT symbol, date, lead(ret) OVER (PARTITION BY symbol ORDER BY date) AS fwd_ret FROM bars),\n"
+    text += f"s0 AS (SELECT symbol, date, {', '.join(f'{n} - avg({n}) OVER () AS {n}' for n in every)} FROM w WHERE {' AND '.join(f'{n} IS NOT NULL' for n in every)})"
+    for i, z in enumerate(names):
+        left = ["factor0", *names[i + 1 :]]
+        cells = ", ".join(f"{v} - coalesce(sum({v} * {z}) OVER () / nullif(sum({z} * {z}) OVER (), 0), 0) * {z} AS {v}" for v in left)
+        text += f",\ns{i + 1} AS (SELECT symbol, date, {cells} FROM s{i})"
+    rows = " UNION ALL ".join([*[f"SELECT symbol, date, '{n}' AS factor_name, {n} AS factor FROM w" for n in every], f"SELECT symbol, date, 'rest', factor0 FROM s{len(names)}"])
+    text += f""",
+panel AS (SELECT * FROM ({rows}) JOIN fw USING (symbol, date) WHERE factor IS NOT NULL AND fwd_ret IS NOT NULL),
+g AS (SELECT factor_name, avg(ic) / nullif(stddev_samp(ic), 0) AS icir FROM {ic_sql('panel', 'factor_name, date')} GROUP BY factor_name),
+t AS (SELECT max(icir) FILTER (factor_name NOT IN ('factor0', 'rest')) AS z, max(icir) FILTER (factor_name = 'factor0') AS f, max(icir) FILTER (factor_name = 'rest') AS r FROM g)
+SELECT round(z, 6) + 0 AS max_zoo_icir, round(f, 6) + 0 AS composite_icir, round(r, 6) + 0 AS incremental_icir, r > 0 AND r > 0.5 * f AS adds FROM t"""
+    return text
+
+
 def blended(s, d):
     import numpy as np
 
@@ -217,7 +236,7 @@ SELECT symbol, date, round(CASE WHEN have >= 0.3 THEN (coalesce(rev, 0) * 0.5 -
     "train_test_split": (lambda s, d: rounded(robust.train_test(*inputs(s, d)), 8), SPLIT),
     "style_exposure": (style, STYLE),
     "industry_exposure": (lambda s, d: rounded(robust.industry_exposure(inputs(s, d)[1], source.dimensions(s, d))), INDUSTRY),
-    "zoo_comparison": (zoo, None),
+    "zoo_comparison": (zoo, zoo_sql()),
 }
 QUERIES = {k: v[0] for k, v in _ALL.items()}
 ORACLE_SQL = {k: v[1] for k, v in _ALL.items() if v[1] is not None}

@@ -46,15 +46,35 @@ def bars(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     return with_returns(made)
 
 
-_SAVED: dict[tuple[str, str, str], DataFrame] = {}
+#: Bars by application, folder and unit, with the state of the files that they were built from.
+_SAVED: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
+
+
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """Name, time and length of each file of a table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return tuple(sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)))
 
 
 def saved(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
-    """`bars`, built once in an application and kept by its executors, dealt and sorted by symbol; what an executor loses is built again."""
+    """`bars`, built once in an application and kept by its executors, dealt and sorted by symbol; what an executor loses is built again.
+
+    They are built anew when a file of the tables is another than before, and let go by `forget`.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, unit)
-    if key not in _SAVED:
-        _SAVED[key] = bars(spark, sf_dir, unit).persist()
-    return _SAVED[key]
+    state = tuple(files_of(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
+    held = _SAVED.get(key)
+    if held is None or held[0] != state:
+        if held is not None:
+            held[1].unpersist()
+        _SAVED[key] = (state, bars(spark, sf_dir, unit).persist())
+    return _SAVED[key][1]
+
+
+def forget(spark: SparkSession) -> None:
+    """Let go of all bars that this application keeps."""
+    for key in [k for k in _SAVED if k[0] == spark.sparkContext.applicationId]:
+        _SAVED.pop(key)[1].unpersist()
 
 
 def intraday(spark: SparkSession, sf_dir: str, symbol: str = "event_type", floor: float = 0.01) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.operators import sketches, tables, text
+from factorloom.sources import bars as source
 from factorloom.sources import fundamentals
 
 ROWS = [
@@ -71,3 +72,16 @@ def test_quotes_replies_and_statements(spark):
     reports = spark.createDataFrame([("x", day + datetime.timedelta(45), 30.0, 60.0, 3.0)], "symbol string, known date, earnings double, assets double, shares double")
     first, second = fundamentals.valued(bars, reports).orderBy("date").collect()
     assert first.ep is None and (second.ep, second.bp, second.roa) == (pytest.approx(0.5), pytest.approx(1.0), pytest.approx(0.5))
+
+
+def test_bars_follow_their_files(spark, data, tmp_path):
+    for t in ("lineitem", "part"):
+        spark.read.parquet(f"{data}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    first = source.saved(spark, str(tmp_path))
+    n = first.count()
+    assert source.saved(spark, str(tmp_path)) is first
+    spark.read.parquet(f"{data}/lineitem.parquet").filter("l_suppkey <= 5").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    second = source.saved(spark, str(tmp_path))
+    assert second is not first and 0 < second.count() < n and second.select("symbol").distinct().count() <= 6
+    source.forget(spark)
+    assert source.saved(spark, str(tmp_path)) is not second
