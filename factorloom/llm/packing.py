@@ -89,7 +89,8 @@ def _encoder(path: str):
     tokens = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) or r"(?!)")
 
     def ids(how: tiktoken.Encoding, text: str) -> np.ndarray:
-        return np.asarray(how.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        # a list is made faster, but takes many times the memory
+        return np.array(how.encode_ordinary(text), np.uint32) if len(text) < LONG_RUN else np.asarray(how.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
     def stretch(text: str, out: list[np.ndarray]) -> None:
         if len(text) < LONG_RUN:
@@ -113,6 +114,8 @@ def _encoder(path: str):
 
     def encode(text: str) -> np.ndarray:
         out: list[np.ndarray] = [np.empty(0, np.uint32)]
+        if len(text) < LONG_RUN and not any(t in text for t in added):
+            return ids(split, text)
         if any(t in text for t in added):
             if not plain:
                 return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
