@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from factorloom.functions import expr as x
@@ -12,7 +14,7 @@ from factorloom.sources.bars import table
 
 from .base import DIMS_SQL, bars_sql, rounded
 from .combine_queries import NAMES, THREE, wide
-from .eval_queries import PANEL, ic_sql, panel
+from .eval_queries import LS, PANEL, ic_sql, panel
 from .misc_queries import NEGATIVE, POSITIVE, sql_occ
 
 BARS = bars_sql()
@@ -102,7 +104,14 @@ def deflated(s, d):
     n = panel(s, d).select("date").distinct().count()
     walk = robust.walk_forward(source.saved(s, d), panel(s, d).select("symbol", "date", "factor")).agg(F.avg("icir")).first()[0]
     dsr = robust.deflated_sharpe(row["sharpe"] or 0.0, n, 10)
-    return s.createDataFrame([(float(row["sharpe"] or 0.0), n, float(dsr), robust.verdict(walk or 0.0, dsr, False))], "sharpe double, n int, dsr double, verdict string")
+    return rounded(s.createDataFrame([(float(row["sharpe"] or 0.0), n, float(dsr), robust.verdict(walk or 0.0, dsr, False))], "sharpe double, n int, dsr double, verdict string"))
+
+
+#: The normal distribution by its series around 0; the quantile is that of 0.9, for ten trials. Nothing passes that isn't stable.
+DEFLATED = f"""WITH RECURSIVE {LS}, s AS (SELECT coalesce(avg(ls) * sqrt(252) / nullif(stddev_samp(ls), 0), 0) AS sharpe FROM ls), n AS (SELECT count(DISTINCT date)::INT AS n FROM panel),
+z AS (SELECT sharpe, n, (sharpe - {NormalDist().inv_cdf(0.9)!r}::DOUBLE / sqrt(n - 1)) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 + sharpe * sharpe / 2)) AS z FROM s, n),
+t AS (SELECT 0 AS k, z AS term, z AS total FROM z UNION ALL SELECT k + 1, term * z * z / (2 * k + 3), total + term * z * z / (2 * k + 3) FROM t, z WHERE k < 600)
+SELECT round(sharpe, 6) + 0 AS sharpe, n, round(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * total, 6) + 0 AS dsr, 'FAIL' AS verdict FROM z, t WHERE k = 600"""
 
 
 def monitored(s, d):
@@ -133,7 +142,7 @@ _ALL = {
         lambda s, d: rounded(udf.measured(ev.ic_series(panel(s, d)))),
         f"WITH {PANEL}, i AS (SELECT * FROM {ic_sql()}) SELECT round(avg(ic) / stddev_samp(ic) * avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) + 0 AS stability, round(min(ic), 6) + 0 AS worst FROM i",
     ),
-    "deflated_sharpe": (deflated, None),
+    "deflated_sharpe": (deflated, DEFLATED),
     "series_features": (lambda s, d: rounded(encode.series_features(source.saved(s, d), "symbol", "ret")), SERIES),
     "modal_factors": (modes, MODES),
     "lint_findings": (
