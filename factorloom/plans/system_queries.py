@@ -104,6 +104,27 @@ def components(s, d):
     return rounded(s.createDataFrame([(n, i + 1, share[i], abs(load[i]), effective) for i, n in enumerate(NAMES)], "name string, component int, share double, loading double, effective_n double"), 5)
 
 
+def components_sql(squarings: int = 14) -> str:
+    """The correlation matrix squared again and again, made to a trace of 1, is the first component's projection, which is then taken out; and so on."""
+    k = range(len(NAMES))
+    at = lambda i, j: f"coalesce(CASE WHEN count({NAMES[i]} + {NAMES[j]}) >= 30 THEN corr({NAMES[i]}, {NAMES[j]}) END, 0)"
+    cells = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {at(min(i, j), max(i, j))} AS v FROM z" for i in k for j in k if i != j)
+    ones = ", ".join(f"({i}, {i}, 1.0::DOUBLE)" for i in k)
+    text = f"WITH {WIDE}, m0 AS MATERIALIZED ({cells} UNION ALL SELECT * FROM (VALUES {ones}))"
+    for c in k:
+        text += f",\np{c}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM m{c} WHERE i = j) AS v FROM m{c})"
+        for q in range(squarings):
+            text += f",\nq{c}_{q} AS MATERIALIZED (SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM p{c}_{q} AS a JOIN p{c}_{q} AS b ON a.j = b.i GROUP BY a.i, b.j)"
+            text += f",\np{c}_{q + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{c}_{q} WHERE i = j) AS v FROM q{c}_{q})"
+        text += f",\ne{c} AS MATERIALIZED (SELECT {c} AS c, sum(m.v * p.v) AS value FROM m{c} AS m JOIN p{c}_{squarings} AS p ON m.i = p.j AND m.j = p.i)"
+        text += f",\nm{c + 1} AS MATERIALIZED (SELECT m.i, m.j, m.v - value * p.v AS v FROM m{c} AS m JOIN p{c}_{squarings} AS p USING (i, j), e{c})"
+    return text + f""",
+e AS ({' UNION ALL '.join(f'SELECT greatest(value, 0) AS value FROM e{c}' for c in k)}),
+r AS (SELECT row_number() OVER (ORDER BY value DESC) - 1 AS c, value / sum(value) OVER () AS share FROM e), f AS (SELECT 1 / sum(share * share) AS effective FROM r)
+SELECT n.name, (c + 1)::INT AS component, round(share, 5) + 0 AS share, round(sqrt(greatest(p.v, 0)), 5) + 0 AS loading, round(effective, 5) + 0 AS effective_n
+FROM r JOIN (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(NAMES))}) AS n(i, name) ON n.i = c JOIN p0_{squarings} AS p ON p.i = n.i AND p.j = n.i, f"""
+
+
 def evolved(s, d):
     found = search.evolve(source.saved(s, d))
     return s.createDataFrame([(str(t), float(f)) for t, f in found[:5]], "tree string, fitness double")
@@ -160,7 +181,7 @@ _ALL = {
     ),
     "system_dimensions": (analysed("dimensions", 6), DIMENSIONS),
     "system_diversification": (analysed("diversification"), DIVERSIFIED),
-    "principal_components": (components, None),
+    "principal_components": (components, components_sql()),
     "gp_evolution": (evolved, None),
     "gp_islands": (islands, None),
     "screen_levels": (levels, None),
