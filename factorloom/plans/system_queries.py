@@ -80,6 +80,29 @@ def left_out(s, d):
     return rounded(s.createDataFrame(combine.leave_one_out(w, NAMES, icirs(b, w), score), "name string, without double, change double"), 6)
 
 
+def left_out_sql() -> str:
+    """All factors, and all but one: each blend by its own chain of projections, columns made orthonormal one after another."""
+    keeps = {"": NAMES, **{n: [k for k in NAMES if k != n] for n in NAMES}}
+    text = f"""WITH {WIDE}, {FORWARD}, {LONG}, one AS (SELECT * FROM long JOIN fw USING (symbol, date) WHERE factor IS NOT NULL AND fwd_ret IS NOT NULL),
+g AS MATERIALIZED (SELECT factor_name AS name, greatest(0, coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0)) AS v FROM {ic_sql('one', 'factor_name, date')} GROUP BY factor_name),
+r AS MATERIALIZED (SELECT symbol, date, {', '.join(f'coalesce({n}, 0) AS {n}' for n in NAMES)} FROM z)"""
+    parts = []
+    for c, (gone, keep) in enumerate(keeps.items()):
+        weight = lambda n: f"(SELECT CASE WHEN sum(v) > 0 THEN max(v) FILTER (name = '{n}') / sum(v) ELSE {1 / len(keep)!r} END FROM g WHERE name IN ({', '.join(repr(k) for k in keep)}))"  # noqa: B023, E731
+        text += f",\na{c}_0 AS MATERIALIZED (SELECT * FROM r)"
+        for t, n in enumerate(keep):
+            taken = "".join(f" - (SELECT sum(q{j} * {n}) / (sum(q{j} * q{j}) + 1e-12) FROM a{c}_{t}) * q{j}" for j in range(t))
+            text += f",\nb{c}_{t} AS MATERIALIZED (SELECT *, {n}{taken} AS v{t} FROM a{c}_{t})"
+            text += f",\na{c}_{t + 1} AS MATERIALIZED (SELECT *, v{t} / (SELECT sqrt(sum(v{t} * v{t})) + 1e-12 FROM b{c}_{t}) AS q{t} FROM b{c}_{t})"
+        parts.append(f"SELECT '{gone}' AS gone, symbol, date, {' + '.join(f'{weight(n)} * q{t}' for t, n in enumerate(keep))} AS v FROM a{c}_{len(keep)}")
+    return text + f""",
+u AS ({' UNION ALL '.join(parts)}),
+k AS (SELECT gone, symbol, date, (rank() OVER (PARTITION BY gone, date ORDER BY v) + (count(*) OVER (PARTITION BY gone, date, v) - 1) / 2.0) / count(*) OVER (PARTITION BY gone, date) AS factor FROM u),
+{panel_of('k')},
+o AS (SELECT gone, coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0) AS icir FROM {ic_sql(keys='gone, date')} GROUP BY gone)
+SELECT a.gone AS name, round(a.icir, 6) + 0 AS without, round(a.icir - b.icir, 6) + 0 AS change FROM o AS a, o AS b WHERE a.gone <> '' AND b.gone = ''"""
+
+
 def ascended(s, d):
     """Weights after coordinate ascent from equal ones on the ICIR of the ranked blend."""
     b = source.saved(s, d)
@@ -189,7 +212,7 @@ _ALL = {
     "parameter_grid": (tuned, GRID),
     "planted_recovery": (recovery, PLANTED),
     "icir_weights": (icir_weights, ICIR_WEIGHTS),
-    "leave_one_out": (left_out, None),
+    "leave_one_out": (left_out, left_out_sql()),
     "ascended_weights": (ascended, None),
     "fitness_grades": (
         fit_grades,
