@@ -675,7 +675,7 @@ def test_tokens_of_long_runs(run):
     encode, _ = packing.encoder(path)
     for text in (run * 100_000, f"x{run * 100_000}y", f"x {run * 70_000} z{run * 70_000}\n!"):
         assert encode(text).tolist() == packing._library(path).encode(text, add_special_tokens=False).ids
-    for n in (1_000_000, 5_000_000):
+    for n in (1_000_000, 5_000_000) if run in RUNS[:2] + RUNS[4:6] else (1_000_000,):
         ids = encode(run * (n // len(run)))
         assert len(ids) and len({int(x) for x in ids[len(ids) // 4 : len(ids) // 2]}) <= 8
 
