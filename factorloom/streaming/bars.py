@@ -13,8 +13,13 @@ from factorloom.sources.files import scratch
 
 
 def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 16).parquet(sf_dir)
+    """The rows of a table as a stream, whether the table is one file or a folder of files."""
+    path = f"{sf_dir}/{name}.parquet"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 16)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # a stream can't be read from the path of a file
 
 
 def timed(ticks: DataFrame) -> DataFrame:

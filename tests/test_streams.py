@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.operators import store
+from factorloom.plans import index_queries
+from factorloom.sources.bars import table as source_table
 from factorloom.streaming import decay, ingest, joins
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -139,3 +141,14 @@ def test_crash_between_ledger_and_commit(spark, tmp_path):
     crawl._mark = mark
     assert crawl.run("one", ingest.listing(read(spark, path, PAGES), "page", "body"))
     assert crawl.rows("one", "page long, digest string").count() == 2 == crawl.rows("one", "page long, digest string").agg(F.countDistinct("page")).first()[0]
+
+
+def test_tables_that_are_folders_of_files(spark, data, tmp_path):
+    """Streams read a table of several files as they read one of a single file."""
+    names = ("labels", "documents", "events")
+    for name in names:
+        source_table(spark, data, name).repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    key = lambda df: sorted(map(str, df.collect()))
+    for query in (index_queries.QUERIES["crawl_changes"], index_queries.QUERIES["stream_pairs"]):
+        want = key(query(spark, data))
+        assert want and key(query(spark, str(tmp_path))) == want
