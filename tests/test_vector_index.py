@@ -2,6 +2,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,16 @@ def test_upserts_versions_and_crashes(spark, base):
     assert third.version == "two" and third.cells.shape[1] == 4 and third.rows.count() == 260
     none = vector_index.build(v.limit(0), f"{base}/none", "one")
     assert none.rows.count() == 0 and vector_index.opened(spark, f"{base}/missing") is None
+
+
+def test_queries_are_spread_in_bounded_pieces(spark, data, base):
+    """A batch of queries is never copied for all of its cells at once, and not at all where every cell is searched."""
+    rng = np.random.default_rng(5)
+    cells = vector.unit(rng.normal(size=(1500, 4)))
+    batch = pd.DataFrame({"vec_id": range(300), "embedding": list(rng.normal(size=(300, 4)))})
+    frames = list(vector_index.spread(cells, 1000, iter([batch])))
+    assert max(len(f) for f in frames) <= vector_index.SPREAD and sum(len(f) for f in frames) == 300_000
+    v = table(spark, data, "embeddings")
+    index = vector_index.build(v, f"{base}/bounded", "one")
+    plan = vector_index.top_k(index, v, probes=len(index.cells))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan
