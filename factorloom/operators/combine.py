@@ -100,16 +100,21 @@ def blend(wide: DataFrame, names: list[str], weights: np.ndarray, orthogonal: bo
     return rows.select("symbol", "date", linear(names, w).alias("v")).select("symbol", "date", rank_pct(F.col("v"), "date").alias("factor"))
 
 
-def leave_one_out(wide: DataFrame, names: list[str], icirs: dict[str, float], score) -> list[tuple[str, float, float]]:
-    """(name, score without it, change); score: a blended frame -> number."""
-    weights = lambda keep: np.array(list(positive_weights({k: icirs[k] for k in keep}).values()))
-    base = score(blend(wide, names, weights(names)))
-    out = []
-    for n in names:
-        keep = [k for k in names if k != n]
-        without = score(blend(wide, keep, weights(keep)))
-        out.append((n, without, without - base))
-    return out
+def leave_one_out(wide: DataFrame, names: list[str], icirs: dict[str, float], score=None, score_all=None) -> list[tuple[str, float, float]]:
+    """(name, score without it, change); score: a blended frame -> number, or score_all: a frame with a blend a column, and their names -> numbers.
+
+    The products of all factors are summed once, as those of any part of the factors are among them.
+    """
+    rows = wide.select("symbol", "date", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+    g = gram(rows, names)[0]
+    blends = {}
+    for i, gone in enumerate([None, *names]):
+        at = [j for j, k in enumerate(names) if k != gone]
+        w = np.array(list(positive_weights({names[j]: icirs[names[j]] for j in at}).values()))
+        blends[f"b{i:03d}"] = linear([names[j] for j in at], gram_schmidt(g[np.ix_(at, at)]) @ w if len(at) > 1 else w)
+    ranked = rows.select("symbol", "date", *[v.alias(b) for b, v in blends.items()]).select("symbol", "date", *[rank_pct(F.col(b), "date").alias(b) for b in blends])
+    found = score_all(ranked, list(blends)) if score_all else [score(ranked.select("symbol", "date", F.col(b).alias("factor"))) for b in blends]
+    return [(n, v, v - found[0]) for n, v in zip(names, found[1:], strict=True)]
 
 
 def ascend(wide: DataFrame, names: list[str], weights: np.ndarray, score_all, rounds: int = 20, step: float = 0.05) -> np.ndarray:

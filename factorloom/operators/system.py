@@ -36,9 +36,11 @@ def diversification(bars: DataFrame, wide: DataFrame, order: list[str]) -> DataF
     return got.select(F.substring("factor_name", 7, 3).cast("int").alias("n"), "ic", "icir")
 
 
-def analyse(bars: DataFrame, names: list[str], mode: str = "equal") -> dict[str, DataFrame]:
-    """Single factors, composite, correlations and diversification of a system."""
+def analyse(bars: DataFrame, names: list[str], mode: str = "equal", only: str | None = None) -> dict[str, DataFrame]:
+    """Single factors, composite, correlations and diversification of a system; with `only`, at least that part, without the jobs that it doesn't need."""
     wide = matrix(bars, names)
+    if only == "correlation":
+        return {only: combine.correlation_pairs(wide, names)}
     single = ev.batch(bars, wide, names)
     spark = bars.sparkSession
     rows = [(n, factors.LIBRARY[n].category, factors.LIBRARY[n].quality, 1.0) for n in names]

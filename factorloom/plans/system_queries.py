@@ -72,12 +72,15 @@ def icir_weights(s, d):
 
 def left_out(s, d):
     b = source.saved(s, d)
-    w = system.matrix(b, NAMES)
+    w = system.matrix(b, NAMES).persist()
 
-    def score(frame):
-        return ev.ic_summary(ev.ic_series(ev.prepare(b, frame))).first()["icir"] or 0.0
+    def score_all(frame, blends):
+        got = {r["factor_name"]: r["icir"] or 0.0 for r in ev.batch(b, frame, blends).select("factor_name", "icir").collect()}
+        return [got.get(n, 0.0) for n in blends]
 
-    return rounded(s.createDataFrame(combine.leave_one_out(w, NAMES, icirs(b, w), score), "name string, without double, change double"), 6)
+    found = combine.leave_one_out(w, NAMES, icirs(b, w), score_all=score_all)
+    w.unpersist()
+    return rounded(s.createDataFrame(found, "name string, without double, change double"), 6)
 
 
 def left_out_sql() -> str:
@@ -111,7 +114,7 @@ def ascended(s, d):
     def score_all(weightings):
         names = [f"c{i:03d}" for i in range(len(weightings))]
         sums = w.select("symbol", "date", *[combine.linear_filled(NAMES, v).alias(n) for n, v in zip(names, weightings, strict=True)])
-        got = {r["factor_name"]: r["icir"] or 0.0 for r in ev.batch(b, sums.select("symbol", "date", *[rank_pct(F.col(n), "date").alias(n) for n in names]), names).collect()}
+        got = {r["factor_name"]: r["icir"] or 0.0 for r in ev.batch(b, sums.select("symbol", "date", *[rank_pct(F.col(n), "date").alias(n) for n in names]), names).select("factor_name", "icir").collect()}
         return [got.get(n, 0.0) for n in names]
 
     found = combine.ascend(w, NAMES, np.full(len(NAMES), 1 / len(NAMES)), score_all, rounds=5)
@@ -119,7 +122,7 @@ def ascended(s, d):
 
 
 def analysed(part, places=8):
-    return lambda s, d: rounded(system.analyse(source.saved(s, d), NAMES)[part], places)
+    return lambda s, d: rounded(system.analyse(source.saved(s, d), NAMES, only=part)[part], places)
 
 
 def components(s, d):
