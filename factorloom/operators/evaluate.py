@@ -162,9 +162,17 @@ def icir_proxy(bars: DataFrame, factor: DataFrame) -> DataFrame:
 
 
 def batch(bars: DataFrame, factors: DataFrame, names: list[str]) -> DataFrame:
-    """Summary of many factors (columns of one wide table) in one pass: factor_name, ic, rank_ic, icir, ..."""
+    """Summary of many factors (columns of one wide table) in one pass: factor_name, ic, rank_ic, icir, ...
+
+    Ranks cost two sorts of all rows of all factors; a caller that selects columns other than rank_ic is spared them.
+    """
     ret = F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1
     rows = bars.select("symbol", "date", ret.alias("ret")).select("symbol", "date", F.lead("ret").over(by_symbol()).alias("fwd_ret"))
-    long = factors.select("symbol", "date", F.explode(F.array(*[F.struct(F.lit(n).alias("factor_name"), F.col(n).alias("factor")) for n in names])).alias("f")).select("symbol", "date", "f.*")
-    panel = long.join(rows, ["symbol", "date"]).na.drop(subset=["factor", "fwd_ret"])
-    return ic_summary(ic_series(panel, ("factor_name",)), ("factor_name",))
+    return ic_summary(ic_series(unfolded(factors.join(rows, ["symbol", "date"]), names), ("factor_name",)), ("factor_name",))
+
+
+def unfolded(wide: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (symbol, date, fwd_ret and factors) -> symbol, date, fwd_ret, factor_name, factor, without nulls: joins come before this, as it multiplies rows."""
+    each = F.array(*[F.struct(F.lit(n).alias("factor_name"), F.col(n).alias("factor")) for n in names])
+    long = wide.na.drop(subset=["fwd_ret"]).select("symbol", "date", "fwd_ret", F.explode(each).alias("f"))
+    return long.select("symbol", "date", "fwd_ret", "f.*").na.drop(subset=["factor"])

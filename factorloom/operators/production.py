@@ -36,8 +36,7 @@ def focused(bars: DataFrame, trees: dict[str, E], windows: DataFrame | None = No
     wide = x.columns(bars, {k: x.lag(t) for k, t in trees.items()})
     ret = F.try_divide(F.col("close"), F.lag("close").over(ev.by_symbol())) - 1
     ahead = bars.select("symbol", "date", ret.alias("ret")).select("symbol", "date", F.lead("ret").over(ev.by_symbol()).alias("fwd_ret"))
-    each = F.array(*[F.struct(F.lit(n).alias("factor_name"), F.col(n).alias("factor")) for n in trees])
-    rows = wide.select("symbol", "date", F.explode(each).alias("f")).select("symbol", "date", "f.*").join(ahead, ["symbol", "date"]).na.drop(subset=["factor", "fwd_ret"])
+    rows = ev.unfolded(wide.join(ahead, ["symbol", "date"]), list(trees))
     if windows is None:
         series = ev.ic_series(rows, ("factor_name",)).withColumn("weight", F.lit(1.0))
     else:

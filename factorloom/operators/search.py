@@ -83,7 +83,7 @@ def cross(rng: random.Random, a: E, b: E) -> E:
 def fitness(bars: DataFrame, trees: dict[str, E]) -> dict[str, float]:
     """Mean IC of each lagged tree with the next return; WORST where it has none. One job for the whole population."""
     wide = x.columns(bars, {k: x.lag(t) for k, t in trees.items()})
-    got = {r["factor_name"]: r["ic"] for r in ev.batch(bars, wide, list(trees)).collect()}
+    got = {r["factor_name"]: r["ic"] for r in ev.batch(bars, wide, list(trees)).select("factor_name", "ic").collect()}
     return {k: abs(got[k]) if got.get(k) is not None else WORST for k in trees}
 
 
@@ -169,7 +169,7 @@ def beam(bars: DataFrame, wide: DataFrame, names: list[str], width: int = 3, siz
             break
         sums = wide.select("symbol", "date", *[sum((F.coalesce(n, F.lit(0.0)) for n in t), F.lit(0.0)).alias(f"c{i}") for i, t in enumerate(trials)])
         ranked = sums.select("symbol", "date", *[rank_pct(F.col(f"c{i}"), "date").alias(f"c{i}") for i in range(len(trials))])
-        got = {r["factor_name"]: r["icir"] for r in ev.batch(bars, ranked, [f"c{i}" for i in range(len(trials))]).collect()}
+        got = {r["factor_name"]: r["icir"] for r in ev.batch(bars, ranked, [f"c{i}" for i in range(len(trials))]).select("factor_name", "icir").collect()}
         done |= {t: abs(got.get(f"c{i}") or 0.0) for i, t in enumerate(trials)}
         beams = sorted(trials, key=lambda t: (-done[t], t))[: max(width, 3)]
     return sorted(done.items(), key=lambda kv: (-kv[1], kv[0]))
@@ -178,7 +178,7 @@ def beam(bars: DataFrame, wide: DataFrame, names: list[str], width: int = 3, siz
 def grid(bars: DataFrame, make, params: list[dict]) -> list[tuple[dict, float]]:
     """Parameter sets by falling |ICIR|; make(**params) -> tree. All are scored in one job."""
     trees = {f"p{i}": make(**p) for i, p in enumerate(params)}
-    got = {r["factor_name"]: r["icir"] for r in ev.batch(bars, x.columns(bars, trees), list(trees)).collect()}
+    got = {r["factor_name"]: r["icir"] for r in ev.batch(bars, x.columns(bars, trees), list(trees)).select("factor_name", "icir").collect()}
     return sorted(((p, abs(got.get(f"p{i}") or 0.0)) for i, p in enumerate(params)), key=lambda v: -v[1])
 
 

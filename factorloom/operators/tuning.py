@@ -117,5 +117,5 @@ def backtest_scores(bars: DataFrame, factor: DataFrame, params: list[dict[str, f
 def blended_scores(bars: DataFrame, wide: DataFrame, names: list[str], params: list[dict[str, float]]) -> list[float]:
     """|ICIR| of the sum of factors with the weights of each parameter set; one job for all."""
     sums = wide.select("symbol", "date", *[sum((F.coalesce(F.col(n), F.lit(0.0)) * float(p[n]) for n in names), F.lit(0.0)).alias(f"c{i}") for i, p in enumerate(params)])
-    got = {r["factor_name"]: r["icir"] for r in ev.batch(bars, sums, [f"c{i}" for i in range(len(params))]).collect()}
+    got = {r["factor_name"]: r["icir"] for r in ev.batch(bars, sums, [f"c{i}" for i in range(len(params))]).select("factor_name", "icir").collect()}
     return [abs(got[f"c{i}"]) if got.get(f"c{i}") is not None else WORST for i in range(len(params))]
