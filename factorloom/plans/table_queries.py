@@ -100,7 +100,7 @@ GATEWAY = "SELECT user_id, event_id, event_type, value, json_extract_string(prop
 
 def parsers(s, d):
     """Feeds, dates in four forms and quote lines made of orders and parts, read back."""
-    p = table(s, d, "part")
+    p = source.dealt(s, d, "part", "p_partkey")
     feed = F.concat(F.lit("<feed><entry><title>"), "p_name", F.lit("</title><author><name>"), "p_brand", F.lit("</name></author><published>2024-01-02</published></entry><entry><title>"), "p_type", F.lit("</title><author><name>B</name></author><published>2024-03-04</published></entry></feed>"))
     a = p.select("p_partkey", F.inline(text.atom_entries(feed))).toDF("id", "title", "author", "published").select("id", F.lit("atom").alias("kind"), F.concat_ws("|", "title", "author", "published").alias("value"))
     form = F.pmod(F.col("o_orderkey"), F.lit(5))

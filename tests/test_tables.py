@@ -1,9 +1,11 @@
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from factorloom.operators import sketches, tables, text
+from factorloom.plans import table_queries
 from factorloom.sources import bars as source
 from factorloom.sources import fundamentals
 
@@ -85,3 +87,12 @@ def test_bars_follow_their_files(spark, data, tmp_path):
     assert second is not first and 0 < second.count() < n and second.select("symbol").distinct().count() <= 6
     source.forget(spark)
     assert source.saved(spark, str(tmp_path)) is not second
+
+
+def test_costly_rows_are_dealt(spark, data, monkeypatch):
+    """Feeds aren't parsed by the one task that reads a small file."""
+    monkeypatch.setattr(source, "DEALT_BYTES", os.path.getsize(f"{data}/part.parquet") // 9)
+    part = source.dealt(spark, data, "part", "p_partkey")
+    assert part.rdd.getNumPartitions() >= 9 and part.exceptAll(source.table(spark, data, "part")).isEmpty() and part.count() == source.table(spark, data, "part").count()
+    kinds = table_queries.parsers(spark, data).filter("kind != 'date'")
+    assert kinds._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 3
