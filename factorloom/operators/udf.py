@@ -120,11 +120,17 @@ def lint(source: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def lint_batch(batch: pd.Series) -> pd.Series:
+    """`lint` of a batch of sources; equal ones are looked at once."""
+    made = {text: lint(text or "") for text in batch.unique()}
+    return pd.Series([made[text] for text in batch], dtype=object)
+
+
 def findings(source: Column) -> Column:
     """`lint` of a column of sources, in Arrow batches."""
 
     @F.pandas_udf("array<string>")
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda text: lint(text or ""))
+        return lint_batch(batch)
 
     return run(source)

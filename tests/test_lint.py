@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from factorloom.operators import recipes, udf
+from factorloom.plans import extra_queries
 from factorloom.sources import bars
 
 
@@ -82,3 +83,17 @@ def test_demo_equals_pandas(spark, data):
     assert len(got) == len(p)
     for k in want:
         assert np.allclose(got[k].astype(float), got[f"{k}_want"], atol=1e-9, equal_nan=True)
+
+
+def test_equal_sources_are_looked_at_once(monkeypatch):
+    looked, one = [], udf.lint
+    monkeypatch.setattr(udf, "lint", lambda text: (looked.append(text), one(text))[1])
+    bad, good = "def f(df):\n    return df.x.shift(-1)", "def f(df):\n    return df.x.shift(1)"
+    got = udf.lint_batch(pd.Series([bad, good, None, bad, None, good, "("]))
+    assert got.tolist() == [one(t or "") for t in (bad, good, None, bad, None, good, "(")]
+    assert sorted(looked) == sorted({bad, good, "", "("})
+
+
+def test_sources_are_dealt(spark, data):
+    plan = extra_queries.linted(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM")
