@@ -23,6 +23,8 @@ from . import encode, system
 WIDTH, HEADS, SEED, GUARD = 64, 4, 42, 1e-8
 #: Width of sequence encodings, scale of their weights; the seeds of encodings and of scores are 0 and 1.
 SEQUENCE, SCALE = 128, 0.1
+#: Rows that meet a memory at a time; a matrix of them is 2 MB.
+ASKED = 256
 
 
 @cache
@@ -166,10 +168,15 @@ def remembered(memory: DataFrame | None, results: DataFrame, threshold: float =
     return last.withColumn("_at", at).filter(F.col("_at") <= most).drop("_at")
 
 
+def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of frames, ASKED at a time."""
+    return (f.iloc[i : i + ASKED] for f in frames for i in range(0, len(f), ASKED))
+
+
 def recalled(memory: DataFrame, asked: DataFrame, k: int = 1, most: int = 1000, places: int = 6) -> DataFrame:
     """asked (name, encoding) -> name, and for winners and losers the k nearest other entries by cosine (ties by name) as arrays of name and similarity.
 
-    memory has `most` winners and `most` losers at most, so that it goes to every task.
+    memory has `most` winners and `most` losers at most, so that it goes to every task; ASKED rows meet it at a time, whatever the size of a batch.
     """
     rows = memory.select("name", "encoding", "quality").orderBy("name").limit(2 * most + 1).toPandas()
     if len(rows) > 2 * most:
@@ -179,7 +186,7 @@ def recalled(memory: DataFrame, asked: DataFrame, k: int = 1, most: int = 1000,
     kind = dict(asked.dtypes)["name"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in blocks(frames):
             x = np.array(f["encoding"].tolist(), np.float64)
             out = {"name": f["name"].to_numpy()}
             for side, (names, m) in shared.value.items():

@@ -1,6 +1,7 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from factorloom.operators import attention, encode
@@ -82,3 +83,18 @@ def test_memory_evicts_upserts_and_recalls(spark):
     assert attention.advised(attention.recalled(second.limit(0), asked)).filter("advice = 'explore' AND winner IS NULL").count() == 3
     region = {r.dimension: r.region for r in attention.dispersion(second).collect()}
     assert region == {0: "explored", 1: "open"} or region == {0: "open", 1: "explored"}
+
+
+def test_recall_meets_the_memory_in_blocks(spark):
+    """However many rows a batch has, ASKED meet the memory at a time, and what they recall doesn't depend on it."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in rng.normal(size=8)], float(rng.normal()), i) for i in range(600)]
+    seen = spark.createDataFrame(rows, "name long, encoding array<double>, ic double, ts long").coalesce(1)
+    memory = attention.remembered(None, seen).persist()
+    many = seen.selectExpr("name", "encoding", "explode(sequence(0, 9)) AS i").selectExpr("i * 1000 + name AS name", "encoding").coalesce(1)
+    run = lambda frame: {r["name"]: r for r in attention.recalled(memory, frame, k=2).collect()}
+    got, few = run(many), run(many.filter("name < 600"))
+    assert len(got) == 6000 and len(few) == 600 and all(got[k] == few[k] for k in few)
+    memory.unpersist()
+    cut = list(attention.blocks(iter([pd.DataFrame({"n": range(6000)}), pd.DataFrame({"n": []}), pd.DataFrame({"n": [1]})])))
+    assert max(map(len, cut)) == attention.ASKED and sum(map(len, cut)) == 6001
