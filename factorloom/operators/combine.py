@@ -43,12 +43,20 @@ def resolve_weights(members: DataFrame, mode: str = "equal") -> DataFrame:
 
 
 def ic_weighted(wide: DataFrame, ics: dict[str, float], least: float = 0.005) -> DataFrame:
-    """Sum of z-scores weighted by |IC| (below `least`: 0; all 0: equal); missing values count 0."""
+    """Sum of z-scores weighted by |IC| (below `least`: 0; all 0: equal); missing values count 0.
+
+    Means and deviations are a table of one row a date, which goes to the rows; factors without weight aren't read.
+    """
     w = {k: abs(v) if abs(v) >= least else 0.0 for k, v in ics.items()}
     s = sum(w.values())
     w = {k: v / s for k, v in w.items()} if s > 0 else dict.fromkeys(w, 1 / len(w))
-    value = sum((F.coalesce(zscore(F.col(k), eps=1e-12), F.lit(0.0)) * v for k, v in w.items()), F.lit(0.0))
-    return wide.select("symbol", "date", value.alias("factor"))
+    used = {k: v for k, v in w.items() if v}
+    if not used:
+        return wide.select("symbol", "date", F.lit(0.0).alias("factor"))
+    stats = wide.groupBy(F.col("date").alias("_date")).agg(*[f(k).alias(f"_{n}_{k}") for k in used for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    rows = wide.select("symbol", "date", *used).join(F.broadcast(stats), F.col("date").eqNullSafe(F.col("_date")), "left")
+    z = {k: F.try_divide(F.col(k) - F.col(f"_mean_{k}"), F.col(f"_sd_{k}") + 1e-12) for k in used}
+    return rows.select("symbol", "date", sum((F.coalesce(z[k], F.lit(0.0)) * v for k, v in used.items()), F.lit(0.0)).alias("factor"))
 
 
 def synthesize(wide: DataFrame, weights: dict[str, float], least_valid: float = 0.3) -> DataFrame:

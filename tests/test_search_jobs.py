@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from factorloom.functions import expr as x
-from factorloom.operators import combine, production, search, system
+from factorloom.operators import combine, production, search, system, tuning
 from factorloom.operators import evaluate as ev
 from factorloom.sources import bars as source
 
@@ -35,6 +35,27 @@ def test_joins_come_before_unfolding(spark, data):
         assert plan.index("Generate explode") < plan.index("Join")
 
 
+def test_scores_need_no_rows_of_a_date_together(spark, data):
+    """z-scores take a date's mean and deviation from a small table."""
+    b = source.saved(spark, data)
+    wide = x.columns(b, TREES).persist()
+    got = combine.ic_weighted(wide, {"a": 0.04, "b": -0.02})
+    assert "windowspecdefinition(date" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = wide.select("symbol", "date", *[F.coalesce(combine.zscore(F.col(k), eps=1e-12), F.lit(0.0)).alias(k) for k in TREES])
+    want = {(r.symbol, r.date): (r.a * 0.04 + r.b * 0.02) / 0.06 for r in want.collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) and all(abs(r.factor - want[r.symbol, r.date]) < 1e-9 for r in rows)
+    wide.unpersist()
+
+
+def test_trials_share_quantiles_and_ranks(spark, data, monkeypatch):
+    """However many cuts and groups are tried, quantiles are one aggregate a date and tops one ranking."""
+    b = source.saved(spark, data)
+    params = [{"groups": g, "ahead": 1, "cut": 0.01 * g} for g in (3, 4, 5)]
+    seen = plans(spark, monkeypatch, lambda: tuning.backtest_scores(b, x.columns(b, {"factor": TREES["a"]}), params))
+    assert sum(p.count(" percentile(") for p in seen) == 1 and sum(p.count("row_number()") for p in seen) == 1
+
+
 def test_parts_of_a_system_by_themselves(spark, data, monkeypatch):
     b = source.saved(spark, data)
     assert plans(spark, monkeypatch, lambda: system.analyse(b, ["momentum_5d", "turnover_5d"], only="correlation")) == []
