@@ -119,12 +119,18 @@ def long_short_stats(ls: DataFrame) -> DataFrame:
 
 def turnover(rows: DataFrame, share: float = 0.1) -> DataFrame:
     """Mean over dates of the summed weight changes of the equal-weight top `share` by factor; weights count as 0 before a symbol's first row."""
+    return turnovers(rows, {"turnover": share})
+
+
+def turnovers(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """`turnover` of each share, a column a name; one ranking within dates and one pass by symbol serve all."""
     at = F.row_number().over(W.partitionBy("date").orderBy(F.col("factor").desc_nulls_last(), "symbol"))
     n = F.count(F.lit(1)).over(W.partitionBy("date"))
-    k = F.floor(F.greatest(F.lit(1.0), n * share))
-    held = rows.withColumn("w", F.when(at <= k, 1 / k).otherwise(0.0))
-    moved = held.withColumn("d", F.abs(F.col("w") - F.coalesce(F.lag("w").over(by_symbol()), F.lit(0.0))))
-    return moved.groupBy("date").agg(F.sum("d").alias("turn")).agg(F.avg("turn").alias("turnover"))
+    k = {name: F.floor(F.greatest(F.lit(1.0), F.col("_n") * share)) for name, share in shares.items()}
+    placed = rows.select("symbol", "date", at.alias("_at"), n.alias("_n"))
+    held = placed.select("symbol", "date", *[F.when(F.col("_at") <= v, 1 / v).otherwise(0.0).alias(name) for name, v in k.items()])
+    moved = held.select("date", *[F.abs(F.col(c) - F.coalesce(F.lag(c).over(by_symbol()), F.lit(0.0))).alias(c) for c in shares])
+    return moved.groupBy("date").agg(*[F.sum(c).alias(c) for c in shares]).agg(*[F.avg(c).alias(c) for c in shares])
 
 
 def turnover_by_rank(rows: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.cross import winsorize
+from factorloom.functions.cross import winsorize  # noqa: F401
 
 from . import evaluate as ev
 
@@ -97,20 +97,26 @@ BACKTEST = {"groups": Range(3, 10, True), "ahead": Range(1, 5, True), "cut": Ran
 
 
 def backtest_scores(bars: DataFrame, factor: DataFrame, params: list[dict[str, float]]) -> list[float]:
-    """ICIR of the factor, cut within dates, with the return of the bar `ahead`, less a hundredth of the turnover of the top group; one job for all."""
+    """ICIR of the factor, cut within dates, with the return of the bar `ahead`, less a hundredth of the turnover of the top group; one job for all.
+
+    The quantiles of all cuts are one aggregate, of a row a date, which goes to the rows; the tops of all numbers of groups come from one ranking.
+    """
     later = sorted({int(p["ahead"]) for p in params})
     panel = bars.select("symbol", "date", F.try_divide(F.col("close"), F.lag("close").over(ev.by_symbol())).alias("r"))
     panel = panel.select("symbol", "date", *[(F.lead("r", h).over(ev.by_symbol()) - 1).alias(f"ahead{h}") for h in later]).join(factor.select("symbol", "date", "factor"), ["symbol", "date"])
-    cut = panel.select("*", *[winsorize(F.col("factor"), float(p["cut"])).alias(f"cut{i}") for i, p in enumerate(params)])
+    at = sorted({q for p in params for q in (float(p["cut"]), 1 - float(p["cut"]))})
+    edges = panel.groupBy(F.col("date").alias("_date")).agg(F.percentile("factor", F.array(*[F.lit(q) for q in at])).alias("_edges"))
+    panel = panel.join(F.broadcast(edges), F.col("date") == F.col("_date"))
+    edge = lambda q: F.get("_edges", at.index(q))
+    clipped = lambda c: F.when(F.col("factor").isNotNull(), F.greatest(edge(c), F.least(edge(1 - c), F.col("factor"))))
+    cut = panel.select("symbol", "date", *[f"ahead{h}" for h in later], *[clipped(float(p["cut"])).alias(f"cut{i}") for i, p in enumerate(params)])
     each = F.array(*[F.struct(F.lit(i).alias("trial"), F.col(f"cut{i}").alias("factor"), F.col(f"ahead{int(p['ahead'])}").alias("fwd_ret")) for i, p in enumerate(params)])
     long = cut.select("symbol", "date", F.explode(each).alias("t")).select("symbol", "date", "t.*").na.drop(subset=["factor", "fwd_ret"])
     got = ev.ic_summary(ev.ic_series(long, ("trial",)), ("trial",)).select("trial", "icir")
-    moved = None
-    for q in sorted({int(p["groups"]) for p in params}):
-        one = ev.turnover(factor.na.drop(subset=["factor"]), 1 / q).select(F.lit(q).alias("groups"), "turnover")
-        moved = one if moved is None else moved.unionByName(one)
+    groups = sorted({int(p["groups"]) for p in params})
+    moved = ev.turnovers(factor.na.drop(subset=["factor"]), {f"g{q}": 1 / q for q in groups})
     icir = {r["trial"]: r["icir"] for r in got.collect()}
-    turn = {r["groups"]: r["turnover"] or 0.0 for r in moved.collect()}
+    turn = {q: r[f"g{q}"] or 0.0 for r in moved.collect() for q in groups}
     return [(icir[i] if icir.get(i) is not None else WORST) - 0.01 * turn[int(p["groups"])] for i, p in enumerate(params)]
 
 
