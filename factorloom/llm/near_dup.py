@@ -12,7 +12,7 @@ largest buckets, which of a family of copies is the text they were made from; th
 rounds, texts of buckets that still hold several classes are compared with the most typical and with a drawn text of other classes, as long as
 that finds a link for one in PAYS pairs. What is left is settled exactly: in a bucket with few pairs across classes all
 of them are aligned; the texts of others are dealt anew by their rarest shingles, of which two texts of SIMILARITY must
-share one, and classes that meet there are compared by drawn texts first. So any two candidates end in one class, or were aligned, or can't align. Candidates that agree on fewer than
+share one, and where many pairs meet there, classes are compared by drawn texts first. So any two candidates end in one class, or were aligned, or can't align. Candidates that agree on fewer than
 AGREE tuples are not aligned. Classes are the components of all links.
 
 Defined results: a null text counts as empty; texts of under five words have one shingle of all their words;
@@ -47,6 +47,10 @@ DRAWN = 4
 WORTH = 0.2
 #: Pairs across classes up to which a bucket is aligned as it is, without a look at its rarest shingles.
 FEW_PAIRS = 16
+#: Links up to which components and roots are found in one partition.
+FEW_LINKS = 65536
+#: Pairs ahead for each text, on average and once for each key they meet under, up to which all are compared at once: a round of draws costs more there.
+PER_TEXT = 64
 #: Sizes of texts that meet by rarest shingles are dealt in bands of this ratio.
 BAND = 1.04
 SEEDS = codes.mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -151,7 +155,8 @@ def digest():
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) digests, texts (digest, text, keys) -> those pairs that are candidates and align."""
+    """(a, b, ...) distinct pairs of digests, texts (digest, text, keys) -> those rows of pairs that are candidates and align."""
+    names = pairs.columns
 
     def run(batches):
         held: OrderedDict[str, np.ndarray] = OrderedDict()
@@ -166,38 +171,49 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         for b in batches:
             ok = [aligned(of(x.as_py(), s.as_py()), of(y.as_py(), t.as_py())) >= SIMILARITY - 1e-12 for x, y, s, t in zip(b.column("a"), b.column("b"), b.column("text_a"), b.column("text_b"), strict=True)]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+            yield b.select(names).filter(pa.array(ok, pa.bool_()))
 
-    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"), F.col("keys").alias("keys_a"))
-    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"), F.col("keys").alias("keys_b"))
-    return pairs.join(right, "b").join(left, "a").filter(alike("keys_a", "keys_b")).select("a", "b", "text_a", "text_b").transform(common.small_batches).mapInArrow(run, "a string, b string")
+    # a row for each text of a pair, so that only the texts that a pair needs are brought together
+    wanted = pairs.withColumn("digest", F.explode(F.array("a", "b")))
+    of_side = lambda c, x: F.first(F.when(F.col("digest") == F.col(x), F.col(c)), ignorenulls=True).alias(f"{c}_{x}")
+    met = texts.join(wanted, "digest").groupBy(*names).agg(*[of_side(c, x) for c in ("text", "keys") for x in ("a", "b")])
+    met = met.filter(alike("keys_a", "keys_b")).select(*names, "text_a", "text_b")
+    return met.transform(common.small_batches).mapInArrow(run, ", ".join(f"{n} {kind}" for n, kind in pairs.dtypes))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) -> node, label: the least node of its component. Labels spread to neighbours and jump to their label's label until none changes."""
-    both = common.materialize(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    """(a, b) -> node, label: the least node of its component. Labels spread to neighbours and jump to their label's label until none changes.
+
+    Up to FEW_LINKS links are read as one partition, which is grouped and joined where it is, without an exchange.
+    """
+    few = links.count() <= FEW_LINKS
+    read = lambda df: df.coalesce(1) if few else df
+    both = common.materialize(read(links.select("a", "b").union(links.select("b", "a"))).distinct())
+    held = common.materialize(read(both).groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        labels = read(held.select("node", "label"))
+        near = read(both).join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = common.materialize(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = common.materialize(spread.join(jump, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("old")).alias("moved")))
+        jump = read(spread.select(F.col("node").alias("label"), F.col("label").alias("far")))
+        after = common.materialize(read(spread).join(jump, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("old")).alias("moved")))
         common.release(spread)
-        common.release(labels)
-        labels = after.select("node", "label")
-        labels._factorloom_path = after._factorloom_path
+        common.release(held)
+        held = after
         if after.filter("moved").isEmpty():
             common.release(both)
+            labels = after.select("node", "label")
+            labels._factorloom_path = after._factorloom_path
             return labels
 
 
 def forest(parents: DataFrame) -> DataFrame:
     """(node, parent), each node at most once and no cycle -> node, label: the root above each node. Every pass doubles the reach."""
     up = common.materialize(parents)
+    few = up.count() <= FEW_LINKS
+    read = lambda df: df.coalesce(1) if few else df
     while True:
-        above = up.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
-        after = common.materialize(up.join(above, "parent", "left").select("node", F.coalesce("far", "parent").alias("parent"), F.col("far").isNotNull().alias("moved")))
+        above = read(up).select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+        after = common.materialize(read(up).join(above, "parent", "left").select("node", F.coalesce("far", "parent").alias("parent"), F.col("far").isNotNull().alias("moved")))
         common.release(up)
         path = after._factorloom_path
         up = after.select("node", "parent")
@@ -219,45 +235,46 @@ def place(members: DataFrame, labels: DataFrame) -> DataFrame:
 def joined(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, int]:
     """Aligns pairs (a, b, label_a, label_b): (label, joined) of the classes that links join, or None if there is none, and the number of pairs."""
     tried = pairs.count()
-    found = common.materialize(verify(pairs.select("a", "b"), texts)) if tried else None
-    if found is None or found.isEmpty():
+    links = common.materialize(verify(pairs, texts).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))) if tried else None
+    if links is None or links.isEmpty():
         return None, tried
-    links = common.materialize(found.join(pairs, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
     out = components(links).select(F.col("node").alias("label"), F.col("label").alias("joined"))
-    common.release(found)
     common.release(links)
     return out, tried
 
 
 def linked(placed: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int, int]:
-    """The labels (node, label) of placed with the classes joined that links between pairs join, the number of pairs, the number of classes joined."""
+    """placed with the classes joined that links between pairs join, the number of pairs, the number of classes joined."""
     changed, tried = joined(pairs, texts)
     if changed is None:
-        return placed.select(F.col("digest").alias("node"), "label"), tried, 0
-    labels = placed.select("digest", "label").join(changed, "label", "left")
-    return common.materialize(labels.select(F.col("digest").alias("node"), F.coalesce("joined", "label").alias("label"))), tried, changed.count()
+        return placed, tried, 0
+    after = placed.join(changed, "label", "left").select("digest", "weight", "keys", F.coalesce("joined", "label").alias("label"))
+    return common.materialize(after), tried, changed.count()
 
 
 def rarest(texts: DataFrame) -> DataFrame:
-    """(digest, text) -> digest, n (shingles), key, at: the shingles of which any two of these texts that align must share one, and their places.
+    """(digest, label, text) -> digest, label, n (shingles), key, at: the shingles of which any two of these texts that align must share one, and their places.
 
     With all shingles in one order, texts that share a part s of each's shingles share one of the first n - ceil(s n) + 1.
     The order is by the number of these texts that hold a shingle, so that a passage in many of them comes last;
-    shingles that only one text holds take their places, but are not returned.
+    shingles that only texts of one label hold take their places, but are not returned.
     """
 
     def run(batches):
         for b in batches:
             made = [shingles(t.as_py()).view(np.int64) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(made, pa.list_(pa.int64()))], ["digest", "marks"])
-
-    held = common.materialize(texts.select("digest", "text").transform(common.small_batches).mapInArrow(run, "digest string, marks array<long>"))
-    marks = held.select("digest", F.size("marks").alias("n"), F.explode("marks").alias("key"))
-    counts = common.materialize(marks.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
-    shared = marks.join(counts, "key").groupBy("digest").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "key"))).alias("shared"))
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("label"), pa.array(made, pa.list_(pa.int64()))], ["digest", "label", "marks"])
+
+    held = common.materialize(texts.select("digest", "label", "text").transform(common.small_batches).mapInArrow(run, "digest string, label string, marks array<long>"))
+    marks = held.select("digest", F.xxhash64("label").alias("label"), F.size("marks").alias("n"), F.explode("marks").alias("key"))
+    # shingles of one label's texts only, which bring no classes together, count like those of one text: they come first, uncounted
+    counts = marks.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("low"), F.max("label").alias("high"))
+    counts = common.materialize(counts.filter("low != high").select("key", "held"))
+    shared = marks.select("digest", "n", "key").join(counts, "key").groupBy("digest").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "key"))).alias("shared"))
     first = F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY) - F.lit(1e-6)) + 1
     left = F.greatest(F.lit(0), first - (F.col("n") - F.size("shared"))).cast("int")
-    return shared.select("digest", "n", (F.col("n") - F.size("shared")).alias("alone"), F.posexplode(F.slice("shared", F.lit(1), left)).alias("i", "mark")).select("digest", "n", F.col("mark.key").alias("key"), (F.col("alone") + F.col("i")).alias("at"))
+    shared = shared.filter(left > 0).join(held.select("digest", "label"), "digest")
+    return shared.select("digest", "label", "n", (F.col("n") - F.size("shared")).alias("alone"), F.posexplode(F.slice("shared", F.lit(1), left)).alias("i", "mark")).select("digest", "label", "n", F.col("mark.key").alias("key"), (F.col("alone") + F.col("i")).alias("at"))
 
 
 def by_size(marks: DataFrame) -> DataFrame:
@@ -274,7 +291,7 @@ def by_size(marks: DataFrame) -> DataFrame:
     rows = marks.withColumns({"as_small": F.when(most >= n, F.sequence(band(n), band(over))).otherwise(none), "as_large": F.when(most >= least, F.sequence(band(least), band(F.least(most, n)))).otherwise(none)})
     small = rows.withColumn("other", F.explode("as_small")).withColumn("large", F.lit(False)).withColumn("key", F.xxhash64("key", band(n), "other"))
     large = rows.withColumn("other", F.explode("as_large")).withColumn("large", F.lit(True)).withColumn("key", F.xxhash64("key", "other", band(n)))
-    return small.unionByName(large).select("key", "digest", "large", "n", "at")
+    return small.unionByName(large).select("key", "digest", "label", "large", "n", "at")
 
 
 def meeting(placed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -289,8 +306,8 @@ def meeting(placed: DataFrame, texts: DataFrame) -> DataFrame:
     mixed = common.materialize(sizes.groupBy("key").agg((many / 2).alias("pairs")).filter("pairs > 0"))
     near = rows.join(mixed.filter(F.col("pairs") <= FEW_PAIRS), "key", "left_semi")
     near = near.select("key", "digest", "label", F.explode(F.array(F.lit(False), F.lit(True))).alias("large"), F.lit(0).alias("n"), F.lit(0).alias("at"))
-    hot = rows.join(mixed.filter(F.col("pairs") > FEW_PAIRS), "key", "left_semi").select("digest").distinct()
-    far = by_size(rarest(texts.join(hot, "digest", "left_semi"))).join(placed.select("digest", "label"), "digest")
+    hot = rows.join(mixed.filter(F.col("pairs") > FEW_PAIRS), "key", "left_semi").select("digest", "label").distinct()
+    far = by_size(rarest(texts.join(hot, "digest")))
     rows = near.unionByName(far.select("key", "digest", "label", "large", "n", "at"))
     most = (F.col("n") - F.col("at")) * F.lit((1 + SIMILARITY) / SIMILARITY) - F.col("n") + F.lit(1e-5)
     out = common.materialize(rows.select("key", "digest", "label", "large", "n", most.alias("most")))
@@ -312,42 +329,60 @@ def fitting(a: str, b: str):
 def settle(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """(digest, keys, label) -> node, label, with all links between candidates of different classes; only pairs that can't align aren't aligned.
 
-    In rounds, classes that meet under a key are compared by drawn texts. A link joins two classes, whose other texts then needn't meet; rounds
-    go on while they save a good share of the pairs ahead. Then all texts of the classes that still meet are compared. Tables of a round
-    are deleted with it.
+    While more than PER_TEXT pairs a text are ahead, classes that meet under a key are compared by drawn texts, in rounds. A link joins two classes,
+    whose other texts then needn't meet; rounds go on while they can save and do save a good share of the pairs ahead. Then all texts of the classes that still meet are compared. Tables of a
+    round are deleted with it.
     """
     base = meeting(placed, texts)
     names = placed.select(F.col("label").alias("old"), "label").distinct()  # a class's label before and after
+    one = F.struct("digest", "n", "most")
+    renamed = False
+
+    def after(changed):
+        return common.materialize(names.join(changed, "label", "left").select("old", F.coalesce("joined", "label").alias("label")))
+
+    def compared(pairs):
+        """Links between those of pairs (a, b structs, label_a, label_b) that are candidates, by their keys."""
+        pairs = pairs.filter(fitting("a", "b")).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b"), "label_a", "label_b").distinct()
+        keys_a, keys_b = (placed.select(F.col("digest").alias(x), F.col("keys").alias(f"keys_{x}")) for x in "ab")
+        pairs = common.materialize(pairs.join(keys_a, "a").join(keys_b, "b").filter(alike("keys_a", "keys_b")).select("a", "b", "label_a", "label_b"))
+        changed, tried = joined(pairs, texts)
+        common.release(pairs)
+        return changed, tried
+
+    enough = PER_TEXT * placed.count()
     before = tried = 0
     for k in count(1):
-        renamed = names.filter("old != label").withColumnRenamed("label", "new")
-        rows = base.join(renamed, base.label == renamed.old, "left").select("key", "digest", F.coalesce("new", "label").alias("label"), "large", "n", "most")
+        rows = base
+        if renamed:
+            rows = base.join(names.filter("old != label").withColumnRenamed("label", "new"), base.label == F.col("old"), "left").select("key", "digest", F.coalesce("new", "label").alias("label"), "large", "n", "most")
         # by pairs of classes, so that texts of one class never meet; a class stands for its smallest text and its farthest reach
-        one = F.struct("digest", "n", "most")
-        some = F.array_distinct(F.array(*[F.min_by(one, F.xxhash64("digest", "key", F.lit(DRAWN * k + i))) for i in range(DRAWN)]))
-        kinds = common.materialize(rows.groupBy("key", "label", "large").agg(F.min("n").alias("least"), F.max("most").alias("reach"), F.count(F.lit(1)).alias("held"), some.alias("some")))
-        left, right = sides(kinds, ["least", "reach", "held", "some"])
+        kinds = common.materialize(rows.groupBy("key", "label", "large").agg(F.min("n").alias("least"), F.max("most").alias("reach"), F.count(F.lit(1)).alias("held")))
+        left, right = sides(kinds, ["least", "reach", "held"])
         apart = common.materialize(left.join(right, "key").filter("label_a != label_b AND least_a <= reach_b AND least_b <= reach_a"))
         common.release(kinds)
-        ahead = apart.agg(F.sum(F.col("held_a") * F.col("held_b"))).first()[0] or 0
-        if not ahead or (k > 1 and before - ahead < max(tried, WORTH * before)):
+        few = F.least("held_a", F.lit(DRAWN)) * F.least("held_b", F.lit(DRAWN))
+        ahead, drawn = apart.agg(F.sum(F.col("held_a") * F.col("held_b")), F.sum(few)).first()
+        if not ahead or ahead <= enough or ahead - drawn < WORTH * ahead or (k > 1 and before - ahead < max(tried, WORTH * before)):
             break
-        drawn = apart.select("label_a", "label_b", F.explode("some_a").alias("a"), "some_b").select("label_a", "label_b", "a", F.explode("some_b").alias("b"))
-        pairs = common.materialize(drawn.filter(fitting("a", "b")).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b"), "label_a", "label_b").distinct())
-        changed, tried = joined(pairs, texts)
-        common.release(pairs)
+        some = F.array_distinct(F.array(*[F.min_by(one, F.xxhash64("digest", "key", F.lit(DRAWN * k + i))) for i in range(DRAWN)]))
+        left, right = sides(rows.join(apart.select("key").distinct(), "key", "left_semi").groupBy("key", "label", "large").agg(some.alias("some")), ["some"])
+        stood = apart.select("key", "label_a", "label_b").join(left, ["key", "label_a"]).join(right, ["key", "label_b"])
+        changed, tried = compared(stood.select("label_a", "label_b", F.explode("some_a").alias("a"), "some_b").select("label_a", "label_b", "a", F.explode("some_b").alias("b")))
         common.release(apart)
         if changed is not None:
-            names = common.materialize(names.join(changed, "label", "left").select("old", F.coalesce("joined", "label").alias("label")))
+            names, renamed = after(changed), True
         before = ahead
-    left, right = sides(rows.withColumn("one", one), ["one"])
-    near = apart.select("key", "label_a", "label_b", "least_b", "reach_b").join(left, ["key", "label_a"]).filter("one_a.n <= reach_b AND least_b <= one_a.most")
-    pairs = near.join(right, ["key", "label_b"]).filter(fitting("one_a", "one_b"))
-    pairs = common.materialize(pairs.select(F.col("one_a.digest").alias("a"), F.col("one_b.digest").alias("b"), "label_a", "label_b").distinct())
+    if ahead:
+        left, right = sides(rows.withColumn("one", one), ["one"])
+        near = apart.select("key", "label_a", "label_b", "least_b", "reach_b").join(left, ["key", "label_a"]).filter("one_a.n <= reach_b AND least_b <= one_a.most")
+        changed, _ = compared(near.join(right, ["key", "label_b"]).select("label_a", "label_b", F.col("one_a").alias("a"), F.col("one_b").alias("b")))
+        if changed is not None:
+            names, renamed = after(changed), True
+    common.release(apart)
     common.release(base)
-    changed, _ = joined(pairs, texts)
-    if changed is not None:
-        names = names.join(changed, "label", "left").select("old", F.coalesce("joined", "label").alias("label"))
+    if not renamed:
+        return placed.select(F.col("digest").alias("node"), "label")
     return common.materialize(placed.select("digest", "label").join(names.withColumnRenamed("label", "new"), F.col("label") == F.col("old")).select(F.col("digest").alias("node"), F.col("new").alias("label")))
 
 
@@ -369,8 +404,8 @@ def labelled(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     best = rows.join(centres, "key").filter("digest != centre.digest").groupBy("digest").agg(F.first("keys").alias("keys"), F.max("centre").alias("centre"))
     pairs = best.filter(alike("keys", "centre.keys")).select(F.col("digest").alias("a"), F.col("centre.digest").alias("b"))
     labels = forest(verify(pairs, texts).select(F.col("a").alias("node"), F.col("b").alias("parent")))
+    placed = place(members, labels)
     for k in count(1):
-        placed = place(members, labels)
         rows = placed.select("digest", "label", "keys", F.explode("keys").alias("key"), "weight")
         # a bucket with several classes: every text is compared with drawn texts of classes not its own
         one = F.struct("digest", "label", "keys")
@@ -380,12 +415,11 @@ def labelled(docs: DataFrame, sketched: DataFrame) -> DataFrame:
         pairs = rows.join(drawn, "key").filter((F.col("label") != F.col("centre.label")) & alike("keys", "centre.keys"))
         pairs = pairs.select(F.col("digest").alias("a"), F.col("centre.digest").alias("b"), F.col("label").alias("label_a"), F.col("centre.label").alias("label_b")).distinct()
         pairs = common.materialize(pairs)
-        labels, tried, found = linked(placed, pairs, texts)
+        placed, tried, found = linked(placed, pairs, texts)
         common.release(drawn)
         common.release(pairs)
         if found * PAYS <= tried:
             break
-    placed = place(members, labels)
     return settle(placed, texts)
 
 

@@ -544,6 +544,53 @@ def test_near_copies_that_share_a_passage_with_all_others(spark, monkeypatch, fe
     assert got == {d: d - d % 2 if alike[d // 2] else d for d, _ in rows}
 
 
+@pytest.mark.parametrize(("per_text", "worth", "once"), [(10**6, 0.2, True), (0, -1, False)])
+def test_texts_that_meet_in_few_pairs_are_compared_once(spark, monkeypatch, per_text, worth, once):
+    """Three families share a passage, nine texts of each are one class before; draws are made only where more pairs are ahead than PER_TEXT a text."""
+    monkeypatch.setattr(near_dup, "FEW_PAIRS", 0)
+    monkeypatch.setattr(near_dup, "PER_TEXT", per_text, raising=False)
+    monkeypatch.setattr(near_dup, "WORTH", worth)
+    words = lambda name, n: " ".join(f"{name}x{i}" for i in range(n))
+    texts = [" ".join([words("all", 100), words(f"own{f}", 20), words(f"end{f}of{j}", 2 + f)]) for f in range(3) for j in range(12)]
+    rows = [(f"d{i:02d}", f"l{i // 12}" if i % 12 < 9 else f"o{i:02d}", t, near_dup.tuples(near_dup.shingles(t)), 1) for i, t in enumerate(texts)]
+    placed = spark.createDataFrame(rows, "digest string, label string, text string, keys array<long>, weight long")
+    tried, joined = [], near_dup.joined
+    monkeypatch.setattr(near_dup, "joined", lambda *a: tried.append(1) or joined(*a))
+    got = dict(map(tuple, near_dup.settle(placed.drop("text"), placed.select("digest", "text", "keys")).collect()))
+    s = [near_dup.shingles(t) for t in texts]
+    group = list(range(len(s)))
+    for i in range(len(s)):
+        for j in range(i):
+            if group[i] != group[j] and (rows[i][1] == rows[j][1] or len(set(rows[i][3]) & set(rows[j][3])) >= near_dup.AGREE and near_dup.aligned(s[i], s[j]) >= near_dup.SIMILARITY):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {frozenset(f"d{i:02d}" for i, g in enumerate(group) if g == x) for x in group}
+    assert {frozenset(d for d, x in got.items() if x == label) for label in got.values()} == want
+    assert (len(tried) == 1) == once
+
+
+def test_shingles_of_one_class_are_not_returned(spark):
+    """Texts of one class share `own`; all share `passage`. Own shingles come first and fill the places that must be looked at."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(f"d{f}{j}", f"c{f}", f"{words(f'own{f}x', 60)} {words('passage', 60)}") for f in (0, 1) for j in (0, 1)]
+    rows += [("d2", "c2", f"{words('other', 10)} {words('passage', 60)}"), ("d3", "c3", words("passage", 60))]
+    got = near_dup.rarest(spark.createDataFrame(rows, "digest string, label string, text string")).collect()
+    assert {r.digest for r in got} == {"d2", "d3"} and {r.label for r in got} == {"c2", "c3"}
+    shared = set(near_dup.shingles(words("passage", 60)).view(np.int64).tolist())
+    assert all(r.key in shared for r in got)
+
+
+def test_few_links_need_no_exchange(spark):
+    edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(9)], "a string, b string")
+    out, seen, write = [], [], common.materialize
+    try:
+        common.materialize = lambda df, *a: seen.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a)
+        out = near_dup.components(edges).collect()
+    finally:
+        common.materialize = write
+    assert {r.label for r in out} == {"000"} and len(out) == 10
+    assert seen and not any("hashpartitioning" in p for p in seen)
+
+
 def test_chains_of_near_copies(spark):
     """12 chains of 30 texts with 6 of 300 words changed from one to the next: every class is a chain, and no link between candidates is lost."""
     rng, rows = random.Random(8), []
