@@ -12,7 +12,8 @@ largest buckets, which of a family of copies is the text they were made from; th
 rounds, texts of buckets that still hold several classes are compared with the most typical and with a drawn text of other classes, as long as
 that finds a link for one in PAYS pairs. What is left is settled exactly: in a bucket with few pairs across classes all
 of them are aligned; the texts of others are dealt anew by their rarest shingles, of which two texts of SIMILARITY must
-share one, and where many pairs meet there, classes are compared by drawn texts first. So any two candidates end in one class, or were aligned, or can't align. Candidates that agree on fewer than
+share one, and where many pairs meet there, classes are compared by drawn texts first. Outlines (parities of hashed shingles) bound from below
+how many shingles only one of two texts has, so that most pairs that can't align are never made. So any two candidates end in one class, or were aligned, or can't align. Candidates that agree on fewer than
 AGREE tuples are not aligned. Classes are the components of all links.
 
 Defined results: a null text counts as empty; texts of under five words have one shingle of all their words;
@@ -53,6 +54,8 @@ FEW_LINKS = 65536
 PER_TEXT = 64
 #: Sizes of texts that meet by rarest shingles are dealt in bands of this ratio.
 BAND = 1.04
+#: 64-bit words of a text's outline. It excludes most pairs of less than 0.7 up to about 400 shingles, and few of texts of over 1,000.
+WORDS = 8
 SEEDS = codes.mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -106,6 +109,12 @@ def tuples(s: np.ndarray) -> list[int]:
     return codes.mix64(out).view(np.int64).tolist()
 
 
+def outline(s: np.ndarray) -> list[int]:
+    """WORDS 64-bit words: the parity of the number of shingles at each of their bits. Two outlines differ in no more bits than shingles that only one text has."""
+    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """m / (len(a) + len(b) - m), m shingles matched in order within the band that a similarity of `least` leaves.
 
@@ -252,20 +261,26 @@ def linked(placed: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataF
     return common.materialize(after), tried, changed.count()
 
 
-def rarest(texts: DataFrame) -> DataFrame:
-    """(digest, label, text) -> digest, label, n (shingles), key, at: the shingles of which any two of these texts that align must share one, and their places.
+def shingled(texts: DataFrame) -> DataFrame:
+    """(digest, label, text) -> digest, label, marks (shingles), outline."""
+
+    def run(batches):
+        for b in batches:
+            made = [shingles(t.as_py()) for t in b.column("text")]
+            marks, lines = pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64())), pa.array([outline(s) for s in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("label"), marks, lines], ["digest", "label", "marks", "outline"])
+
+    return common.materialize(texts.select("digest", "label", "text").transform(common.small_batches).mapInArrow(run, "digest string, label string, marks array<long>, outline array<long>"))
+
+
+def rarest(texts: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(digest, label, text), or held by `shingled` -> digest, label, n (shingles), key, at: the shingles of which any two of these texts that align must share one, and their places.
 
     With all shingles in one order, texts that share a part s of each's shingles share one of the first n - ceil(s n) + 1.
     The order is by the number of these texts that hold a shingle, so that a passage in many of them comes last;
     shingles that only texts of one label hold take their places, but are not returned.
     """
-
-    def run(batches):
-        for b in batches:
-            made = [shingles(t.as_py()).view(np.int64) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("label"), pa.array(made, pa.list_(pa.int64()))], ["digest", "label", "marks"])
-
-    held = common.materialize(texts.select("digest", "label", "text").transform(common.small_batches).mapInArrow(run, "digest string, label string, marks array<long>"))
+    held = shingled(texts) if held is None else held
     marks = held.select("digest", F.xxhash64("label").alias("label"), F.size("marks").alias("n"), F.explode("marks").alias("key"))
     # shingles of one label's texts only, which bring no classes together, count like those of one text: they come first, uncounted
     counts = marks.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -295,10 +310,10 @@ def by_size(marks: DataFrame) -> DataFrame:
 
 
 def meeting(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(digest, keys, label) -> key, digest, label, large, n, most: any two texts of different classes that are candidates and can align have a key in common.
+    """(digest, keys, label) -> key, digest, label, large, n, most, outline: any two texts of different classes that are candidates and can align have a key in common.
 
     Those of a bucket with few pairs have its key; those of others are dealt by their rarest shingles. most is the size up to which another text
-    can align with this one.
+    can align with this one. Keys under which no two classes meet are left out; texts that have the key of a bucket have no outline.
     """
     rows = placed.select("digest", "label", "keys", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -307,11 +322,17 @@ def meeting(placed: DataFrame, texts: DataFrame) -> DataFrame:
     near = rows.join(mixed.filter(F.col("pairs") <= FEW_PAIRS), "key", "left_semi")
     near = near.select("key", "digest", "label", F.explode(F.array(F.lit(False), F.lit(True))).alias("large"), F.lit(0).alias("n"), F.lit(0).alias("at"))
     hot = rows.join(mixed.filter(F.col("pairs") > FEW_PAIRS), "key", "left_semi").select("digest", "label").distinct()
-    far = by_size(rarest(texts.join(hot, "digest")))
+    held = shingled(texts.join(hot, "digest"))
+    far = by_size(rarest(texts, held))
     rows = near.unionByName(far.select("key", "digest", "label", "large", "n", "at"))
     most = (F.col("n") - F.col("at")) * F.lit((1 + SIMILARITY) / SIMILARITY) - F.col("n") + F.lit(1e-5)
-    out = common.materialize(rows.select("key", "digest", "label", "large", "n", most.alias("most")))
-    common.release(mixed)
+    dealt = common.materialize(rows.select("key", "digest", "label", "large", "n", most.alias("most")))
+    meet = dealt.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("large").alias("all"), F.max("large").alias("some"))
+    rows = dealt.join(meet.filter("low != high AND some AND NOT all"), "key", "left_semi")
+    lines = held.select(F.col("digest").alias("of"), "outline")
+    out = common.materialize(rows.join(lines, (F.col("digest") == F.col("of")) & (F.col("n") > 0), "left").drop("of"))
+    for df in (mixed, dealt, held):
+        common.release(df)
     return out
 
 
@@ -320,22 +341,28 @@ def sides(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
     return tuple(rows.filter(side).select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("label", *names)]) for x, side in (("a", "NOT large"), ("b", "large")))
 
 
+def outlined(a: str, b: str, n_a: str, n_b: str):
+    """Whether two texts of so many shingles can align by their outlines: m shingles matched of a and b leave a + b - 2m that only one has. True where one has no outline."""
+    only = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return F.coalesce(only <= (F.col(n_a) + F.col(n_b)) * F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) + F.lit(1e-6), F.lit(True))
+
+
 def fitting(a: str, b: str):
-    """Whether the texts in two columns struct(digest, n, most) can align by their sizes; each pair in one order only."""
+    """Whether the texts in two columns struct(digest, n, most, outline) can align by their sizes and outlines; each pair in one order only."""
     once = (F.col(f"{a}.n") < F.col(f"{b}.n")) | ((F.col(f"{a}.n") == F.col(f"{b}.n")) & (F.col(f"{a}.digest") < F.col(f"{b}.digest")))
-    return once & (F.col(f"{a}.n") <= F.col(f"{b}.most")) & (F.col(f"{b}.n") <= F.col(f"{a}.most"))
+    return once & (F.col(f"{a}.n") <= F.col(f"{b}.most")) & (F.col(f"{b}.n") <= F.col(f"{a}.most")) & outlined(f"{a}.outline", f"{b}.outline", f"{a}.n", f"{b}.n")
 
 
 def settle(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """(digest, keys, label) -> node, label, with all links between candidates of different classes; only pairs that can't align aren't aligned.
 
     While more than PER_TEXT pairs a text are ahead, classes that meet under a key are compared by drawn texts, in rounds. A link joins two classes,
-    whose other texts then needn't meet; rounds go on while they can save and do save a good share of the pairs ahead. Then all texts of the classes that still meet are compared. Tables of a
-    round are deleted with it.
+    whose other texts then needn't meet; rounds go on while they can save and do save a good share of the pairs ahead. Then all texts of the classes that still meet are compared: each text of the class
+    with fewer under the key finds those of the other that it can align with. Tables of a round are deleted with it.
     """
     base = meeting(placed, texts)
     names = placed.select(F.col("label").alias("old"), "label").distinct()  # a class's label before and after
-    one = F.struct("digest", "n", "most")
+    one = F.struct("digest", "n", "most", "outline")
     renamed = False
 
     def after(changed):
@@ -355,11 +382,13 @@ def settle(placed: DataFrame, texts: DataFrame) -> DataFrame:
     for k in count(1):
         rows = base
         if renamed:
-            rows = base.join(names.filter("old != label").withColumnRenamed("label", "new"), base.label == F.col("old"), "left").select("key", "digest", F.coalesce("new", "label").alias("label"), "large", "n", "most")
-        # by pairs of classes, so that texts of one class never meet; a class stands for its smallest text and its farthest reach
-        kinds = common.materialize(rows.groupBy("key", "label", "large").agg(F.min("n").alias("least"), F.max("most").alias("reach"), F.count(F.lit(1)).alias("held")))
-        left, right = sides(kinds, ["least", "reach", "held"])
-        apart = common.materialize(left.join(right, "key").filter("label_a != label_b AND least_a <= reach_b AND least_b <= reach_a"))
+            rows = base.join(names.filter("old != label").withColumnRenamed("label", "new"), base.label == F.col("old"), "left").select("key", "digest", F.coalesce("new", "label").alias("label"), "large", "n", "most", "outline")
+        # by pairs of classes, so that texts of one class never meet; a class stands for its smallest text and its farthest reach, a single text also for its outline
+        alone = F.when(F.count(F.lit(1)) == 1, F.first("outline")).alias("outline")
+        kinds = common.materialize(rows.groupBy("key", "label", "large").agg(F.min("n").alias("least"), F.max("most").alias("reach"), F.count(F.lit(1)).alias("held"), alone))
+        left, right = sides(kinds, ["least", "reach", "held", "outline"])
+        near = left.join(right, "key").filter(F.expr("label_a != label_b AND least_a <= reach_b AND least_b <= reach_a") & outlined("outline_a", "outline_b", "least_a", "least_b"))
+        apart = common.materialize(near.drop("outline_a", "outline_b"))
         common.release(kinds)
         few = F.least("held_a", F.lit(DRAWN)) * F.least("held_b", F.lit(DRAWN))
         ahead, drawn = apart.agg(F.sum(F.col("held_a") * F.col("held_b")), F.sum(few)).first()
@@ -374,9 +403,14 @@ def settle(placed: DataFrame, texts: DataFrame) -> DataFrame:
             names, renamed = after(changed), True
         before = ahead
     if ahead:
-        left, right = sides(rows.withColumn("one", one), ["one"])
-        near = apart.select("key", "label_a", "label_b", "least_b", "reach_b").join(left, ["key", "label_a"]).filter("one_a.n <= reach_b AND least_b <= one_a.most")
-        changed, _ = compared(near.join(right, ["key", "label_b"]).select("label_a", "label_b", F.col("one_a").alias("a"), F.col("one_b").alias("b")))
+        # from the class with fewer texts under the key to the one with more, so that the first join makes the fewer rows
+        pick = lambda c, x, y, out: F.when(F.col("turned"), F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(out)
+        order = apart.withColumn("turned", F.col("held_a") > F.col("held_b"))
+        order = order.select("key", "turned", pick("label", "a", "b", "label_x"), *[pick(c, "b", "a", f"{c}_y") for c in ("label", "least", "reach")])
+        of_x, of_y = (rows.select("key", F.col("label").alias(f"label_{z}"), side.alias("turned"), one.alias(f"one_{z}")) for z, side in (("x", F.col("large")), ("y", ~F.col("large"))))
+        near = order.join(of_x, ["key", "label_x", "turned"]).filter("one_x.n <= reach_y AND least_y <= one_x.most").drop("least_y", "reach_y")
+        pairs = near.join(of_y, ["key", "label_y", "turned"]).filter((F.col("turned") & fitting("one_y", "one_x")) | (~F.col("turned") & fitting("one_x", "one_y")))
+        changed, _ = compared(pairs.select(*[pick(c, x, y, out) for c, a, b in (("label", "label_a", "label_b"), ("one", "a", "b")) for x, y, out in (("x", "y", a), ("y", "x", b))]))
         if changed is not None:
             names, renamed = after(changed), True
     common.release(apart)

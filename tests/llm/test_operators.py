@@ -568,6 +568,62 @@ def test_texts_that_meet_in_few_pairs_are_compared_once(spark, monkeypatch, per_
     assert len(tried) == 1 or not once
 
 
+def widest_join(spark, since):
+    """Most rows that a join on labels of classes made in an execution from number `since` on."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    for k in range(since, store.executionsList().size()):
+        run = store.executionsList().apply(k).executionId()
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() and "label_" in node.desc():
+                for m in map(node.metrics().apply, range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                        most = max(most, int(values.get(m.accumulatorId()).get().replace(",", "")))
+    return most
+
+
+def test_texts_near_a_large_class_meet_few_of_its_texts(spark, monkeypatch):
+    """A class of copies with one changed word each; of other copies, with four, those align that changed the same word, among others."""
+    monkeypatch.setattr(near_dup, "FEW_PAIRS", 0)
+    monkeypatch.setattr(near_dup, "PER_TEXT", 10**6)
+    rng, texts = random.Random(3), []
+    for i in range(200):
+        words = [f"v{k}" for k in range(150)]
+        for k in [i % 14] if i < 100 else [*rng.sample(range(29), 3), 29]:
+            words[5 * k + 4] = f"changed{i}of{k}"
+        texts.append(" ".join(words))
+    s = [near_dup.shingles(t) for t in texts]
+    keys = [near_dup.tuples(x) for x in s]
+    first = ["big" if i < 100 else f"o{i:03d}" for i in range(200)]
+    placed = spark.createDataFrame([(f"d{i:03d}", first[i], t, keys[i], 1) for i, t in enumerate(texts)], "digest string, label string, text string, keys array<long>, weight long")
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = dict(map(tuple, near_dup.settle(placed.drop("text"), placed.select("digest", "text", "keys")).collect()))
+    assert widest_join(spark, since) <= 10 * len(texts)
+    group = list(first)
+    for i in range(len(s)):
+        for j in range(i):
+            if group[i] != group[j] and len(set(keys[i]) & set(keys[j])) >= near_dup.AGREE and near_dup.aligned(s[i], s[j]) >= near_dup.SIMILARITY:
+                group = [group[j] if g == group[i] else g for g in group]
+    classes = lambda labels: {frozenset(i for i, x in enumerate(labels) if x == y) for y in labels}
+    assert 1 < len(set(group)) < len(set(first))
+    assert classes([got[f"d{i:03d}"] for i in range(len(s))]) == classes(group)
+
+
+@pytest.mark.parametrize("n", [1, 150, 3000])
+def test_outlines_differ_in_no_more_bits_than_texts_in_shingles(n):
+    rng = np.random.default_rng(n)
+    bits = lambda s: np.array(near_dup.outline(s), np.int64).view(np.uint8)
+    for changed in (0, n // 10, n):
+        a = rng.integers(0, 2**64, n, np.uint64)
+        b = np.concatenate([a[changed:], rng.integers(0, 2**64, changed + 3, np.uint64)])
+        only = len(np.setxor1d(a, b))
+        differ = int(np.unpackbits(bits(a) ^ bits(b)).sum())
+        assert differ <= only and (only - differ) % 2 == 0
+        assert differ > 0.8 * only or only > 60
+    assert near_dup.outline(a[:0]) == [0] * near_dup.WORDS
+
+
 def test_shingles_of_one_class_are_not_returned(spark):
     """Texts of one class share `own`; all share `passage`. Own shingles come first and fill the places that must be looked at."""
     words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
